@@ -52,10 +52,13 @@ def vocabularies(
     column, so more than ``max_categories`` in all is an error, found without
     pulling more than that many values to the driver.
     """
-    pairs = [
-        F.transform(_categories(df, n, s), lambda v, n=n: F.struct(F.lit(n).alias("n"), v.alias("v")))
-        for n, s in columns.items()
-    ]
+    def named(name: str, as_string: bool) -> Column:
+        return F.transform(
+            _categories(df, name, as_string),
+            lambda v: F.struct(F.lit(name).alias("n"), v.alias("v")),
+        )
+
+    pairs = [named(n, s) for n, s in columns.items()]
     found = (
         df.select(F.explode(F.concat(*pairs)).alias("p"))
         .select("p.n", "p.v")
@@ -77,9 +80,11 @@ def one_hot_flags(
     kind = df.schema[column].dataType
     if isinstance(kind, T.ArrayType):
         values = _categories(df, column, as_string)
-        return {
-            f"{prefix}{v}": F.size(F.filter(values, lambda x, v=v: x == v)) for v in categories
-        }
+
+        def occurrences(category: str) -> Column:
+            return F.size(F.filter(values, lambda x: x == category))
+
+        return {f"{prefix}{v}": occurrences(v) for v in categories}
     if not as_string and not isinstance(kind, T.StringType):
         raise TypeError(f"{column!r} is not text; encode it with as_string=True")
     text = strip(_as_text(c(column), kind))
