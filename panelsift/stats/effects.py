@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Lower limits of the small, medium and large labels.
 COHENS_D_LIMITS = (0.2, 0.5, 0.8)
@@ -49,7 +50,7 @@ def interpret_odds_ratio(ratio: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     """Two-sided p-value; applied to result tables with one row per feature."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
