@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.base import REGISTRY, Inputs
-from catalog import features, profiles, pull, testing  # noqa: E402,F401  (registers queries)
+from catalog import features, modelling, profiles, pull, testing  # noqa: E402,F401  (registers queries)
 
 
 def run_query(name: str, spark: SparkSession, folder: str) -> DataFrame:

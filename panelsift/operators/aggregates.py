@@ -162,9 +162,16 @@ def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str] = ()) -> DataFrame
     return df.orderBy(c(by).desc_nulls_last(), *[c(t) for t in ties]).limit(k)
 
 
-def hash_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Reproducible sample of at most n rows, independent of the partitioning."""
-    return df.orderBy(F.xxhash64(*[c(k) for k in keys], F.lit(seed)), *[c(k) for k in keys]).limit(n)
+def hash_sample(df: DataFrame, n: int, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Sample of at most n rows by hash order.
+
+    With keys that identify a row the sample does not depend on the partitioning.
+    Without keys every row gets a number first, so copies are drawn independently.
+    """
+    picked = df if keys else df.withColumn("__row", F.monotonically_increasing_id())
+    identity = [c(k) for k in keys] or [F.col("__row")]
+    order = [F.xxhash64(*identity, F.lit(seed)), *identity]
+    return picked.orderBy(*order).limit(n).select(*[c(k) for k in df.columns])
 
 
 def exposure_and_gender_counts(
