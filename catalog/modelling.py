@@ -50,10 +50,10 @@ def _(t: Inputs):
     return log.select("iteration", "n_features", finite.alias("max_vif"))
 
 
-@query("x12_removal_candidates", f"SELECT feature, round(v, 8) AS \"VIF\" FROM ({VIF_SQL}) WHERE v > 1.001::DOUBLE")
+@query("x12_removal_candidates", f"SELECT feature, round(v, 8) AS \"VIF\" FROM ({VIF_SQL}) WHERE v > 1::DOUBLE")
 def _(t: Inputs):
     table = vif.calculate_vif_detailed(_vectors(t), ["x0", "x1", "x2"])
-    r = vif.get_feature_removal_candidates(table, 1.001)
+    r = vif.get_feature_removal_candidates(table, 1.0)
     return r.select("feature", F.round("VIF", 8).alias("VIF"))
 
 
@@ -399,16 +399,23 @@ def _(t: Inputs):
     return pulled.user_info_df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _pulled(t: Inputs):
+    """The pulled completions, written and read back as between the real steps."""
+    path = scratch_path(t.spark, "pulled")
+    panel.pull_panel(t.spark, *_settings(t)).write({"user_info_df": path})
+    return sinks.read_table(t.spark, path)
+
+
 @query("e2_engineered_features")
 def _(t: Inputs):
-    pulled = panel.pull_panel(t.spark, *_settings(t))
-    return panel.engineer_features(pulled.user_info_df)
+    return panel.engineer_features(_pulled(t))
 
 
 @query("e3_tests_on_features")
 def _(t: Inputs):
-    pulled = panel.pull_panel(t.spark, *_settings(t))
-    made = panel.engineer_features(pulled.user_info_df)
+    path = scratch_path(t.spark, "features")
+    sinks.write_table(panel.engineer_features(_pulled(t)), path)
+    made = sinks.read_table(t.spark, path)
     sets = {
         "days": panel.feature_names(made, "is_mon", "is_tue", "is_sat"),
         "tenure": panel.feature_names(made, "days_active_"),

@@ -103,7 +103,7 @@ def build_logistic_regression_model(
             elasticNetParam=0.0,
             standardization=False,
             maxIter=1000,
-            tol=1e-9,
+            tol=1e-6,
         )
 
     total = sum(sizes.values())

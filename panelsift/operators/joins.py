@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, exclude, existing
-from panelsift.operators.skew import lookup_join, salted_join
+from panelsift.operators.skew import HotKeys, lookup_join, salted_join
 
 # Device columns that get a prefix when joined, and the study
 # columns carried over to completions.
@@ -29,6 +29,7 @@ def join_user_task_respondent(
     respondent_info_df: DataFrame,
     device_df: DataFrame | None = None,
     join_type: str = "inner",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """One row per completion with user, profile and device columns.
 
@@ -54,7 +55,7 @@ def join_user_task_respondent(
     columns += [n for n in profile.columns if n not in user_df.columns]
     done = done.withColumn("__respondent", F.col("respondentPk"))
     joined = salted_join(
-        done.where(F.col("__respondent").isNotNull()), keyed, ["__respondent"], "inner"
+        done.where(F.col("__respondent").isNotNull()), keyed, ["__respondent"], "inner", hot
     ).select(*[c(n) for n in columns])
     if join_type == "left":
         idle = profile.join(
@@ -91,12 +92,17 @@ def label_studies(balance: DataFrame, labels: dict[str, bool]) -> DataFrame:
 
 
 def add_membership_flag(
-    df: DataFrame, key: str, members: DataFrame, member_key: str, name: str
+    df: DataFrame,
+    key: str,
+    members: DataFrame,
+    member_key: str,
+    name: str,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """1 when the key occurs among the members, else 0."""
     keys = members.select(c(member_key).alias("__member")).where(F.col("__member").isNotNull())
     keys = keys.distinct().withColumn(name, F.lit(1))
-    marked = salted_join(df.withColumn("__member", c(key)), keys, ["__member"], "left")
+    marked = salted_join(df.withColumn("__member", c(key)), keys, ["__member"], "left", hot)
     return marked.withColumn(name, F.coalesce(c(name), F.lit(0))).drop("__member")
 
 
@@ -105,12 +111,15 @@ def merge_study_data_with_user_info(
     study_df: DataFrame,
     how: str = "left",
     dedupe: bool = False,
+    hot: HotKeys | None = None,
+    hot_pairs: HotKeys | None = None,
 ) -> DataFrame:
     """Completions with the study columns of the same respondent and task.
 
     Adds the composite ``user_task_pk``, a respondent-level ``wonky_user_flag`` and
     the ``_merge`` indicator. A completion in several study groups is repeated
     once per group unless ``dedupe`` first sums the groups per respondent and task.
+    ``hot`` and ``hot_pairs`` are known hot respondents and (respondent, task) pairs.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -133,7 +142,7 @@ def merge_study_data_with_user_info(
         F.lit(1).alias("__found"),
     )
     flagged = add_membership_flag(
-        user_info_df, "respondentPk", study_df, "balance_respondentPk", "wonky_user_flag"
+        user_info_df, "respondentPk", study_df, "balance_respondentPk", "wonky_user_flag", hot
     )
     keyed = flagged.withColumns(
         {
@@ -144,7 +153,7 @@ def merge_study_data_with_user_info(
             "__task": F.col("taskPk"),
         }
     )
-    merged = salted_join(keyed, study, ["__respondent", "__task"], how)
+    merged = salted_join(keyed, study, ["__respondent", "__task"], how, hot_pairs)
     indicator = F.when(F.col("__found") == 1, "both").otherwise("left_only")
     return merged.withColumn("_merge", indicator).drop("__respondent", "__task", "__found")
 

@@ -1,39 +1,57 @@
 """Joins that stay balanced when one key owns a large part of the rows.
 
-A key counts as hot when it has more rows than one task should take *and* at
-least one in ``MAX_HOT_KEYS`` of all rows. The second condition bounds the list
-of hot keys by pigeonhole, so broadcasting that list is safe at any data size.
+Keys with more rows than one task should take are looked up first, by a count that
+is combined before its shuffle. Mostly there are none and the join is a plain one.
+Otherwise the rows of those keys are dealt over several salts and the matching rows
+of the other side repeated per salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelsift.columns import all_of, c
 
 ROWS_PER_TASK = 2_000_000
+# The hottest keys only; any other key has less than 1/50 000 of all rows.
 MAX_HOT_KEYS = 50_000
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Hot keys with the number of tasks each should be spread over."""
+@dataclass
+class HotKeys:
+    """Keys to spread, with the number of tasks for each. A hint: never affects results."""
+
+    rows: list[tuple]
+    types: list[T.DataType]
+
+    def frame(self, spark, names: Sequence[str]) -> DataFrame:
+        fields = [T.StructField(n, t) for n, t in zip(names, self.types)]
+        schema = T.StructType([*fields, T.StructField("__salts", T.IntegerType())])
+        return spark.createDataFrame(self.rows, schema)
+
+
+def find_hot_keys(
+    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
+) -> HotKeys:
+    """Look for hot keys, null among them.
+
+    Count on a stored table where possible and pass the result to several joins on
+    the same keys, so that a derived frame is not computed just for this.
+    """
+    limit = rows_per_task or ROWS_PER_TASK
     counts = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    return (
-        counts.where(F.col("__n") > rows_per_task)
-        .where(F.col("__n") * MAX_HOT_KEYS >= total)
-        .select(
-            *[c(k).alias(f"__hot{i}") for i, k in enumerate(keys)],
-            F.ceil(F.col("__n") / rows_per_task).cast("int").alias("__salts"),
-        )
+    hottest = (
+        counts.where(F.col("__n") > limit).orderBy(F.col("__n").desc()).limit(MAX_HOT_KEYS).collect()
     )
+    types = [df.schema[k].dataType for k in keys]
+    return HotKeys([(*r[:-1], -(-r[-1] // limit)) for r in hottest], types)
 
 
 def salted_join(
@@ -41,37 +59,32 @@ def salted_join(
     small: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """``big`` joined to ``small`` on equally named keys, hot keys spread out.
 
-    Rows of a hot key are dealt over several salts and the matching rows of
-    ``small`` are repeated once per salt; every other key keeps the single salt
-    0. The salt comes from the task a row is read in, so it does not change when
-    that task is run again, and identical copies are spread as well.
+    The salt comes from the task a row is read in, so it does not change when that
+    task is run again, and identical copies are spread as well.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task))
-    match = all_of([c(k).eqNullSafe(F.col(f"__hot{i}")) for i, k in enumerate(keys)])
+    if hot is None:
+        hot = find_hot_keys(big, keys)
+    if not hot.rows:
+        return big.join(small, list(keys), how)
     hot_names = [f"__hot{i}" for i in range(len(keys))]
-
+    # at most MAX_HOT_KEYS rows
+    table = F.broadcast(hot.frame(big.sparkSession, hot_names))
+    match = all_of([c(k).eqNullSafe(F.col(h)) for k, h in zip(keys, hot_names)])
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
     spread = (
-        big.join(hot, match, "left")
-        .withColumn(
-            "__salt",
-            F.when(F.col("__salts").isNull(), 0).otherwise(
-                F.pmod(F.spark_partition_id(), F.col("__salts"))
-            ),
-        )
+        big.join(table, match, "left")
+        .withColumn("__salt", F.pmod(F.spark_partition_id(), salts))
         .drop("__salts", *hot_names)
     )
     repeated = (
-        small.join(hot, match, "left")
-        .withColumn(
-            "__salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)),
-        )
+        small.join(table, match, "left")
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("__salts", *hot_names)
     )
     return spread.join(repeated, [*keys, "__salt"], how).drop("__salt")
@@ -95,16 +108,16 @@ def lookup_join(
     small: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Join to a dictionary-like side: broadcast when measured small, else salted."""
     if fits_broadcast(small):
         return big.join(F.broadcast(small), list(keys), how)
-    return salted_join(big, small, keys, how, rows_per_task)
+    return salted_join(big, small, keys, how, hot)
 
 
 def attach_per_key(
-    df: DataFrame, keys: Sequence[str], *aggregates, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], *aggregates, hot: HotKeys | None = None
 ) -> DataFrame:
     """Add per-key aggregates to every row of the key.
 
@@ -113,15 +126,18 @@ def attach_per_key(
     Null keys form a group of their own, as they do in a window.
     """
     per_key = df.groupBy(*[c(k) for k in keys]).agg(*aggregates)
-    marked = [f"__key{i}" for i in range(len(keys))]
     new = [n for n in per_key.columns if n not in keys]
+    if hot is None:
+        hot = find_hot_keys(df, keys)
+    marked = [f"__key{i}" for i in range(len(keys))]
 
     def tagged(frame: DataFrame) -> DataFrame:
         # null keys must meet their own group, which plain equality never does
-        for name, key in zip(marked, keys):
-            frame = frame.withColumn(name, F.struct(c(key).isNull(), c(key)))
-        return frame
+        return frame.withColumns({m: F.struct(c(k).isNull(), c(k)) for m, k in zip(marked, keys)})
 
     right = tagged(per_key).select(*marked, *[c(n) for n in new])
-    joined = salted_join(tagged(df), right, marked, "left", rows_per_task)
+    left = tagged(df)
+    pairs = [tuple((k is None, k) for k in row[:-1]) + (row[-1],) for row in hot.rows]
+    spread = HotKeys(pairs, [left.schema[m].dataType for m in marked])
+    joined = salted_join(left, right, marked, "left", spread)
     return joined.select(*[c(n) for n in df.columns], *[c(n) for n in new])

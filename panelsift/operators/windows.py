@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelsift.columns import c
 from panelsift.operators.ordered import lagged
-from panelsift.operators.skew import attach_per_key
+from panelsift.operators.skew import HotKeys, attach_per_key
 
 MICROS_PER_DAY = 86_400_000_000
 
@@ -39,11 +39,12 @@ def enrich_with_task_counts(
     task_col: str = "taskPk",
     completed_col: str = "date_completed",
     created_col: str = "date_created",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``task_time_taken_s`` and the respondent's ``task_completed`` count."""
     timed = df.withColumn("task_time_taken_s", task_seconds(completed_col, created_col))
     return attach_per_key(
-        timed, [respondent_col], F.count(c(task_col)).alias("task_completed")
+        timed, [respondent_col], F.count(c(task_col)).alias("task_completed"), hot=hot
     )
 
 
@@ -60,21 +61,27 @@ def add_days_active(
     first_date_col: str = "date_created",
     first_name: str = "first_task_created",
     name: str = "days_active_before_task",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Days between a respondent's first date and each completion.
 
     Pass ``first_date_col=date_col`` for the variant counting from the first
     completion.
     """
-    dated = attach_per_key(df, [respondent_col], F.min(c(first_date_col)).alias(first_name))
+    first = F.min(c(first_date_col)).alias(first_name)
+    dated = attach_per_key(df, [respondent_col], first, hot=hot)
     return dated.withColumn(name, whole_days(c(date_col), c(first_name)))
 
 
 def add_distinct_count(
-    df: DataFrame, key: str, value: str, name: str = "ip_address_count"
+    df: DataFrame,
+    key: str,
+    value: str,
+    name: str = "ip_address_count",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Distinct non-null values per key on every row of the key."""
-    return attach_per_key(df, [key], F.count_distinct(c(value)).alias(name))
+    return attach_per_key(df, [key], F.count_distinct(c(value)).alias(name), hot=hot)
 
 
 def add_rating_delta(

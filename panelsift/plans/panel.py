@@ -16,6 +16,7 @@ from panelsift.columns import c, drop_duplicate_columns, exclude, existing, star
 from panelsift.functions import bins, device, onehot, speed, temporal
 from panelsift.models.compare import ModelResults, run_all_models
 from panelsift.operators import aggregates, joins, profile, select, windows
+from panelsift.operators.skew import attach_per_key, find_hot_keys
 from panelsift.session import materialise
 from panelsift.sources import sinks, tables
 from panelsift.stats import cluster
@@ -82,8 +83,12 @@ def pull_panel(
     tasks = tables.load_task_table(spark, paths.silver_path, paths.task_origin, paths.fmt)
     devices = tables.load_device_table(spark, paths.silver_path, users, fmt=paths.fmt)
 
-    joined = joins.join_user_task_respondent(users, done, info, devices)
-    enriched = joins.merge_task_metadata(windows.enrich_with_task_counts(joined), tasks)
+    # one narrow scan of the stored completions serves every join on these keys
+    hot = find_hot_keys(done, ["respondentPk"])
+    hot_pairs = find_hot_keys(done, ["respondentPk", "taskPk"])
+    joined = joins.join_user_task_respondent(users, done, info, devices, hot=hot)
+    enriched = windows.enrich_with_task_counts(joined, hot=hot)
+    enriched = joins.merge_task_metadata(enriched, tasks)
 
     loaded = tables.load_all_studies(
         spark, list(studies.study_labels), paths.project_repository_path,
@@ -96,8 +101,10 @@ def pull_panel(
     grouped = aggregates.aggregate_studies(study_map, studies.cols_to_group)
     grouped = exclude(grouped, studies.cols_to_drop)
 
-    merged = joins.merge_study_data_with_user_info(enriched, grouped, dedupe=dedupe).drop("_merge")
-    merged = drop_duplicate_columns(merged)
+    merged = joins.merge_study_data_with_user_info(
+        enriched, grouped, dedupe=dedupe, hot=hot, hot_pairs=hot_pairs
+    )
+    merged = drop_duplicate_columns(merged.drop("_merge"))
     summary = aggregates.create_study_respondent_summary(
         grouped, "balance_respondentPk", ("survey_pk", *config.SUMMARY_CATEGORIES)
     )
@@ -122,19 +129,26 @@ def engineer_features(
 ) -> DataFrame:
     """All engineered features of the completions.
 
-    Columns a data set lacks are left out along with what is made from them. Two
+    Pass a stored table: the quantiles, the per-respondent facts and the features
+    read it one after the other. Columns a data set lacks are left out along with what is made from them. Two
     small jobs run on the way: the time quantiles and the category values.
     """
     df = exclude(df, drop_from_load)
     original = set(df.columns)
     have = original.__contains__
+    hot = find_hot_keys(df, ["respondentPk"])
     df = profile.winsorise_upper(df, "task_time_taken_s", 0.95)
     df = speed.create_task_speed_features(df, group_by_col=speed_group)
     df = temporal.create_all_temporal_features(df)
     for score in ("quality", "risk"):
         if have(score):
             df = bins.create_score_features(df, score)
-    df = windows.add_days_active(df)
+    facts = [F.min("date_created").alias("first_task_created")]
+    if have("request-remote-addr"):
+        facts.append(F.count_distinct(c("request-remote-addr")).alias("ip_address_count"))
+    df = attach_per_key(df, ["respondentPk"], *facts, hot=hot)
+    days = windows.whole_days(F.col("date_completed"), F.col("first_task_created"))
+    df = df.withColumn("days_active_before_task", days)
     df, _ = bins.create_binned_features(
         df, "days_active_before_task", bins.TENURE_BINS, "days_active_",
         include_mutually_exclusive=True,
@@ -144,8 +158,6 @@ def engineer_features(
             df = onehot.map_values(df, code, labels, f"{code}_mapped")
     if have("task_completed"):
         df, _ = bins.create_task_amount_features(df, "task_completed")
-    if have("request-remote-addr"):
-        df = windows.add_distinct_count(df, "respondentPk", "request-remote-addr")
     if have("ditr_hardware") and have("ditr_manufacturer"):
         df = device.add_device_categories(df)
     for score in ("risk", "quality"):
