@@ -40,7 +40,8 @@ def impute_by_cluster(
     Values are counted per cluster before they are compared; there is one fill row
     per cluster, and as many clusters as the model has.
     """
-    fills = df.groupBy(c(cluster)).agg(*[F.avg(c(n)).alias(f"__fill_{n}") for n in numeric])
+    means = [F.avg(c(n)).alias(f"__fill_{n}") for n in numeric]
+    fills = df.groupBy(c(cluster)).agg(F.count(F.lit(1)).alias("__rows"), *means)
     for name in categorical:
         counts = (
             df.where(c(name).isNotNull()).groupBy(c(cluster), c(name)).agg(F.count(F.lit(1)).alias("n"))
