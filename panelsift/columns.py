@@ -63,6 +63,10 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def any_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
     return [n for n, t in df.dtypes if t in kinds or t.startswith("decimal")]

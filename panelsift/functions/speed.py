@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, flag
-from panelsift.operators.ordered import counted_quantiles, quantiles
+from panelsift.operators.ordered import quantiles
 from panelsift.operators.skew import lookup_join
 from panelsift.session import materialise
 
@@ -61,48 +61,33 @@ def create_task_speed_features(
 
 def _percentile_flags(df, time_col, group_by_col, min_group_size, approximate):
     group = group_by_col or DEFAULT_GROUP
+    labelled, levels = df, [F.struct(F.lit(True).alias("all"), F.lit("").alias("group"))]
     grouped = group in df.columns
-    keys = ["__group"] if grouped else []
-    labelled = df
     if grouped:
-        labelled = df.withColumn(
-            "__group", F.coalesce(c(group).cast("string"), F.lit("unknown"))
-        )
-    known = labelled.where(c(time_col).isNotNull())
-    # every threshold comes from these counts: distinct times, not rows
-    counts = materialise(
-        known.groupBy(*keys, c(time_col)).agg(F.count(F.lit(1)).alias("n"))
-    )
-    shape = counts.agg(F.count_distinct(c(time_col))).first()[0]
-    if shape == 0:
+        label = F.coalesce(c(group).cast("string"), F.lit("unknown"))
+        labelled = df.withColumn("__group", label)
+        levels.append(F.struct(F.lit(False).alias("all"), F.col("__group").alias("group")))
+    # overall and per-group thresholds from the same pass; the end points tell whether
+    # all times of a group are equal
+    wanted = {**SPEED_PERCENTILES, "__first": 0.0, "__last": 1.0}
+    rows = labelled.select(c(time_col), F.inline(F.array(*levels)))
+    cuts = materialise(quantiles(rows, time_col, wanted, ["all", "group"], approximate))
+    overall = cuts.where("all").first()
+    if overall is None:
         raise ValueError(f"no valid values in {time_col!r}")
-    if shape == 1:
+    if overall["__first"] == overall["__last"]:
         fixed = {f"is_{name}": F.lit(0) for name in (*SPEED_PERCENTILES, "very_fast")}
         return df.withColumns({**fixed, "is_normal_speed": F.lit(1)})
 
-    overall_counts = counts.groupBy(c(time_col)).agg(F.sum("n").alias("n"))
-    if approximate:
-        overall = quantiles(known, time_col, SPEED_PERCENTILES, approximate=True)
-    else:
-        overall = counted_quantiles(overall_counts, time_col, SPEED_PERCENTILES)
-    cut = overall.first()
-    everywhere = {name: F.lit(cut[name]) for name in SPEED_PERCENTILES}
+    everywhere = {name: F.lit(overall[name]) for name in SPEED_PERCENTILES}
     time = c(time_col)
     if not grouped:
         return df.withColumns(_flags(time, everywhere, F.lit(False)))
-
-    spread = counts.groupBy("__group").agg(F.count(F.lit(1)).alias("__distinct"))
-    if approximate:
-        per_group = quantiles(known, time_col, SPEED_PERCENTILES, ["__group"], approximate=True)
-    else:
-        per_group = counted_quantiles(counts, time_col, SPEED_PERCENTILES, ["__group"])
-    limits = materialise(
-        per_group.join(spread, "__group").select(
-            "__group",
-            F.col("n").alias("__size"),
-            "__distinct",
-            *[F.col(name).alias(f"__{name}") for name in SPEED_PERCENTILES],
-        )
+    limits = cuts.where(~F.col("all")).select(
+        F.col("group").alias("__group"),
+        F.col("n").alias("__size"),
+        (F.col("__first") == F.col("__last")).alias("__constant"),
+        *[F.col(name).alias(f"__{name}") for name in SPEED_PERCENTILES],
     )
     joined = lookup_join(labelled, limits, ["__group"], "left")
     small = F.coalesce(F.col("__size"), F.lit(0)) < min_group_size
@@ -110,7 +95,7 @@ def _percentile_flags(df, time_col, group_by_col, min_group_size, approximate):
         name: F.when(small, everywhere[name]).otherwise(F.col(f"__{name}"))
         for name in SPEED_PERCENTILES
     }
-    constant = ~small & (F.col("__distinct") == 1)
+    constant = ~small & F.col("__constant")
     extra = [n for n in joined.columns if n not in df.columns]
     return joined.withColumns(_flags(time, own, constant)).drop(*extra)
 

@@ -12,10 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelsift.columns import all_of, c
+from panelsift.columns import all_of, any_of, c
 from panelsift.operators.skew import lookup_join
 from panelsift.session import materialise, shuffle_width
 
+# up to this many rows, ordering all distinct values is cheaper than bracketing
+DIRECT_ROWS = 5_000_000
+SKETCH_ACCURACY = 10_000
+
 
 def running_total(
     df: DataFrame,
@@ -97,19 +101,99 @@ def quantiles(
     keys: Sequence[str] = (),
     approximate: bool = False,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key, one named column each.
+    """Linear-interpolated quantiles per key, one named column each, and ``n`` values.
 
-    Exact by default: values are counted, the counts are accumulated in value
-    order, and each quantile reads the two neighbouring values. Nothing holds all
-    values of a group. ``approximate`` uses Spark's sketch for a single pass.
+    Exact by default, without holding a group's values anywhere. ``approximate``
+    uses Spark's sketch alone, in a single pass.
     """
+    known = df.where(c(value).isNotNull())
     if approximate:
         sketch = [
-            F.percentile_approx(c(value), p, 100_000).cast("double").alias(name)
+            F.percentile_approx(c(value), p, SKETCH_ACCURACY).cast("double").alias(name)
             for name, p in probabilities.items()
         ]
-        return df.groupBy(*[c(k) for k in keys]).agg(F.count(c(value)).alias("n"), *sketch)
-    return counted_quantiles(value_counts(df, value, keys), value, probabilities, keys)
+        return known.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), *sketch)
+    if known.count() > DIRECT_ROWS:
+        exact = materialise(_bracketed_quantiles(known, value, probabilities, keys))
+        missed = [c(name).isNull() for name in probabilities]
+        if exact.where(any_of(missed)).isEmpty():
+            return exact
+    return counted_quantiles(value_counts(known, value, keys), value, probabilities, keys)
+
+
+def _with_group_row(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows next to their group's row in ``table``, null keys included."""
+    new = [n for n in table.columns if n not in keys]
+    if not keys:
+        one = table.select(F.struct(*[c(n) for n in new])).scalar()
+        return rows.withColumn("__one", one).select("*", *[F.col(f"__one.{n}") for n in new]).drop("__one")
+    marked = [f"__g{i}" for i in range(len(keys))]
+    for g, k in zip(marked, keys):
+        rows = rows.withColumn(g, F.struct(c(k).isNull(), c(k)))
+        table = table.withColumn(g, F.struct(c(k).isNull(), c(k)))
+    return lookup_join(rows, table.select(*marked, *[c(n) for n in new]), marked, "inner").drop(*marked)
+
+
+def _bracketed_quantiles(known, value, probabilities, keys):
+    """A sketch brackets each position; only values inside a bracket are ordered.
+
+    Rows below a bracket are counted into one entry that sorts first, so the
+    running total gives exact ranks. A bracket that missed its position leaves a
+    null, upon which the caller counts all values instead.
+    """
+    ps = list(probabilities.values())
+    margin = 3.0 / SKETCH_ACCURACY
+    ends = [min(max(p + side, 0.0), 1.0) for p in ps for side in (-margin, margin)]
+    rows = known.select(*[c(k) for k in keys], c(value).cast("double").alias("__x"))
+    sketch = materialise(
+        rows.groupBy(*[c(k) for k in keys]).agg(
+            F.count(F.lit(1)).alias("__size"),
+            F.percentile_approx("__x", ends, SKETCH_ACCURACY).alias("__ends"),
+        )
+    )
+    x = F.col("__x")
+    entries = []
+    for i, p in enumerate(ps):
+        low, high = F.col("__ends")[2 * i], F.col("__ends")[2 * i + 1]
+        inside = F.lit(True) if p <= margin else x >= low
+        not_above = F.lit(True) if p >= 1 - margin else x <= high
+        entry = F.struct(F.lit(i).alias("__i"), F.when(inside, x).alias("__v"))
+        entries.append(F.when(not_above, entry))
+    counts = (
+        _with_group_row(rows, sketch, keys)
+        .select(*[c(k) for k in keys], F.inline(F.array_compact(F.array(*entries))))
+        .groupBy(*[c(k) for k in keys], "__i", "__v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    order = [F.col("__v").asc_nulls_first()]
+    along = running_total(counts, {"__cum": F.col("n")}, order, [*keys, "__i"])
+    placed = _with_group_row(along, sketch.drop("__ends"), keys)
+    position = (F.col("__size") - 1) * F.element_at(F.array(*map(F.lit, ps)), F.col("__i") + 1)
+    per_probability = placed.groupBy(*[c(k) for k in keys], "__i", "__size").agg(
+        *_neighbours(position, F.col("__v"), "0")
+    )
+    results = [
+        F.max(F.when(F.col("__i") == i, _between((F.col("__size") - 1) * F.lit(float(p)), "0"))).alias(name)
+        for i, (name, p) in enumerate(probabilities.items())
+    ]
+    return per_probability.groupBy(*[c(k) for k in keys]).agg(
+        F.max("__size").alias("n"), *results
+    )
+
+
+def _neighbours(position: Column, value: Column, tag: str) -> list[Column]:
+    """Aggregates picking the values at the ranks around a position."""
+
+    def at(rank: Column) -> Column:
+        held = (F.col("__cum") - F.col("n") <= rank) & (rank < F.col("__cum"))
+        return F.max(F.when(held, value)).cast("double")
+
+    return [at(F.floor(position)).alias(f"__lo{tag}"), at(F.ceil(position)).alias(f"__hi{tag}")]
+
+
+def _between(position: Column, tag: str) -> Column:
+    low, high = F.col(f"__lo{tag}"), F.col(f"__hi{tag}")
+    return low + (high - low) * (position - F.floor(position))
 
 
 def counted_quantiles(
@@ -118,28 +202,12 @@ def counted_quantiles(
     """:func:`quantiles` for data already compressed to (keys, value, ``n``)."""
     along = running_total(counts, {"__cum": F.col("n")}, [c(value)], keys)
     sizes = along.groupBy(*[c(k) for k in keys]).agg(F.max("__cum").alias("__size"))
-    if keys:
-        marked = [f"__g{i}" for i in range(len(keys))]
-        for g, k in zip(marked, keys):
-            # a null key is a group too
-            along = along.withColumn(g, F.struct(c(k).isNull(), c(k)))
-            sizes = sizes.withColumn(g, F.struct(c(k).isNull(), c(k)))
-        placed = lookup_join(along, sizes.select(*marked, "__size"), marked, "inner")
-    else:
-        placed = along.withColumn("__size", sizes.scalar())
-
-    holds = lambda rank: (F.col("__cum") - F.col("n") <= rank) & (rank < F.col("__cum"))
+    placed = _with_group_row(along, sizes, keys)
     picks, results = [], []
     for i, (name, p) in enumerate(probabilities.items()):
         position = (F.col("__size") - 1) * F.lit(float(p))
-        picks += [
-            F.max(F.when(holds(F.floor(position)), c(value))).cast("double").alias(f"__lo{i}"),
-            F.max(F.when(holds(F.ceil(position)), c(value))).cast("double").alias(f"__hi{i}"),
-        ]
-        fraction = position - F.floor(position)
-        results.append(
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * fraction).alias(name)
-        )
+        picks += _neighbours(position, c(value), str(i))
+        results.append(_between(position, str(i)).alias(name))
     gathered = placed.groupBy(*[c(k) for k in keys]).agg(F.max("__size").alias("__size"), *picks)
     return gathered.select(*[c(k) for k in keys], F.col("__size").alias("n"), *results)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, existing, numeric_columns
-from panelsift.operators.ordered import counted_quantiles, quantiles, running_total, value_counts
+from panelsift.operators.ordered import quantiles, running_total, value_counts
 
 # Features and display names of the speed breakdown, and chart names.
 SPEED_LABELS = {
@@ -220,9 +220,8 @@ def trimmed_moments(
     df: DataFrame, column: str, low: float = 0.01, high: float = 0.99
 ) -> DataFrame:
     """Mean and deviation after pulling values in to two quantiles."""
-    counts = value_counts(df, column)
-    cut = counted_quantiles(counts, column, {"low": low, "high": high}).select(F.struct("low", "high"))
-    bounds = cut.scalar()
+    cut = quantiles(df, column, {"low": low, "high": high})
+    bounds = cut.select(F.struct("low", "high")).scalar()
     clipped = F.greatest(
         F.least(c(column).cast("double"), bounds.getField("high")), bounds.getField("low")
     )

@@ -93,14 +93,14 @@ def salted_join(
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Whether a frame's measured rows and text size allow a broadcast.
+    """Whether a frame's counted rows and measured text size allow a broadcast.
 
-    Reads one row more than the limit at most, so the check stays cheap.
+    The size is measured only for frames that have few rows.
     """
-    probe = df.limit(max_rows + 1)
+    if df.count() > max_rows:
+        return False
     size = F.octet_length(F.to_json(F.struct(*[c(n) for n in df.columns])))
-    n, width = probe.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return n <= max_rows and width <= max_bytes
+    return (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes
 
 
 def lookup_join(

@@ -108,6 +108,35 @@ def test_quantiles_per_group_keep_a_null_group(skewed):
     assert all(got[k] == pytest.approx(plain[k]) for k in got)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_bracketed_quantiles_are_exact(spark, monkeypatch, keys):
+    monkeypatch.setattr(ordered, "DIRECT_ROWS", 0)
+    ps = {f"q{i}": p for i, p in enumerate((0.0, 0.01, 0.16, 0.5, 0.84, 0.9999, 1.0))}
+    key = F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3)
+    # normal values with a lump of equal ones, so that brackets end inside the lump
+    x = F.when(F.col("id") % 5 == 0, 0.5).otherwise(F.randn(4))
+    df = spark.range(40_000, numPartitions=5).select(key.alias("k"), x.alias("x")).persist()
+    called = []
+    real = ordered.counted_quantiles
+    monkeypatch.setattr(ordered, "counted_quantiles", lambda *a: called.append(1) or real(*a))
+    got = {tuple(r[k] for k in keys): r for r in ordered.quantiles(df, "x", ps, keys).collect()}
+    plain = df.groupBy(*keys).agg(F.percentile("x", list(ps.values())).alias("q")).collect()
+    assert len(got) == len(plain) and not called
+    for r in plain:
+        row = got[tuple(r[k] for k in keys)]
+        assert [row[n] for n in ps] == pytest.approx(r.q, abs=1e-12)
+
+
+def test_missed_brackets_fall_back_to_counting(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "DIRECT_ROWS", 0)
+    real = ordered._bracketed_quantiles
+    monkeypatch.setattr(
+        ordered, "_bracketed_quantiles", lambda *a: real(*a).withColumn("q", F.lit(None).cast("double"))
+    )
+    got = ordered.quantiles(skewed, "v", {"q": 0.5}).first().q
+    assert got == skewed.agg(F.percentile("v", 0.5)).first()[0]
+
+
 def test_average_rank_shares_ties(frame):
     df = frame("v double", [(3.0,), (1.0,), (3.0,), (2.0,), (None,)])
     got = values(ordered.average_rank(df, "v"), "v", "rank")
