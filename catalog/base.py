@@ -197,7 +197,8 @@ def expand(sql: str) -> str:
         parts.append(f"{name} AS ({body if isinstance(body, str) else body[1]})")
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, flags=re.IGNORECASE)
     rest = ", " + sql[own.end() :] if own else " " + sql
-    return f"WITH {', '.join(parts)}{rest}"
+    keyword = "WITH RECURSIVE" if own and own[1] else "WITH"
+    return f"{keyword} {', '.join(parts)}{rest}"
 
 
 @dataclass

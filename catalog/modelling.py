@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from catalog.base import FEATURES, STUDY_LABELS, Inputs, query
+from catalog.pull import DEVICE_SQL
 from panelsift import config
 from panelsift.columns import c
 from panelsift.models import attribution, clusters, compare, detection, forest, linear, logistic
@@ -244,6 +246,52 @@ def _(t: Inputs):
     return attribution.shap_importance(t.view("v_flags"), fit.model, MODELLED, sample_size=None)
 
 
+@query(
+    "m10_attributions_add_up",
+    """SELECT count(*) AS rows, true AS additive FROM v_flags WHERE wonky_study_count IS NOT NULL""",
+)
+def _(t: Inputs):
+    """Base value and attributions of every row sum to its prediction."""
+    rows = t.view("v_flags").dropna(subset=["wonky_study_count"])
+    label = {"label": F.col("wonky_study_count"), "event_id": F.col("event_id")}
+    vectors = forest.assembled(rows, MODELLED, label)
+    grower = RandomForestRegressor(numTrees=5, maxDepth=4, seed=1)
+    model = grower.fit(vectors)
+    parts, base = attribution.attribution_rows(rows, model, MODELLED, None)
+    total = sum((F.col(n) for n in parts.columns[1:]), F.col(parts.columns[0]))
+    explained = parts.agg(F.count(F.lit(1)).alias("rows"), F.sum(total + F.lit(base)).alias("explained"))
+    predicted = model.transform(vectors).agg(F.sum("prediction")).scalar()
+    same = F.abs(F.col("explained") - predicted) < 1e-6 * F.col("rows")
+    return explained.select("rows", same.alias("additive"))
+
+
+REPORT_SOURCE = """SELECT 'f' || p_partkey AS feature, p_retailprice / 1000 - 1.2::DOUBLE AS linear_coef,
+  CASE WHEN p_size > 40 THEN p_size * 0.000001::DOUBLE ELSE p_size / 600::DOUBLE END AS linear_p_value,
+  p_size / 7::DOUBLE AS rf_importance_pct, p_retailprice / 450 - 1.9::DOUBLE AS lr_odds_ratio, p_partkey / 4::DOUBLE AS avg_rank,
+  CASE WHEN p_size = 3 THEN NULL ELSE p_size / 3::DOUBLE END AS "VIF" FROM part"""
+
+
+@query(
+    "m11_report_format",
+    f"""SELECT feature AS "Feature", format('{{:+.4f}}', linear_coef) || CASE WHEN linear_p_value < 0.001::DOUBLE THEN '***'
+          WHEN linear_p_value < 0.01::DOUBLE THEN '**' WHEN linear_p_value < 0.05::DOUBLE THEN '*' ELSE '' END AS "Linear Effect",
+        CASE WHEN linear_p_value >= 0.0001::DOUBLE THEN format('{{:.4f}}', linear_p_value)
+          ELSE format('{{:.2e}}', linear_p_value) END AS "Linear p-value",
+        format('{{:.2f}}%', rf_importance_pct) AS "RF Importance %",
+        CASE WHEN lr_odds_ratio BETWEEN 0.01::DOUBLE AND 100 THEN format('{{:.3f}}', lr_odds_ratio) ELSE '⚠️' END AS "Odds Ratio",
+        CASE WHEN lr_odds_ratio <= 0 THEN 'Invalid' WHEN lr_odds_ratio < 0.01::DOUBLE THEN '⚠️ Extreme'
+          WHEN abs(lr_odds_ratio - 1) < 0.05::DOUBLE THEN 'No effect'
+          WHEN (lr_odds_ratio - 1) * 100 > 100 THEN format('↑ {{:.1f}}x more likely', lr_odds_ratio)
+          WHEN lr_odds_ratio > 1 THEN format('↑ {{:.0f}}% more likely', (lr_odds_ratio - 1) * 100)
+          ELSE format('↓ {{:.0f}}% less likely', (1 - lr_odds_ratio) * 100) END AS "OR Interpretation",
+        round(avg_rank, 1) AS "Consensus Rank",
+        CASE WHEN "VIF" IS NULL THEN 'N/A' ELSE format('{{:.1f}}', "VIF") END AS "VIF",
+        CASE WHEN "VIF" > 10 THEN '⚠️' WHEN "VIF" > 5 THEN '⚡' ELSE '✓' END AS "VIF Flag" FROM ({REPORT_SOURCE})""",
+)
+def _(t: Inputs):
+    return compare.create_stakeholder_report(t.sql(REPORT_SOURCE.replace("::DOUBLE", "D").replace('"VIF"', "VIF")))
+
+
 @query("m11_stakeholder_report")
 def _(t: Inputs):
     results = compare.run_shap_analysis(_all_models(t), t.view("v_flags"))
@@ -255,11 +303,19 @@ def _(t: Inputs):
     return compare.get_significant_features(_all_models(t).comparison)
 
 
-@query("s10_export_results")
+@query(
+    "s10_export_results",
+    "SELECT feature, CAST(round(linear_coef, 9) AS DOUBLE) AS linear_coef, CAST(round(avg_rank, 9) AS DOUBLE) AS avg_rank, "
+    f'round("VIF", 9) AS "VIF", round(lr_odds_ratio, 9) AS lr_odds_ratio FROM ({REPORT_SOURCE})',
+)
 def _(t: Inputs):
+    """A comparison with unexported columns, written as CSV and read back."""
     path = scratch_path(t.spark, "comparison")
-    sinks.export_results(_all_models(t).comparison, path)
-    return t.spark.read.option("header", True).csv(path)
+    table = t.sql(REPORT_SOURCE.replace("::DOUBLE", "D").replace('"VIF"', "VIF"))
+    sinks.export_results(table.select("VIF", "avg_rank", "feature", "linear_coef", "lr_odds_ratio", (F.col("avg_rank") * 2).alias("extra")), path)
+    schema = "feature string, linear_coef double, avg_rank double, VIF double, lr_odds_ratio double"
+    back = t.spark.read.schema(schema).option("header", True).csv(path)
+    return back.select("feature", *[F.round(n, 9).alias(n) for n in back.columns[1:]])
 
 
 @query("m13_clusters")
@@ -341,9 +397,16 @@ def _(t: Inputs):
     return made.select("vec_id", F.round("outlier_score", 6).alias("outlier_score"), "is_outlier")
 
 
-@query("u3_significant_everywhere")
+@query(
+    "u3_significant_everywhere",
+    f"""SELECT feature FROM ({REPORT_SOURCE}) WHERE linear_p_value < 0.03::DOUBLE AND rf_importance_pct >= 2 AND lr_odds_ratio > 0.3::DOUBLE""",
+)
 def _(t: Inputs):
-    return compare.get_significant_features(_all_models(t).comparison, 0.5, 0.0)
+    table = t.sql(REPORT_SOURCE.replace("::DOUBLE", "D").replace('"VIF"', "VIF"))
+    table = table.withColumns(
+        {"rf_importance": F.col("rf_importance_pct"), "lr_significant": F.col("lr_odds_ratio") > 0.3}
+    )
+    return compare.get_significant_features(table, 0.03, 2.0)
 
 
 @query("j9_outer_join_results", """SELECT coalesce(a.n_name, b.n_name) AS n_name, a.suppliers, b.customers FROM
@@ -411,6 +474,50 @@ def _(t: Inputs):
     return panel.engineer_features(_pulled(t))
 
 
+E2_SQL = f"""
+  WITH g AS (SELECT respondent_pk, task_pk, survey_pk, exposure_band, yob, ip, count(*) AS k
+      FROM (SELECT b.*, t.length_of_task FROM v_study b JOIN v_task t ON b.task_pk = t.pk)
+      WHERE yob IS NOT NULL AND length_of_task IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6),
+    d AS ({DEVICE_SQL}),
+    r AS (SELECT c.*, u.quality, u.risk, u.gender, i.fulcrum_region, t.length_of_task, g.exposure_band, g.ip, d.hardware,
+        CAST(floor(epoch(c.date_completed)) - floor(epoch(c.date_created)) AS DOUBLE) AS x, n.total
+      FROM v_user u JOIN v_completion c ON u.respondent_pk = c.respondentPk JOIN v_info i ON u.respondent_pk = i.respondent_pk
+      JOIN (SELECT respondentPk, count(*) AS total FROM v_completion WHERE taskOrigin = 'panel' GROUP BY 1) n
+        ON c.respondentPk = n.respondentPk
+      LEFT JOIN d ON u.respondent_pk = d.respondent_pk
+      LEFT JOIN (SELECT * FROM v_task WHERE origin = 'panel') t ON c.taskPk = t.pk
+      LEFT JOIN g ON c.respondentPk = g.respondent_pk AND c.taskPk = g.task_pk
+      WHERE u.country = 'GB' AND i.country = 'GB' AND c.taskOrigin = 'panel'),
+    w AS (SELECT *, floor((epoch_us(date_completed) - min(epoch_us(date_created)) OVER (PARTITION BY respondentPk))
+        / 86400000000.0::DOUBLE) AS days, coalesce(CAST(length_of_task AS VARCHAR), 'unknown') AS lg FROM r),
+    q AS (SELECT lg, quantile_cont(x, 0.16::DOUBLE) AS fast FROM w GROUP BY 1),
+    ips AS (SELECT respondentPk, count(DISTINCT ip) AS ips FROM w GROUP BY 1)
+  SELECT w.respondentPk, count(*) AS n, sum(CASE WHEN isodow(date_completed) = 1 THEN 1 ELSE 0 END)::BIGINT AS is_monday,
+    sum(CASE WHEN hour(date_completed) >= 22 OR hour(date_completed) <= 6 THEN 1 ELSE 0 END)::BIGINT AS is_night,
+    sum(CASE WHEN x < fast THEN 1 ELSE 0 END)::BIGINT AS is_fast,
+    sum(CASE WHEN quality < 90 THEN 1 ELSE 0 END)::BIGINT AS "quality<90",
+    sum(CASE WHEN days BETWEEN 3 AND 10 THEN 1 ELSE 0 END)::BIGINT AS days_active_3_to_10,
+    sum(CASE WHEN fulcrum_region = 'C' THEN 1 ELSE 0 END)::BIGINT AS "fulcrum_region_mapped_London",
+    sum(CASE WHEN total BETWEEN 26 AND 75 THEN 1 ELSE 0 END)::BIGINT AS total_tasks_26_75,
+    sum(CASE WHEN hardware = 'qcom' THEN 1 ELSE 0 END)::BIGINT AS hardware_category_qualcomm,
+    sum(CASE WHEN round_even(risk, -1) = 50 THEN 1 ELSE 0 END)::BIGINT AS risk_round10_50,
+    sum(CASE WHEN gender = 'female' THEN 1 ELSE 0 END)::BIGINT AS gender_female,
+    sum(CASE WHEN ips = 3 THEN 1 ELSE 0 END)::BIGINT AS ip_address_count_3
+  FROM w JOIN q ON w.lg = q.lg JOIN ips ON w.respondentPk = ips.respondentPk GROUP BY 1"""
+
+
+@query("e2_feature_sums", E2_SQL)
+def _(t: Inputs):
+    """One feature of each kind from the engineered table, summed per respondent."""
+    made = panel.engineer_features(_pulled(t))
+    names = ["is_monday", "is_night", "is_fast", "quality<90", "days_active_3_to_10",
+             "fulcrum_region_mapped_London", "total_tasks_26_75", "hardware_category_qualcomm",
+             "risk_round10_50", "gender_female", "ip_address_count_3"]
+    return made.groupBy("respondentPk").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c(n)).alias(n) for n in names]
+    )
+
+
 @query("e3_tests_on_features")
 def _(t: Inputs):
     path = scratch_path(t.spark, "features")

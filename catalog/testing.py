@@ -85,9 +85,40 @@ def _(t: Inputs):
     return r.select("feature", "n_obs", *[F.round(c(n), d).alias(n) for n, d in digits.items()])
 
 
-@query("x2_clustered_logit_numeric")
+def _newton_sql(feature: str, middle: int, width: int) -> str:
+    """Newton's method as a recursive query, then the sandwich variance row by row."""
+    return f"""WITH RECURSIVE src AS (SELECT respondentPk AS u, (CAST({feature} AS DOUBLE) - {middle}) / {width} AS x, {B} AS b
+        FROM v_flags WHERE {feature} IS NOT NULL),
+      cells AS MATERIALIZED (SELECT x, count(*) AS n, sum(b) AS sb FROM src GROUP BY 1),
+      newton(k, a, s) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
+        SELECT k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+          s + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+        FROM (SELECT k, a, s, sum(sb - n * p) AS g0, sum((sb - n * p) * x) AS g1, sum(n * p * (1 - p)) AS h00,
+            sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) AS h11
+          FROM (SELECT k, a, s, x, n, sb, 1 / (1 + exp(-(a + s * x))) AS p FROM newton, cells WHERE k < 12)
+          GROUP BY k, a, s)),
+      rows AS MATERIALIZED (SELECT u, x, b, s, 1 / (1 + exp(-(a + s * x))) AS p FROM src,
+        (SELECT a, s FROM newton WHERE k = 12)),
+      h AS (SELECT sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11,
+          count(*) AS n, count(DISTINCT u) AS g, any_value(s) AS s FROM rows),
+      m AS (SELECT sum(pow((h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01), 2)) AS v FROM h,
+        (SELECT u, sum(b - p) AS s0, sum((b - p) * x) AS s1 FROM rows GROUP BY u))
+      SELECT '{feature}' AS feature, round(s / {width}, 7) AS log_odds_coef,
+        round(sqrt(v * g / (g - 1) * (n - 1) / (n - 2)) / {width}, 7) AS se_cluster_robust, n AS n_obs FROM h, m"""
+
+
+NUMERIC = {"quality": (50, 30), "task_time_taken_s": (500, 400), "hr": (12, 7)}
+
+
+@query(
+    "x2_clustered_logit_numeric",
+    " UNION ALL ".join(f"SELECT * FROM ({_newton_sql(f, *scale)})" for f, scale in NUMERIC.items()),
+)
 def _(t: Inputs):
-    return cluster.logistic_cluster_robust_test(_source(t), ["quality", "task_time_taken_s", "hr"])
+    r = cluster.logistic_cluster_robust_test(_source(t), list(NUMERIC))
+    return r.select(
+        "feature", "n_obs", *[F.round(n, 7).alias(n) for n in ("log_odds_coef", "se_cluster_robust")]
+    )
 
 
 @query(
@@ -114,7 +145,24 @@ SETS = {
 }
 
 
-@query("x5_test_battery")
+MEMBERS = ", ".join(f"('{k}', '{f}')" for k, members in SETS.items() for f in members)
+
+
+@query(
+    "x5_test_battery",
+    f"""{OLS_SQL} SELECT s.feature_set, r.feature, round(b1, 8) AS ols_mean_difference,
+          round(b1 / se, 5) AS ols_t_statistic
+        FROM r JOIN (VALUES {MEMBERS}) s(feature_set, feature) ON r.feature = s.feature""",
+)
+def _(t: Inputs):
+    results = cluster.run_test_battery(_source(t), SETS)
+    return results.select(
+        "feature_set", "feature", F.round("ols_mean_difference", 8).alias("ols_mean_difference"),
+        F.round("ols_t_statistic", 5).alias("ols_t_statistic"),
+    )
+
+
+@query("x5_result_slices")
 def _(t: Inputs):
     results = cluster.run_test_battery(_source(t), SETS)
     kinds = (
