@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelsift.columns import c, strip
+from panelsift.columns import any_of, c, strip
 
 # Lowest model number of each tier, highest tier first.
 IPHONE_GENERATIONS = ((17, "iphone_16"), (15, "iphone_15"), (14, "iphone_14"), (13, "iphone_13"))
@@ -105,11 +105,12 @@ Rule = tuple[Column, Column]
 
 
 def _any_contains(text: Column, *patterns: str) -> Column:
-    return text.rlike("|".join(patterns))
+    # plain byte search; a regular expression would decode the text for every rule
+    return any_of([text.contains(p) for p in patterns])
 
 
 def _any_starts(text: Column, *patterns: str) -> Column:
-    return text.rlike("^(" + "|".join(patterns) + ")")
+    return any_of([text.startswith(p) for p in patterns])
 
 
 def _holds(text: Column, how: str, patterns: Sequence[str]) -> Column:
@@ -138,8 +139,12 @@ def _number_after(text: Column, word_pattern: str) -> Column:
     return F.regexp_extract(text, word_pattern + r"(\d+)", 1).try_cast("double")
 
 
-def hardware_category(hardware: Column) -> Column:
-    hw = F.lower(strip(hardware.cast("string")))
+def cleaned(raw: Column) -> Column:
+    return F.lower(strip(raw.cast("string")))
+
+
+def hardware_category(hw: Column) -> Column:
+    """Category of a cleaned hardware text."""
     generation = _number_after(hw, r"iphone\s*")
     mediatek = _number_after(hw, "mt")
     kirin = _number_after(hw, r"kirin\s*")
@@ -171,17 +176,24 @@ def hardware_category(hardware: Column) -> Column:
     return _first_match(rules, F.lit("other"))
 
 
-def manufacturer_category(manufacturer: Column) -> Column:
-    name = F.lower(strip(manufacturer.cast("string")))
+def manufacturer_category(name: Column) -> Column:
+    """Category of a cleaned manufacturer text."""
     return _first_match(
         [(name.isNull(), F.lit("unknown")), *_named(name, MANUFACTURERS)], F.lit("other")
     )
 
 
+def _with_categories(df: DataFrame, wanted) -> DataFrame:
+    """Add (source, new column, rules) categories, cleaning each source once per row."""
+    texts = {f"__text{i}": cleaned(c(source)) for i, (source, _, _) in enumerate(wanted)}
+    made = {new: rules(F.col(f"__text{i}")) for i, (_, new, rules) in enumerate(wanted)}
+    return df.withColumns(texts).withColumns(made).drop(*texts)
+
+
 def add_hardware_category(
     df: DataFrame, hardware_col: str = "ditr_hardware", new_col: str = "hardware_category"
 ) -> DataFrame:
-    return df.withColumn(new_col, hardware_category(c(hardware_col)))
+    return _with_categories(df, [(hardware_col, new_col, hardware_category)])
 
 
 def add_manufacturer_category(
@@ -189,7 +201,7 @@ def add_manufacturer_category(
     manufacturer_col: str = "ditr_manufacturer",
     new_col: str = "manufacturer_category",
 ) -> DataFrame:
-    return df.withColumn(new_col, manufacturer_category(c(manufacturer_col)))
+    return _with_categories(df, [(manufacturer_col, new_col, manufacturer_category)])
 
 
 def add_device_categories(
@@ -197,11 +209,12 @@ def add_device_categories(
     hardware_col: str = "ditr_hardware",
     manufacturer_col: str = "ditr_manufacturer",
 ) -> DataFrame:
-    return df.withColumns(
-        {
-            "hardware_category": hardware_category(c(hardware_col)),
-            "manufacturer_category": manufacturer_category(c(manufacturer_col)),
-        }
+    return _with_categories(
+        df,
+        [
+            (hardware_col, "hardware_category", hardware_category),
+            (manufacturer_col, "manufacturer_category", manufacturer_category),
+        ],
     )
 
 
@@ -227,9 +240,10 @@ def _mapping_summary(df: DataFrame, column: str, categorise) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("count"))
     )
     total = counts.agg(F.sum("count")).scalar()
-    return counts.select(
+    made = _with_categories(counts, [("original_value", "category", categorise)])
+    return made.select(
         "original_value",
-        categorise(F.col("original_value")).alias("category"),
+        "category",
         "count",
         F.round(F.col("count") / total * 100, 2).alias("pct"),
     ).orderBy(F.col("count").desc(), "original_value")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelsift.columns import c
 from panelsift.models.prepare import Scaler, fit_scaler
+from panelsift.operators.skew import lookup_join
 
 
 def behaviour_clusters(
@@ -38,7 +39,7 @@ def impute_by_cluster(
     """Fill gaps with the cluster's mean or most frequent value (the smaller on ties).
 
     Values are counted per cluster before they are compared; there is one fill row
-    per cluster, and as many clusters as the model has.
+    per cluster.
     """
     means = [F.avg(c(n)).alias(f"__fill_{n}") for n in numeric]
     fills = df.groupBy(c(cluster)).agg(F.count(F.lit(1)).alias("__rows"), *means)
@@ -48,7 +49,7 @@ def impute_by_cluster(
         )
         best = F.min_by(c(name), F.struct(-F.col("n"), c(name)))
         fills = fills.join(counts.groupBy(c(cluster)).agg(best.alias(f"__fill_{name}")), cluster, "left")
-    joined = df.join(F.broadcast(fills), cluster, "left")
+    joined = lookup_join(df, fills, [cluster], "left")
     filled = {
         n: F.coalesce(c(n), F.col(f"`__fill_{n}`")) for n in (*numeric, *categorical)
     }

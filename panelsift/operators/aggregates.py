@@ -63,9 +63,9 @@ def calculate_task_ratio(
     respondent_id_col: str = "respondentPk_tc",
 ) -> DataFrame:
     """Share of a respondent's tasks that were in flagged studies, and it capped at 1."""
-    joined = task_completed_df.join(
-        summary_df, c(respondent_id_col) == F.col("balance_respondentPk"), "inner"
-    )
+    totals = task_completed_df.withColumn("__respondent", c(respondent_id_col))
+    keyed = summary_df.withColumn("__respondent", F.col("balance_respondentPk"))
+    joined = salted_join(keyed, totals, ["__respondent"], "inner").drop("__respondent")
     ratio = F.try_divide(c(instances_col), c(task_completed_col))
     return joined.withColumn("wonky_task_ratio", ratio).withColumn(
         "wonky_task_ratio_cap",

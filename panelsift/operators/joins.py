@@ -175,8 +175,9 @@ def summary_with_task_totals(
     summary: DataFrame, user_info_df: DataFrame, id_col: str = "balance_respondentPk"
 ) -> DataFrame:
     """Respondent summary with the respondent's distinct completion totals."""
-    totals = respondent_task_totals(user_info_df)
-    return summary.join(totals, c(id_col) == F.col("respondentPk"), "left")
+    totals = respondent_task_totals(user_info_df).withColumn("__respondent", F.col("respondentPk"))
+    keyed = summary.withColumn("__respondent", c(id_col))
+    return salted_join(keyed, totals, ["__respondent"], "left").drop("__respondent")
 
 
 def respondent_task_totals(user_info_df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelsift.columns import c, existing, numeric_columns
 from panelsift.operators.ordered import quantiles, running_total, value_counts
+from panelsift.operators.skew import lookup_join
 
 # Features and display names of the speed breakdown, and chart names.
 SPEED_LABELS = {
@@ -31,6 +32,43 @@ def display_name(feature: str, labels: Mapping[str, str] | None = None) -> str:
     return (labels or {}).get(feature, feature.replace("_", " ").title())
 
 
+def feature_sums(df: DataFrame, features: Sequence[str], state: Column) -> DataFrame:
+    """Per feature and row state: rows, missing values, sum and number of ones.
+
+    Flags are mostly 0, so a row yields one base entry and one entry per feature
+    that is missing or not 0. They are combined per (feature, state) before the
+    shuffle; a wide aggregate over hundreds of features would leave generated code.
+    Columns: ``i`` (position of the feature), ``state``, ``n``, ``m``, ``s``, ``n1``.
+    """
+    base = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("x"))
+    entries = [base]
+    for i, name in enumerate(features):
+        x = F.nanvl(c(name).cast("double"), F.lit(None).cast("double"))
+        entries.append(F.when(x.isNull() | (x != 0), F.struct(F.lit(i).alias("i"), x.alias("x"))))
+    found = (
+        df.select(state.alias("state"), F.inline(F.array_compact(F.array(*entries))))
+        .groupBy("i", "state")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("x").isNull()).alias("m"),
+            F.sum("x").alias("s"),
+            F.count_if(F.col("x") == 1).alias("n1"),
+        )
+    )
+    # one row per state, repeated per feature so that all-zero features are there too
+    every = found.where("i = -1").select(
+        "state", "n", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("i")
+    )
+    sums = found.where("i >= 0").select("i", "state", "m", "s", "n1")
+    return every.join(sums, ["i", "state"], "left").select(
+        "i",
+        "state",
+        "n",
+        *[F.coalesce(c(n), F.lit(0)).alias(n) for n in ("m", "n1")],
+        F.coalesce("s", F.lit(0.0)).alias("s"),
+    )
+
+
 def breakdown(
     df: DataFrame,
     features: Sequence[str],
@@ -41,8 +79,8 @@ def breakdown(
     """Percentage of 1s per feature: all rows, flagged rows, other rows, difference.
 
     "Other" means a missing group value if any is missing, else a value of 0. One
-    pass over the data whatever the number of features: a single wide aggregate,
-    turned to long form afterwards.
+    pass over the data whatever the number of features. An empty side counts as 0
+    percent; a side whose values are all missing stays null.
     """
     names = existing(df, features)
     if group_col not in df.columns:
@@ -50,43 +88,37 @@ def breakdown(
     if not names:
         raise ValueError("none of the features exist")
     group = c(group_col)
-    flagged = F.coalesce(group > group_threshold, F.lit(False))
-    sums = []
-    for i, name in enumerate(names):
-        value = c(name)
-        sums += [
-            F.avg(value).alias(f"a{i}"),
-            F.avg(F.when(flagged, value)).alias(f"f{i}"),
-            F.avg(F.when(group.isNull(), value)).alias(f"n{i}"),
-            F.avg(F.when(group == 0, value)).alias(f"z{i}"),
-        ]
-    missing = F.count_if(group.isNull())
-    wide = df.agg(
-        missing.alias("missing"),
-        F.count_if(flagged).alias("flagged"),
-        F.count_if(group == 0).alias("zeros"),
-        *sums,
+    # a value can be flagged and zero at once when the threshold is negative
+    bits = {1: group > group_threshold, 2: group == 0, 4: group.isNull()}
+    state = sum((F.when(test, bit).otherwise(0) for bit, test in bits.items()), F.lit(0))
+    sums = feature_sums(df, names, state)
+
+    def within(bit: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("state").bitwiseAND(bit) > 0, value))
+
+    known = F.col("n") - F.col("m")
+    totals = sums.groupBy("i").agg(
+        F.try_divide(F.sum("s"), F.sum(known)).alias("all"),
+        *[F.coalesce(within(bit, F.col("n")), F.lit(0)).alias(f"n{bit}") for bit in bits],
+        *[F.try_divide(within(bit, F.col("s")), within(bit, known)).alias(f"p{bit}") for bit in bits],
+    )
+    missing = F.col("n4") > 0
+    group_share = F.when(F.col("n1") > 0, F.col("p1")).otherwise(0.0)
+    other = F.when(missing, F.col("p4")).when(F.col("n2") > 0, F.col("p2")).otherwise(0.0)
+
+    def text(values: Sequence[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("i") + 1)
+
+    return totals.select(
+        F.col("i").alias("position"),
+        text(names).alias("feature"),
+        text([display_name(n, labels) for n in names]).alias("label"),
+        (F.col("all") * 100).alias("all_pct"),
+        (group_share * 100).alias("group_pct"),
+        (other * 100).alias("other_pct"),
+        ((group_share - other) * 100).alias("delta_pct"),
+        F.when(missing, "missing").otherwise("zero").alias("other_means"),
     )
-    # an empty side counts as 0 percent; a side whose values are all missing stays null
-    has_missing = F.col("missing") > 0
-
-    def one(i: int, name: str) -> Column:
-        group_share = F.when(F.col("flagged") > 0, F.col(f"f{i}")).otherwise(F.lit(0.0))
-        other = F.when(has_missing, F.col(f"n{i}")).when(F.col("zeros") > 0, F.col(f"z{i}"))
-        other = other.otherwise(F.lit(0.0))
-        return F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("feature"),
-            F.lit(display_name(name, labels)).alias("label"),
-            (F.col(f"a{i}") * 100).alias("all_pct"),
-            (group_share * 100).alias("group_pct"),
-            (other * 100).alias("other_pct"),
-            ((group_share - other) * 100).alias("delta_pct"),
-            F.when(has_missing, "missing").otherwise("zero").alias("other_means"),
-        )
-
-    rows = F.array(*[one(i, n) for i, n in enumerate(names)])
-    return wide.select(F.inline(rows))
 
 
 def create_breakdown_summary(
@@ -283,8 +315,7 @@ def distribution_by_group(df: DataFrame, column: str, groups: Sequence[str]) ->
     counts = rows.groupBy(*[c(g) for g in groups], c(column)).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(*[c(g) for g in groups]).agg(F.sum("n").alias("group_rows"))
     return (
-        counts.where(c(column).isNotNull())
-        .join(sizes, list(groups))
+        lookup_join(counts.where(c(column).isNotNull()), sizes, groups, "inner")
         .withColumn("percent", F.col("n") / F.col("group_rows") * 100)
     )
 
@@ -320,23 +351,17 @@ def exposure_share(
     """Per flag: its sum in both exposure bands over all rows, and the difference."""
     names = existing(df, features)
     band = c(exposure_col)
-    sums = []
-    for i, n in enumerate(names):
-        sums.append(F.sum(F.when(band == exposed, c(n)).otherwise(0)).alias(f"e{i}"))
-        sums.append(F.sum(F.when(band == control, c(n)).otherwise(0)).alias(f"c{i}"))
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("feature"),
-                (F.col(f"c{i}") / F.col("rows")).alias("control"),
-                (F.col(f"e{i}") / F.col("rows")).alias("exposed"),
-                ((F.col(f"e{i}") - F.col(f"c{i}")) / F.col("rows")).alias("delta"),
-            )
-            for i, n in enumerate(names)
-        ]
+    side = F.when(band == exposed, "exposed").when(band == control, "control").otherwise("none")
+    totals = feature_sums(df, names, side).groupBy("i").agg(
+        F.sum("n").alias("rows"),
+        *[F.sum(F.when(F.col("state") == n, F.col("s")).otherwise(0.0)).alias(n) for n in ("exposed", "control")],
+    )
+    return totals.select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("feature"),
+        (F.col("control") / F.col("rows")).alias("control"),
+        (F.col("exposed") / F.col("rows")).alias("exposed"),
+        ((F.col("exposed") - F.col("control")) / F.col("rows")).alias("delta"),
     )
-    return wide.select(F.inline(rows))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -110,7 +110,7 @@ def pull_panel(
     )
     # the totals do not need the merged rows, which repeat the same count per row
     totals = joins.respondent_task_totals(enriched)
-    summary = summary.join(totals, F.col("balance_respondentPk") == F.col("respondentPk"), "left")
+    summary = joins.summary_with_task_totals(summary, enriched)
     counts = aggregates.calculate_task_ratio(
         totals.withColumnsRenamed(
             {"task_completed": "tasks_completed", "respondentPk": "respondentPk_tc"}

@@ -45,22 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """New path below the shared folder for an intermediate table."""
+    return f"{shared_dir(spark).rstrip('/')}/panelsift/{uuid.uuid4().hex}/{name}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute a frame once into reliable storage and read it from there.
+    """Write a frame to a table in the shared folder and read it from there.
 
     Used where a frame feeds several later jobs or where two branches of a plan
-    must see the very same rows; a lost executor then costs a re-read only.
+    must see the very same rows. The table is columnar, so later steps read only
+    what they need and know its size; a lost executor costs a re-read only.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """New path below the shared folder for an intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/panelsift/{uuid.uuid4().hex}/{name}"
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from panelsift.columns import c, existing
 from panelsift.operators.ordered import running_total
-from panelsift.operators.profile import long_metrics
+from panelsift.operators.profile import feature_sums, long_metrics
 from panelsift.stats.effects import normal_p_value
 
 
@@ -22,30 +22,22 @@ def contingency(
     """2x2 counts per flag against a positive group value (missing counts as 0).
 
     ``n11`` counts flag 1 in the group, ``n01`` flag 0 in the group, and so on; a row
-    with a missing flag is left out for that flag. One wide aggregate, no expansion.
+    with a missing flag is left out for that flag. One pass for all flags.
     """
     names = existing(df, feature_set)
-    grouped = F.coalesce(c(group_var) > 0, F.lit(False))
-    counts = []
-    for i, n in enumerate(names):
-        on, off = c(n) == 1, c(n) != 1
-        counts += [
-            F.count_if(on & grouped).alias(f"a{i}"), F.count_if(on & ~grouped).alias(f"b{i}"),
-            F.count_if(off & grouped).alias(f"c{i}"), F.count_if(off & ~grouped).alias(f"d{i}"),
-        ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("feature"),
-                *[
-                    F.col(f"{letter}{i}").cast("double").alias(cell)
-                    for letter, cell in zip("abcd", ("n11", "n10", "n01", "n00"))
-                ],
-            )
-            for i, n in enumerate(names)
-        ]
-    )
-    return df.agg(*counts).select(F.inline(rows))
+    inside = F.coalesce(c(group_var) > 0, F.lit(False))
+    sums = feature_sums(df, names, inside)
+
+    def cell(side: bool, count: Column) -> Column:
+        return F.sum(F.when(F.col("state") == side, count).otherwise(0)).cast("double")
+
+    on, off = F.col("n1"), F.col("n") - F.col("m") - F.col("n1")
+    cells = sums.groupBy("i").agg(
+        cell(True, on).alias("n11"), cell(False, on).alias("n10"),
+        cell(True, off).alias("n01"), cell(False, off).alias("n00"),
+    )
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
+    return cells.select(named.alias("feature"), "n11", "n10", "n01", "n00")
 
 
 def chi_square_tests(
