@@ -32,6 +32,22 @@ def display_name(feature: str, labels: Mapping[str, str] | None = None) -> str:
     return (labels or {}).get(feature, feature.replace("_", " ").title())
 
 
+def sparse_entries(features: Sequence[str]) -> Column:
+    """Array of (``i``, ``x``): a base entry -1, then each feature that is missing or not 0.
+
+    The values go into one array and the rest is done on its elements, which keeps
+    the plan small for hundreds of features.
+    """
+    nothing = F.lit(None).cast("double")
+    values = F.array(*[c(n).cast("double") for n in features])
+    numbered = F.transform(
+        values, lambda x, i: F.struct(i.alias("i"), F.nanvl(x, nothing).alias("x"))
+    )
+    kept = F.filter(numbered, lambda e: e["x"].isNull() | (e["x"] != 0))
+    base = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("x")))
+    return F.concat(base, kept)
+
+
 def feature_sums(df: DataFrame, features: Sequence[str], state: Column) -> DataFrame:
     """Per feature and row state: rows, missing values, sum and number of ones.
 
@@ -40,13 +56,8 @@ def feature_sums(df: DataFrame, features: Sequence[str], state: Column) -> DataF
     shuffle; a wide aggregate over hundreds of features would leave generated code.
     Columns: ``i`` (position of the feature), ``state``, ``n``, ``m``, ``s``, ``n1``.
     """
-    base = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("x"))
-    entries = [base]
-    for i, name in enumerate(features):
-        x = F.nanvl(c(name).cast("double"), F.lit(None).cast("double"))
-        entries.append(F.when(x.isNull() | (x != 0), F.struct(F.lit(i).alias("i"), x.alias("x"))))
     found = (
-        df.select(state.alias("state"), F.inline(F.array_compact(F.array(*entries))))
+        df.select(state.alias("state"), F.inline(sparse_entries(features)))
         .groupBy("i", "state")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -187,13 +198,14 @@ def breakdown_chart_data(
 
 def long_metrics(df: DataFrame, metrics: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
     """(kept columns, ``metric``, ``value``) for the non-missing values of the metrics."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), c(m).cast("double").alias("value"))
-            for m in metrics
-        ]
-    )
-    return df.select(*keep, F.inline(pairs)).where(F.col("value").isNotNull())
+    if not metrics:
+        raise ValueError("no metrics")
+    values = F.array(*[c(m).cast("double") for m in metrics])
+    long = df.select(*keep, F.posexplode(values).alias("__i", "value"))
+    known = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    name = F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("__i") + 1)
+    kept = [n for n in long.columns if n not in ("__i", "value")]
+    return known.select(*[c(n) for n in kept], name.alias("metric"), "value")
 
 
 def create_feature_breakdown_table(

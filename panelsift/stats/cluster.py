@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, existing
+from panelsift.operators.profile import sparse_entries
 from panelsift.session import materialise
 from panelsift.stats.effects import Z_95, cohens_d_label, normal_p_value, odds_ratio_label
 
@@ -60,17 +61,11 @@ class ClusterSums:
         return F.element_at(F.array(*[F.lit(f) for f in self.features]), index + 1)
 
     def _summed(self) -> DataFrame:
-        entries = [F.struct(F.lit(BASE).alias("i"), F.lit(0.0).alias("x"))]
-        for i, feature in enumerate(self.features):
-            x = self.value(feature)
-            entries.append(
-                F.when(x.isNull() | (x != 0), F.struct(F.lit(i).alias("i"), x.alias("x")))
-            )
         long = self.df.where(c(self.user).isNotNull()).select(
             c(self.user).alias("u"),
             self.y.alias("y"),
             self.positive.alias("b"),
-            F.inline(F.array_compact(F.array(*entries))),
+            F.inline(sparse_entries(self.features)),
         )
         x, y, b = F.col("x"), F.col("y"), F.col("b")
         per_user = long.groupBy("i", "u").agg(
