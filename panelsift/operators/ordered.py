@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelsift.columns import all_of, any_of, c
 from panelsift.operators.skew import lookup_join
-from panelsift.session import materialise, shuffle_width
+from panelsift.session import materialise
 
 # up to this many rows, ordering all distinct values is cheaper than bracketing
 DIRECT_ROWS = 5_000_000
@@ -33,14 +33,13 @@ def running_total(
     total within a key (aggregate to distinct values first), since equal rows get
     successive totals in an arbitrary order.
     """
-    spark = df.sparkSession
     weights = {f"__w{i}": weight for i, weight in enumerate(totals.values())}
     ranged = materialise(
         df.withColumns(weights)
-        .repartitionByRange(shuffle_width(spark), *[c(k) for k in keys], *order)
+        .repartitionByRange(*[c(k) for k in keys], *order)
         .withColumn("__part", F.spark_partition_id())
     )
-    # (key, part) sums; only keys that reach into a later part carry anything,
+    # the part of a row is fixed by the table just written; (key, part) sums: only keys that reach into a later part carry anything,
     # at most one per part, which bounds the broadcast by the partition count
     along = Window.partitionBy(*[c(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     before = along.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

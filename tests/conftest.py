@@ -11,6 +11,8 @@ def spark():
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            # small tables must still span several range partitions
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.driver.memory": "8g",
         },
     )

@@ -35,12 +35,25 @@ def test_salted_join_equals_plain_join(skewed, how):
     assert values(salted, "id", "k", "v", "w") == values(plain, "id", "k", "v", "w")
 
 
-def test_salting_spreads_one_key_over_tasks(skewed):
+def test_salting_spreads_one_key_over_tasks(spark, skewed):
+    # these tables are small enough to be broadcast at run time, which needs no spreading
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in limits:
+        spark.conf.set(name, "-1")
     hot = skew.find_hot_keys(skewed, ["k"], rows_per_task=100)
     small = skewed.select("k").distinct().withColumn("w", F.lit(1))
-    joined = skew.salted_join(skewed.repartition(8, "id"), small, ["k"], "left", hot)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan
+    rows = skewed.repartition(8)
+    tasks = {
+        n: skew.salted_join(rows, small, ["k"], "inner", h)
+        .where("k = 0")
+        .select(F.spark_partition_id())
+        .distinct()
+        .count()
+        for n, h in (("spread", hot), ("plain", skew.HotKeys([], hot.types)))
+    }
+    for name in limits:
+        spark.conf.unset(name)
+    assert tasks["plain"] == 1 and tasks["spread"] > 1
 
 
 def test_attach_per_key_is_a_window_with_null_group(skewed):
@@ -76,6 +89,11 @@ def test_running_total_equals_window(skewed, keys):
     assert values(made, "id", "t") == values(plain, "id", "t")
 
 
+def test_groups_do_span_range_partitions(skewed):
+    parts = skewed.repartitionByRange("k", "v").select(F.spark_partition_id().alias("p"), "k")
+    assert parts.distinct().groupBy("k").count().where("count > 1").count() > 0
+
+
 def test_row_numbers_cover_copies(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), F.lit(5).alias("v"))
     made = ordered.numbered(df, ["k"], [F.col("v")], "n")
