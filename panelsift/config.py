@@ -166,29 +166,6 @@ class StudySettings:
     cols_to_drop: list[str] = field(default_factory=list)
 
 
-@dataclass
-class ModelSettings:
-    """Model hyperparameters and evaluation targets."""
-
-    target_fraud_rate: float = 0.05
-    kmeans_clusters: int = 5
-    seed: int = 42
-    forest_trees: int = 100
-    forest_depth: int = 20
-    forest_min_leaf: int = 2
-    boosting_rounds: int = 100
-    boosting_rate: float = 0.1
-    boosting_depth: int = 5
-    outlier_trees: int = 100
-    outlier_share: float = 0.1
-    correlation_threshold: float = 0.8
-    importance_threshold: float = 0.01
-    test_size: float = 0.2
-    folds: int = 5
-    target_precision: float = 0.8
-    target_recall: float = 0.7
-
-
 def read_yaml(path: str | Path) -> dict[str, Any]:
     import yaml
 

@@ -210,7 +210,3 @@ def with_configured_studies(raw: Mapping[str, object]) -> config.StudySettings:
     labels = next(v for k, v in raw.items() if k.endswith("study_uuids"))
     settings = {k: v for k, v in raw.items() if not k.endswith("study_uuids")}
     return config.from_mapping(config.StudySettings, {**settings, "study_labels": labels})
-
-
-def filled_outcome(df: DataFrame, outcome: str = "wonky_study_count") -> DataFrame:
-    return df.withColumn(outcome, F.coalesce(c(outcome), F.lit(0)))

@@ -11,6 +11,8 @@ from panelsift.models import (
     attribution, clusters, compare, detection, forest, linear, logistic, prepare,
 )
 from panelsift.operators.aggregates import hash_sample
+from panelsift.plans import panel
+from panelsift.stats import cluster
 from tests.conftest import values
 
 FEATURES = ["a=1", "b<2", "c"]
@@ -165,6 +167,14 @@ def test_all_models_compared(sample_df):
     assert kept == {"a=1", "b<2"}
 
 
+def test_models_on_features_significant_in_both_tests(sample_df):
+    df = sample_df.withColumn("wonky_study_count", F.when(F.rand(1) > 0.05, F.col("wonky_study_count")))
+    results = cluster.run_test_battery(df, {"all": FEATURES})
+    made = panel.model_features(df, results, ["c"], rf_n_estimators=3, rf_max_depth=3, n_splits=2)
+    assert made.feature_cols == ["a=1", "b<2", "c"]
+    assert made.linear_model.n == df.dropna().count()
+
+
 def test_ranks_share_ties(frame):
     df = compare.with_rank(frame("v double", [(2.0,), (2.0,), (9.0,), (None,)]), F.col("v"), "r")
     assert values(df, "v", "r") == [(2.0, 2.5), (2.0, 2.5), (9.0, 1.0), (None, None)]
