@@ -513,8 +513,10 @@ def _(t: Inputs):
     names = ["is_monday", "is_night", "is_fast", "quality<90", "days_active_3_to_10",
              "fulcrum_region_mapped_London", "total_tasks_26_75", "hardware_category_qualcomm",
              "risk_round10_50", "gender_female", "ip_address_count_3"]
+    # a category that does not occur has no column: none of its rows
+    flags = {n: c(n) if n in made.columns else F.lit(0) for n in names}
     return made.groupBy("respondentPk").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c(n)).alias(n) for n in names]
+        F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(n) for n, f in flags.items()]
     )
 
 
