@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsift.llm import quality, sharding, token_counts, token_files, viterbi
+from panelsift.llm import decontaminate, jaccard, language, pii, quality, sharding, token_counts, token_files, toxicity, viterbi
 from panelsift.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,55 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document, and whether decoding gives its text back."""
     coded = viterbi.encode_documents(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "ids", "n_ids", "ids_crc32", "lossless")
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    return decontaminate.leaks(documents(spark, folder), read_table(spark, folder, "benchmark"))
+
+
+SQL["op6_decontamination"] = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+item_shingles AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words WHERE len(w) >= 5)),
+sizes AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id),
+pairs AS (
+  SELECT doc_id, item_id, count(*) AS n_shared
+  FROM doc_shingles JOIN item_shingles USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item::DOUBLE AS containment
+FROM pairs JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_item
+"""
+
+
+@query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, folder, "labels")))
+
+
+@query
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(documents(spark, folder))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(documents(spark, folder))
