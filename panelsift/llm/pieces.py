@@ -16,13 +16,14 @@ BLANK = "▁"
 #: Stands for a character that has no piece and is written as its UTF-8 bytes.
 UNKNOWN = -1
 START = -2
+#: Remembered neighbour tests of a process.
+MAX_PAIRS = 500_000
 
 
 class PieceModel:
     """Vocabulary, trie and neighbour test of one model file."""
 
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -41,7 +42,6 @@ class PieceModel:
         )
         if not plain:
             raise ValueError(f"{path}: not a BPE model with byte fallback and identity rules")
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.text = [p.piece for p in model.pieces]
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
@@ -62,7 +62,7 @@ class PieceModel:
                 at = nxt
             if self.merge(piece) == [piece]:
                 self.ends[at] = i
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
         self.blanks = lru_cache(maxsize=4096)(self._blanks)
 
     def merge(self, text: str) -> list[str]:
@@ -97,9 +97,11 @@ class PieceModel:
         """Whether two pieces stay two when merged alone."""
         if left < 0:
             return True
-        key = (left, right)
+        key = left << 32 | right
         known = self._apart.get(key)
         if known is None:
+            if len(self._apart) > MAX_PAIRS:
+                self._apart.clear()
             a, b = self.text[left], self.text[right]
             known = self._apart[key] = self.merge(a + b) == [a, b]
         return known

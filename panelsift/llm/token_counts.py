@@ -23,8 +23,8 @@ from panelsift.llm.common import map_texts, texts_of
 
 CHUNK = 1 << 16
 #: Compiled states and remembered words per task; beyond it compilation starts anew.
-MAX_STATES = 200_000
-MAX_WORDS = 600_000
+MAX_STATES = 150_000
+MAX_WORDS = 400_000
 
 
 class Transducer:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from panelsift.llm.common import map_texts, texts_of
 
 #: Characters fed at a time; a whole text is never one lattice.
 BLOCK = 1 << 14
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 #: Longer words are not remembered.
 WORD_CHARS = 48
 
@@ -123,6 +124,10 @@ class LongWord:
         return self._lead(self.lattice.finish())
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 #: A word with the blanks before it, or blanks at the end.
 ITEM = re.compile(" *[^ ]+| +")
 
@@ -132,22 +137,22 @@ class Encoder:
 
     def __init__(self, model: pieces.PieceModel):
         self.model = model
-        self.items: dict[str, list[int]] = {}
+        self.items: dict[str, bytes] = {}
 
-    def _encode(self, item: str) -> list[int]:
+    def _encode(self, item: str) -> bytes:
         if item[-1] == " ":
-            ids = list(self.model.blanks(len(item)))
+            ids = packed(self.model.blanks(len(item)))
         else:
             long = LongWord(self.model, item)
-            ids = long.ids + long.finish()
+            ids = packed(long.ids + long.finish())
         if len(item) <= WORD_CHARS:
             if len(self.items) >= MAX_WORDS:
                 self.items.clear()
             self.items[item] = ids
         return ids
 
-    def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of the joined blocks, given out as they become final.
+    def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
+        """Ids of the joined blocks, 32 bits each, given out as they become final.
 
         The last item of a block may go on in the next one and is carried over; once it
         fills a block it goes to a lattice that is fed as it comes.
@@ -161,31 +166,40 @@ class Encoder:
             items = ITEM.findall(carry + block.replace(pieces.BLANK, " "))
             if long is not None:
                 if items[0][0] != " ":
-                    yield long.feed(items.pop(0))
+                    yield packed(long.feed(items.pop(0)))
                 if items:
-                    yield long.finish()
+                    yield packed(long.finish())
                     long = None
             carry = items.pop() if items else ""
-            out: list[int] = []
-            for item in items:
-                out += known.get(item) or self._encode(item)
-            yield out
+            yield b"".join([known.get(item) or self._encode(item) for item in items])
             if len(carry) > BLOCK and carry[-1] != " ":
                 long = LongWord(self.model, carry)
                 carry = ""
-                yield long.ids
+                yield packed(long.ids)
         if long is not None:
-            yield long.finish()
+            yield packed(long.finish())
         if started and carry:
             yield known.get(carry) or self._encode(carry)
 
-    def encode(self, text: str) -> list[int]:
-        return [
-            i
-            for part in self.stream(text[k : k + BLOCK] for k in range(0, len(text), BLOCK))
-            for i in part
+    def encode(self, text: str) -> np.ndarray:
+        blocks = (text[k : k + BLOCK] for k in range(0, len(text), BLOCK))
+        return np.frombuffer(b"".join(self.stream(blocks)), "<i4")
+
+
+class Decoder:
+    """Texts of id arrays, by a table of each id's bytes; the same text as ``PieceModel.decode``."""
+
+    def __init__(self, model: pieces.PieceModel):
+        self.parts = [
+            b"" if i in model.controls else bytes((model.byte_of[i],)) if i in model.byte_of else t.encode()
+            for i, t in enumerate(model.text)
         ]
 
+    def decode(self, ids: np.ndarray) -> str:
+        parts = self.parts
+        text = b"".join([parts[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(pieces.BLANK, " ")
+        return text[1:] if text[:1] == " " else text
+
 
 def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ids, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded, lossless.
@@ -198,12 +212,12 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
 
     def make():
         model = pieces.load(model_path)
-        encoder = Encoder(model)
+        encoder, decoder = Encoder(model), Decoder(model)
 
         def work(batch: pa.RecordBatch):
             texts = texts_of(batch, text)
-            all_ids = [np.array(encoder.encode(t), np.int32) for t in texts]
-            decoded = [model.decode(ids.tolist()) for ids in all_ids]
+            all_ids = [encoder.encode(t) for t in texts]
+            decoded = [decoder.decode(ids) for ids in all_ids]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])])
             flat = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -211,7 +225,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
                     batch.column(key),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
                     pa.array([len(x) for x in all_ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in all_ids], pa.int64()),
+                    pa.array([zlib.crc32(x.tobytes()) for x in all_ids], pa.int64()),
                     pa.array(decoded, pa.string()),
                     pa.array([a == b for a, b in zip(decoded, texts)], pa.bool_()),
                 ],
