@@ -17,7 +17,7 @@ BLANK = "▁"
 UNKNOWN = -1
 START = -2
 #: Remembered neighbour tests of a process.
-MAX_PAIRS = 500_000
+MAX_PAIRS = 250_000
 
 
 class PieceModel:

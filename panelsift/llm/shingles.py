@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True

@@ -23,7 +23,7 @@ from panelsift.llm.common import map_texts, texts_of
 
 #: Characters fed at a time; a whole text is never one lattice.
 BLOCK = 1 << 14
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 #: Longer words are not remembered.
 WORD_CHARS = 48
 
