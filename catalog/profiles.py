@@ -255,12 +255,12 @@ def _(t: Inputs):
 
 @query(
     "a15_histogram",
-    """SELECT bin, count(*) AS count, max(f) AS wonky_any,
-         round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent,
-         round((bin - 0.5::DOUBLE) * any_value(top) / 120, 6) AS bin_center
-       FROM (SELECT l_suppkey, l_linenumber % 2 AS f, top,
+    """SELECT CAST(b AS INT) AS bin, count(f) AS count, max(f) AS wonky_any,
+         round(100.0::DOUBLE * count(f) / sum(count(f)) OVER (), 6) AS percent,
+         round((b - 0.5::DOUBLE) * (SELECT max(l_extendedprice) FROM lineitem) / 120, 6) AS bin_center
+       FROM range(1, 121) AS bins(b) LEFT JOIN (SELECT l_linenumber % 2 AS f,
            CAST(greatest(least(ceil(l_extendedprice / (top / 120)), 120), 1) AS INT) AS bin
-         FROM lineitem, (SELECT max(l_extendedprice) AS top FROM lineitem)) GROUP BY bin""",
+         FROM lineitem, (SELECT max(l_extendedprice) AS top FROM lineitem)) ON bin = b GROUP BY b""",
 )
 def _(t: Inputs):
     rows = t.table("lineitem").withColumn("f", F.col("l_linenumber") % 2)

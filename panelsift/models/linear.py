@@ -46,7 +46,7 @@ def build_linear_baseline(
     full = gram_matrix(df, {**{n: c(n) for n in names}, "__y": c(outcome_var)})
     n = full.n
     means = full.sums / n
-    centred = full.products - n * np.outer(means, means)
+    centred = full.centred
     xx, xy, yy = centred[:-1, :-1], centred[:-1, -1], centred[-1, -1]
     inverse, _, rank = scaled_inverse(xx)
     beta = inverse @ xy

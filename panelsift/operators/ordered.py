@@ -84,10 +84,17 @@ def numbered(
     return running_total(tie, {name: F.lit(1)}, [*order, F.col("__tie")], keys).drop("__tie")
 
 
+def _without_nan(df: DataFrame, value: str) -> DataFrame:
+    """NaN is a missing value, not the largest one."""
+    if dict(df.dtypes)[value] not in ("double", "float"):
+        return df
+    return df.withColumn(value, F.when(~F.isnan(c(value)), c(value)))
+
+
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per distinct non-null value within each key, as ``n``."""
+    """Rows per distinct value within each key, as ``n``; null and NaN are no values."""
     return (
-        df.where(c(value).isNotNull())
+        _without_nan(df, value).where(c(value).isNotNull())
         .groupBy(*[c(k) for k in keys], c(value))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -105,7 +112,7 @@ def quantiles(
     Exact by default, without holding a group's values anywhere. ``approximate``
     uses Spark's sketch alone, in a single pass.
     """
-    known = df.where(c(value).isNotNull())
+    known = _without_nan(df, value).where(c(value).isNotNull())
     if approximate:
         sketch = [
             F.percentile_approx(c(value), p, SKETCH_ACCURACY).cast("double").alias(name)

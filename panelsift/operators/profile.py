@@ -337,21 +337,26 @@ def equal_width_histogram(
 ) -> DataFrame:
     """Right-closed bins from 0 to the maximum: rows, any flag, percent, centre.
 
-    The first bin also holds 0; only bins with rows are listed.
+    The first bin also holds 0. All bins are listed, those without rows with count 0 and
+    no flag; where every value is 0, all rows are in the first.
     """
     top = df.agg(F.max(c(column)).cast("double")).scalar()
     known = df.where(c(column).isNotNull() & (c(column) >= 0)).withColumn("__top", top)
     width = F.col("__top") / bins
-    index = F.greatest(F.ceil(c(column) / width).cast("int"), F.lit(1))
-    counted = known.groupBy(F.least(index, F.lit(bins)).alias("bin"), F.col("__top")).agg(
-        F.count(F.lit(1)).alias("count"), F.max(c(flag_col)).alias("wonky_any")
+    index = F.greatest(F.coalesce(F.ceil(F.try_divide(c(column), width)).cast("int"), F.lit(1)), F.lit(1))
+    counted = known.groupBy(F.least(index, F.lit(bins)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.max(c(flag_col)).alias("wonky_any"), F.max("__top").alias("__top")
     )
-    total = counted.agg(F.sum("count")).scalar()
-    return counted.select(
+    # one row per bin from here on
+    facts = counted.agg(F.sum("count").alias("__total"), F.max("__top").alias("__top"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    listed = every.join(F.broadcast(counted.drop("__top")), "bin", "left").crossJoin(F.broadcast(facts))
+    count = F.coalesce("count", F.lit(0).cast("bigint"))
+    return listed.select(
         "bin",
-        "count",
+        count.alias("count"),
         "wonky_any",
-        (F.col("count") / total * 100).alias("percent"),
+        (F.try_divide(count, F.col("__total")) * 100).alias("percent"),
         ((F.col("bin") - 0.5) * F.col("__top") / bins).alias("bin_center"),
     )
 

@@ -23,6 +23,8 @@ MIN_ROWS = 30
 BASE = -1
 NEWTON_STEPS = 100
 NEWTON_TOLERANCE = 1e-8
+# a feature this many ranges away from 0 is moved before it is squared
+OFFSET = 100.0
 
 OLS_COLUMNS = (
     "feature", "mean_with_feature", "mean_without_feature", "mean_difference", "t_statistic",
@@ -48,12 +50,27 @@ class ClusterSums:
         binarize: bool = True,
     ):
         self.features = existing(df, features)
-        self.df, self.user = df, user
+        self.df, self.user = self._near_zero(df), user
         y = F.coalesce(c(outcome).cast("double"), F.lit(0.0))
         self.y = y
         self.positive = F.when(y > 0, 1.0).otherwise(0.0) if binarize else y
         self.sums = materialise(self._summed()) if self.features else None
 
+    def _near_zero(self, df: DataFrame) -> DataFrame:
+        """Features whose offset dwarfs their range, moved to the middle of it.
+
+        Slopes and errors do not change; sums of squares keep their digits.
+        """
+        if not self.features:
+            return df
+        ends = df.agg(*[f(self.value(name)) for name in self.features for f in (F.min, F.max)]).first()
+        moved = {}
+        for k, name in enumerate(self.features):
+            low, high = ends[2 * k], ends[2 * k + 1]
+            if low is not None and max(low, -high) > max(1.0, OFFSET * (high - low)):
+                moved[name] = self.value(name) - F.lit((low + high) / 2)
+        return df.withColumns(moved) if moved else df
+
     def value(self, feature: str) -> Column:
         return F.nanvl(c(feature).cast("double"), F.lit(None).cast("double"))
 
@@ -156,7 +173,7 @@ class ClusterSums:
 
 def _correction(n: Column, g: Column) -> Column:
     """Small-sample factor of the clustered covariance with two parameters."""
-    return (g / (g - 1)) * ((n - 1) / (n - 2))
+    return F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 2)
 
 
 def ols_results(sums: ClusterSums, significance_level: float = 0.05) -> DataFrame:
@@ -166,7 +183,7 @@ def ols_results(sums: ClusterSums, significance_level: float = 0.05) -> DataFram
     ybar = F.col("all.ybar")
     sy, sxy = F.col("sy") - ybar * n, F.col("sxy") - ybar * sx
     det = n * sxx - sx * sx
-    slope = (n * sxy - sx * sy) / det
+    slope = F.try_divide(n * sxy - sx * sy, det)
     fitted = t.withColumn("det", det).withColumn("slope", slope)
     fitted = fitted.withColumn("level", (sy - F.col("slope") * sx) / n)
 
@@ -187,14 +204,15 @@ def ols_results(sums: ClusterSums, significance_level: float = 0.05) -> DataFram
     done = fitted.join(F.broadcast(meat), "i").withColumn("q", sums.squares())
     level = F.col("level")
     m00 = F.col("q.rr") - 2 * level * F.col("q.rn") + level * level * F.col("q.nn") + F.col("d00")
-    w0, w1 = -F.col("sx") / F.col("det"), F.col("n") / F.col("det")
+    w0, w1 = F.try_divide(-F.col("sx"), F.col("det")), F.try_divide(F.col("n"), F.col("det"))
     variance = w0 * w0 * m00 + 2 * w0 * w1 * F.col("m01") + w1 * w1 * F.col("m11")
     done = done.withColumn("se", F.sqrt(_correction(F.col("n"), F.col("g")) * variance))
     spread = F.sqrt((F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")) / (F.col("n") - 1))
     done = done.withColumn("t", F.try_divide(F.col("slope"), F.col("se"))).withColumn(
         "d", F.when(spread > 0, F.try_divide(F.col("slope"), spread))
     )
-    done = done.withColumn("p", normal_p_value("t"))
+    # a feature known for one user has no clustered error and no result
+    done = done.where(F.col("se").isNotNull()).withColumn("p", normal_p_value("t"))
     return done.select(
         sums.name(F.col("i")).alias("feature"),
         F.try_divide(F.col("sy1"), F.col("n1")).alias("mean_with_feature"),
@@ -339,7 +357,7 @@ def _newton_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame | None:
         F.sum(F.col("s1") * F.col("s1")).alias("m11"),
     )
     det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-    w0, w1 = -F.col("h01") / det, F.col("h00") / det
+    w0, w1 = F.try_divide(-F.col("h01"), det), F.try_divide(F.col("h00"), det)
     variance = (
         w0 * w0 * F.col("m00") + 2 * w0 * w1 * F.col("m01") + w1 * w1 * F.col("m11")
     )
@@ -368,6 +386,7 @@ def logit_results(sums: ClusterSums, significance_level: float = 0.05) -> DataFr
     other = _newton_logit(sums, usable)
     if other is not None:
         fitted = fitted.unionByName(other)
+    fitted = fitted.where(F.col("se").isNotNull())
     coef, se = F.col("coef"), F.col("se")
     with_share = F.try_divide(F.col("sb1"), F.col("n1"))
     without_share = F.try_divide(F.col("sb") - F.col("sb1"), F.col("n") - F.col("n1"))

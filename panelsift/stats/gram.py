@@ -26,22 +26,35 @@ SINGULAR = 1e-10
 
 @dataclass
 class Gram:
-    """Cross products of named columns and of the constant 1, over complete rows."""
+    """Cross products of named columns and of the constant 1, over complete rows.
+
+    ``centred`` holds the products about the means. It is summed on values near their
+    mean, so an offset many times a column's spread does not use up its digits.
+    """
 
     names: list[str]
     n: float
     sums: np.ndarray
     products: np.ndarray
+    centred: np.ndarray
 
     def keep(self, names: Sequence[str]) -> Gram:
         at = [self.names.index(name) for name in names]
-        return Gram(list(names), self.n, self.sums[at], self.products[np.ix_(at, at)])
+        cut = np.ix_(at, at)
+        return Gram(list(names), self.n, self.sums[at], self.products[cut], self.centred[cut])
 
     def correlations(self) -> np.ndarray:
-        centred = self.products - np.outer(self.sums, self.sums) / self.n
-        width = np.sqrt(np.clip(np.diag(centred), 0, None))
+        width = np.sqrt(np.clip(np.diag(self.centred), 0, None))
         width[width == 0] = np.nan
-        return centred / np.outer(width, width)
+        return self.centred / np.outer(width, width)
+
+
+def _about(names: list[str], n: float, sums: np.ndarray, products: np.ndarray, pilot: np.ndarray | None) -> Gram:
+    """Gram matrix from sums of values less a pilot mean."""
+    means = sums / n if n else sums
+    centred = products - n * np.outer(means, means)
+    whole = means if pilot is None else means + pilot
+    return Gram(names, n, n * whole, centred + n * np.outer(whole, whole), centred)
 
 
 def gram_matrix(df: DataFrame, columns: dict[str, Column]) -> Gram:
@@ -53,12 +66,15 @@ def gram_matrix(df: DataFrame, columns: dict[str, Column]) -> Gram:
     }
     rows = df.select(*[col.alias(n) for n, col in values.items()])
     rows = rows.where(all_of([F.col(n).isNotNull() for n in values]))
+    means = rows.agg(*[F.avg(n) for n in values]).first() if values else []
+    pilot = np.array([0.0 if m is None else float(m) for m in means])
+    rows = rows.select(*[(F.col(n) - F.lit(m)).alias(n) for n, m in zip(values, pilot.tolist())])
     if len(names) <= SQL_COLUMNS:
-        return _by_sums(rows, names, list(values))
-    return _by_row_matrix(rows, names, list(values))
+        return _by_sums(rows, names, list(values), pilot)
+    return _by_row_matrix(rows, names, list(values), pilot)
 
 
-def _by_sums(rows: DataFrame, names: list[str], columns: list[str]) -> Gram:
+def _by_sums(rows: DataFrame, names: list[str], columns: list[str], pilot: np.ndarray | None = None) -> Gram:
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = rows.agg(
@@ -70,15 +86,15 @@ def _by_sums(rows: DataFrame, names: list[str], columns: list[str]) -> Gram:
     products = np.zeros((k, k))
     for (i, j), v in zip(pairs, cells[1 + k :]):
         products[i, j] = products[j, i] = v
-    return Gram(names, cells[0], np.array(cells[1 : 1 + k]), products)
+    return _about(names, cells[0], np.array(cells[1 : 1 + k]), products, pilot)
 
 
-def _by_row_matrix(rows: DataFrame, names: list[str], columns: list[str]) -> Gram:
+def _by_row_matrix(rows: DataFrame, names: list[str], columns: list[str], pilot: np.ndarray | None = None) -> Gram:
     with_one = rows.withColumn("__one", F.lit(1.0))
     vectors = VectorAssembler(inputCols=["__one", *columns], outputCol="v").transform(with_one)
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("v"), "v"))
     full = matrix.computeGramianMatrix().toArray()
-    return Gram(names, float(full[0, 0]), full[0, 1:].copy(), full[1:, 1:].copy())
+    return _about(names, float(full[0, 0]), full[0, 1:].copy(), full[1:, 1:].copy(), pilot)
 
 
 def scaled_inverse(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

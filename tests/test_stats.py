@@ -252,3 +252,57 @@ def test_gram_ways_agree(spark):
     assert sums.n == other.n == 500
     np.testing.assert_allclose(sums.products, other.products)
     np.testing.assert_allclose(sums.sums, x.sum(axis=0))
+
+
+def _offset_frame(spark, offset):
+    rows = [
+        (f"r{i % 40}", float((i * 7) % 3) + offset, 1.0 if i % 50 == 49 else None, float((i * 13) % 5), int(i % 7 == 0))
+        for i in range(600)
+    ]
+    lone = [(u, x, (1.0 if i % 2 else 0.0) if u == "r3" else None, y, w) for i, (u, x, _, y, w) in enumerate(rows)]
+    return spark.createDataFrame(lone, "respondentPk string, x double, lone double, y double, wonky_study_count int")
+
+
+def test_offset_changes_no_slope_and_a_lone_feature_fails_alone(spark):
+    from panelsift.stats.cluster import ClusterSums, logit_results, ols_results
+
+    found = {}
+    for offset in (0.0, 1.7e9):
+        sums = ClusterSums(_offset_frame(spark, offset), ["x", "lone"])
+        for name, results in (("ols", ols_results(sums)), ("logit", logit_results(sums))):
+            rows = {r.feature: r for r in results.collect()}
+            assert "lone" not in rows
+            found[name, offset] = rows["x"]
+    for name, slope in (("ols", "mean_difference"), ("logit", "log_odds_coef")):
+        near, far = found[name, 0.0], found[name, 1.7e9]
+        assert abs(near[slope] - far[slope]) < 1e-6
+        assert abs(near["se_cluster_robust"] - far["se_cluster_robust"]) < 1e-6
+
+
+def test_offset_twin_is_found_and_linear_model_unmoved(spark):
+    from panelsift.models.linear import build_linear_baseline
+    from panelsift.stats.vif import correlated_features
+
+    df = _offset_frame(spark, 0.0).selectExpr("x", "x + 1.7e9D AS far", "y", "wonky_study_count AS w")
+    kept, pairs = correlated_features(df, ["x", "far", "y"])
+    assert kept == ["x", "y"] and [(a, b) for a, b, _ in pairs] == [("x", "far")]
+    near, _, _ = build_linear_baseline(df, ["x", "y"], "w")
+    far, _, _ = build_linear_baseline(df, ["far", "y"], "w")
+    assert abs(near.coefficients["x"] - far.coefficients["far"]) < 1e-7
+
+
+def test_histogram_lists_all_bins_and_takes_zeros(spark):
+    from panelsift.operators.profile import equal_width_histogram
+
+    zeros = spark.createDataFrame([(0.0, 1)] * 4, "v double, f int")
+    rows = sorted(equal_width_histogram(zeros, "v", "f", bins=5).collect(), key=lambda r: r.bin)
+    assert [(r.bin, r["count"]) for r in rows] == [(1, 4), (2, 0), (3, 0), (4, 0), (5, 0)]
+
+
+def test_nan_is_no_value_for_quantiles(spark):
+    from panelsift.operators.ordered import quantiles
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    for approximate in (False, True):
+        row = quantiles(df, "v", {"mid": 0.5}, approximate=approximate).first()
+        assert (row.n, row.mid) == (3, 2.0)
