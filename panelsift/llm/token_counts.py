@@ -14,6 +14,7 @@ text's count is the last of a parallel prefix scan over its chunks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,6 +179,12 @@ def count_tokens(text: str, machine: Transducer, chunk: int = CHUNK) -> int:
     return (close(last.head) if last.head is not None else 0) + last.count + close(last.tail)
 
 
+@lru_cache(maxsize=2)
+def transducer_of(path: str) -> Transducer:
+    """One transducer per worker process, so that later tasks find its states."""
+    return Transducer(pieces.load(path))
+
+
 def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """Per row: key, n_bytes, n_tokens and over_limit.
 
@@ -186,7 +193,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """
 
     def make():
-        machine = Transducer(pieces.load(model_path))
+        machine = transducer_of(model_path)
 
         def work(batch: pa.RecordBatch):
             texts = texts_of(batch, text)

@@ -10,10 +10,12 @@ fetches the tail, then only the frames of the documents it wants, and checks eac
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsift.llm.common import bounded_batches, stored, texts_of
+from panelsift.llm.common import bounded_batches, give_back, stored, texts_of
 from panelsift.session import scratch_path
 
 FRAME_BYTES = 1 << 18
@@ -132,13 +134,14 @@ class FileReader:
 #: A blank between two white-space characters, where cutting would change the pieces.
 INNER_BLANK = re.compile(r"\s (?:\s|$)")
 #: Texts without such blanks are cut before each blank: a piece never spans that place.
-MAX_SEGMENTS = 300_000
+MAX_SEGMENTS = 250_000
 
 
 class SegmentEncoder:
     """The tokenizers library over distinct segments of many texts, remembered in bounds."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -174,6 +177,12 @@ class SegmentEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int) -> SegmentEncoder:
+    """One encoder per worker process, so that later tasks find its segments."""
+    return SegmentEncoder(path, end_id)
+
+
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0
 ) -> DataFrame:
@@ -201,7 +210,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = SegmentEncoder(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id)
                 out = fs.open_output_stream(temporary)
                 writer = FileWriter(out)
             for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch, text))):
@@ -212,6 +221,8 @@ def write_token_files(
             writer.close()
             out.close()
             fs.move(temporary, path)
+            del writer, out
+            give_back()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [docs_n], "n_ids": [ids_n]})
 
     ordered = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(

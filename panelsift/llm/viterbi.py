@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +202,13 @@ class Decoder:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def coders_of(path: str) -> tuple[Encoder, Decoder]:
+    """One pair per worker process, so that later tasks find its words."""
+    model = pieces.load(path)
+    return Encoder(model), Decoder(model)
+
+
 def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ids, n_ids, ids_crc32 (of little-endian 32-bit ids), decoded, lossless.
 
@@ -211,8 +219,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     """
 
     def make():
-        model = pieces.load(model_path)
-        encoder, decoder = Encoder(model), Decoder(model)
+        encoder, decoder = coders_of(model_path)
 
         def work(batch: pa.RecordBatch):
             texts = texts_of(batch, text)
