@@ -134,7 +134,7 @@ class FileReader:
 #: A blank between two white-space characters, where cutting would change the pieces.
 INNER_BLANK = re.compile(r"\s (?:\s|$)")
 #: Texts without such blanks are cut before each blank: a piece never spans that place.
-MAX_SEGMENTS = 250_000
+MAX_SEGMENTS = 700_000
 
 
 class SegmentEncoder:
