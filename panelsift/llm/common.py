@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from panelsift.session import scratch_path
 
-#: Rows per Arrow batch; with documents of some 100 KB a batch stays near 100 MB at worst.
+#: Most rows and bytes of an Arrow batch; a batch of more bytes is a single long row.
 BATCH_ROWS = "1000"
+BATCH_BYTES = str(8 << 20)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +27,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that long texts do not fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def stored(df: DataFrame, name: str = "llm") -> DataFrame:
