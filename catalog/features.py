@@ -176,6 +176,24 @@ def _(t: Inputs):
     return made.select("respondent_pk", *[c(n).cast("bigint").alias(n) for n in names])
 
 
+@query(
+    "f9_one_hot_sparse",
+    """SELECT category, count(*) AS rows, sum(n)::BIGINT AS n, min(item) AS first_item, max(item) AS last_item FROM (
+         SELECT o_orderkey AS item, trim(o_orderpriority) AS category, 1 AS n FROM orders
+         UNION ALL SELECT o_orderkey, o_orderkey::VARCHAR, 1 FROM orders)
+       GROUP BY category""",
+)
+def _(t: Inputs):
+    """As many categories as orders; a dense encoding would need a column for each."""
+    orders = t.table("orders").select("o_orderkey", "o_orderpriority", F.col("o_orderkey").alias("order"))
+    made = onehot.one_hot_entries(orders, {"o_orderpriority": False, "order": True})
+    entries = made.select("o_orderkey", F.inline("encoded"))
+    return entries.groupBy("category").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"),
+        F.min("o_orderkey").alias("first_item"), F.max("o_orderkey").alias("last_item"),
+    )
+
+
 @query(
     "f10_one_hot_batch",
     f"""SELECT event_id,

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from panelsift.columns import c, strip
 from panelsift.operators.skew import lookup_join
 
-MAX_CATEGORIES = 5_000
 MISSING = "nan"  # fixed value: category of a missing value when encoding as text
 
 
@@ -43,34 +42,43 @@ def _categories(df: DataFrame, name: str, as_string: bool) -> Column:
     return F.when(c(name).isNull() | (F.size(c(name)) == 0), lone).otherwise(values)
 
 
-def vocabularies(
-    df: DataFrame, columns: Mapping[str, bool], max_categories: int = MAX_CATEGORIES
-) -> dict[str, list[str]]:
-    """Sorted categories of several columns, found in one job.
+def one_hot_entries(df: DataFrame, columns: Mapping[str, bool], name: str = "encoded") -> DataFrame:
+    """Sparse encoding: one (column, category, n) entry per category of the row.
 
-    ``columns`` maps a name to its ``as_string`` setting. Each category becomes a
-    column, so more than ``max_categories`` in all is an error, found without
-    pulling more than that many values to the driver.
+    ``columns`` maps a name to its ``as_string`` setting. The row's entries are the
+    flags that :func:`one_hot_encode_column` would set, whatever number of categories
+    the column has; no vocabulary is needed, so nothing reaches the driver.
     """
-    def named(name: str, as_string: bool) -> Column:
+
+    def entries(column: str, as_string: bool) -> Column:
+        values = _categories(df, column, as_string)
         return F.transform(
-            _categories(df, name, as_string),
-            lambda v: F.struct(F.lit(name).alias("n"), v.alias("v")),
+            F.array_distinct(values),
+            lambda v: F.struct(
+                F.lit(column).alias("column"),
+                v.alias("category"),
+                F.size(F.filter(values, lambda x: x == v)).alias("n"),
+            ),
         )
 
-    pairs = [named(n, s) for n, s in columns.items()]
-    found = (
-        df.select(F.explode(F.concat(*pairs)).alias("p"))
-        .select("p.n", "p.v")
-        .distinct()
-        .limit(max_categories + 1)
-        .collect()
-    )
-    if len(found) > max_categories:
-        raise ValueError(
-            f"more than {max_categories} categories; pass the categories to encode explicitly"
-        )
-    return {n: sorted(r.v for r in found if r.n == n) for n in columns}
+    return df.withColumn(name, F.concat(*[entries(n, s) for n, s in columns.items()]))
+
+
+def vocabulary(df: DataFrame, columns: Mapping[str, bool]) -> DataFrame:
+    """(column, category, rows): all categories of several columns, in how many rows."""
+    named = one_hot_entries(df, columns, "__entries").select(F.inline("__entries"))
+    return named.groupBy("column", "category").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def vocabularies(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, list[str]]:
+    """Sorted categories of several columns, found in one job.
+
+    Each category becomes a column of the dense encoding, so the list is as long as the
+    caller's table is wide. Encode columns of open vocabulary with
+    :func:`one_hot_entries` instead.
+    """
+    found = vocabulary(df, columns).select("column", "category").collect()
+    return {n: sorted(r.category for r in found if r.column == n) for n in columns}
 
 
 def one_hot_flags(

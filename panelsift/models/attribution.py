@@ -100,12 +100,12 @@ def attributions(trees: Sequence[Leaves], x: np.ndarray) -> np.ndarray:
 
 
 def attribution_rows(
-    df: DataFrame, model, feature_cols: Sequence[str], sample_size: int | None = 1000,
+    df: DataFrame, model, feature_cols: Sequence[str], sample_size: int | None = None,
     seed: int = 42, keys: Sequence[str] = (),
 ) -> tuple[DataFrame, float]:
     """One column ``a<i>`` per feature and row, the prediction parts; and the base value.
 
-    ``sample_size`` is the report's sample; None explains every complete row.
+    Every complete row is explained unless ``sample_size`` asks for fewer.
     """
     names = list(feature_cols)
     spark = df.sparkSession
@@ -129,7 +129,7 @@ def attribution_rows(
 
 
 def shap_importance(
-    df: DataFrame, model, feature_cols: Sequence[str], sample_size: int | None = 1000,
+    df: DataFrame, model, feature_cols: Sequence[str], sample_size: int | None = None,
     seed: int = 42, keys: Sequence[str] = (),
 ) -> DataFrame:
     """Mean absolute and mean attribution per feature, its direction and rank."""

@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from panelsift.columns import c
 from panelsift.models.prepare import Scaler, fit_scaler
 from panelsift.operators.skew import lookup_join
+from panelsift.session import materialise
 
 
 def behaviour_clusters(
-    df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, name: str = "cluster"
+    df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, name: str = "cluster",
+    restarts: int = 10,
 ) -> tuple[DataFrame, KMeansModel, Scaler]:
-    """Add a k-means cluster on standardised features; a gap counts as the mean."""
+    """Add a k-means cluster on standardised features; a gap counts as the mean.
+
+    Of ``restarts`` fits with different seeds the one with the least cost is kept.
+    """
     scaler = fit_scaler(df, features)
     plain = {
         f"__k{i}": F.coalesce(
@@ -26,7 +31,12 @@ def behaviour_clusters(
         for i, n in enumerate(features)
     }
     rows = VectorAssembler(inputCols=list(plain), outputCol="__v").transform(df.withColumns(plain))
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol=name).fit(rows)
+    vectors = materialise(rows.select("__v"))  # every fit reads it, and it alone
+    fits = [
+        KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol=name).fit(vectors)
+        for i in range(restarts)
+    ]
+    model = min(fits, key=lambda fit: fit.summary.trainingCost)
     return model.transform(rows).drop("__v", *plain), model, scaler
 
 

@@ -108,9 +108,12 @@ def run_all_models(
 
 
 def run_shap_analysis(
-    results: ModelResults, df: DataFrame, sample_size: int | None = 1000, random_state: int = 42
+    results: ModelResults, df: DataFrame, sample_size: int | None = None, random_state: int = 42
 ) -> ModelResults:
-    """Add attributions of the forest and let them count in the average rank."""
+    """Add attributions of the forest and let them count in the average rank.
+
+    All complete rows are explained unless ``sample_size`` asks for fewer.
+    """
     shap = materialise(
         shap_importance(df, results.forest.model, results.feature_cols, sample_size, random_state)
     )

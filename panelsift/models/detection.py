@@ -19,8 +19,6 @@ from panelsift.models.prepare import holdout
 from panelsift.operators.ordered import quantiles
 from panelsift.session import materialise
 
-TREE_ROWS = 256  # fixed value: rows an isolation tree is grown on
-
 
 def _weighted(data: DataFrame) -> DataFrame:
     """Weights that make both classes count alike."""
@@ -136,19 +134,20 @@ def outlier_scores(
     trees: int = 100,
     contamination: float = 0.1,
     seed: int = 42,
+    max_samples: int = 256,
 ) -> DataFrame:
     """Isolation score of every complete row, and a flag for the top share.
 
-    Each tree is grown in its own task on at most 256 rows drawn by hash; rows are
-    then scored where they are against the trees, whose size does not depend on the
-    data.
+    Each tree is grown in its own task on at most ``max_samples`` rows drawn by hash,
+    which the method subsamples by design; every row is then scored where it is
+    against the trees, whose size does not depend on the data.
     """
     names = [f"x{i}" for i in range(len(features))]
     complete = df.dropna(subset=list(features))
     n = complete.count()
-    # a row takes part in a tree with the chance that yields about 256 rows each,
+    # a row takes part in a tree with the chance that yields about max_samples rows each,
     # with room above so that the smallest 256 hashes are almost surely among them
-    share = min(1.0, 2.0 * TREE_ROWS / max(n, 1))
+    share = min(1.0, 2.0 * max_samples / max(n, 1))
     buckets = 1 << 40
 
     def place(tree):
@@ -165,15 +164,15 @@ def outlier_scores(
     # rows are numbered so that copies of a row are drawn independently
     numbered = complete.withColumn("__row", F.monotonically_increasing_id())
     picked = numbered.select(*columns, F.explode(lucky).alias("p")).select("p.*", *names)
-    depth = math.ceil(math.log2(TREE_ROWS))
+    depth = max(1, math.ceil(math.log2(max_samples)))
 
     def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = group.nsmallest(TREE_ROWS, "place")[names].to_numpy(float)
+        x = group.nsmallest(max_samples, "place")[names].to_numpy(float)
         nodes = _grow(x, np.random.default_rng([seed, int(key[0])]), depth)
         table = pd.DataFrame(nodes, columns=["col", "cut", "left", "right", "path"])
         return table.assign(tree=int(key[0]), node=range(len(table)), rows=len(x))
 
-    # about 512 rows per group by the hash share, whatever the size of the data
+    # about 2 * max_samples rows per group by the hash share, whatever the size of the data
     forest = picked.groupBy("tree").applyInPandas(
         grow,
         "col int, cut double, left int, right int, path double, tree int, node int, rows int",

@@ -160,14 +160,25 @@ def test_one_hot_lists(frame):
     assert values(made, "i", *names) == [(1, 0, 2, 1), (2, 1, 0, 0), (3, 1, 0, 0), (4, 1, 0, 1)]
 
 
+def test_sparse_entries_are_the_flags_that_are_set(frame):
+    rows = [(1, ["x", "y", "x"], " a "), (2, [], None), (3, None, "b")]
+    df = frame("id int, g array<string>, t string", rows)
+    made = onehot.one_hot_entries(df, {"g": True, "t": False}).collect()
+    found = {r.id: {(e.column, e.category): e.n for e in r.encoded} for r in made}
+    assert found[1] == {("g", "x"): 2, ("g", "y"): 1, ("t", "a"): 1}
+    assert found[2] == {("g", onehot.MISSING): 1}
+    assert found[3] == {("g", onehot.MISSING): 1, ("t", "b"): 1}
+    words = {(r.column, r.category): r.rows for r in onehot.vocabulary(df, {"g": True}).collect()}
+    assert words == {("g", "x"): 1, ("g", "y"): 1, ("g", onehot.MISSING): 2}
+
+
 def test_one_hot_other_types_need_text(frame):
     df = frame("i int, b boolean, n int", [(1, True, 5), (2, False, None)])
     with pytest.raises(TypeError):
         onehot.one_hot_encode_column(df, "b")
     made = onehot.batch_one_hot_encode(df, ["b", "n"], ["b", "n"])
     assert values(made, "i", "b_True", "b_False", "n_5", "n_nan") == [(1, 1, 0, 1, 0), (2, 0, 1, 0, 1)]
-    with pytest.raises(ValueError):
-        onehot.vocabularies(df, {"i": True}, max_categories=1)
+    assert onehot.vocabularies(df, {"i": True}) == {"i": ["1", "2"]}  # no limit on categories
 
 
 def test_mapping(frame):
