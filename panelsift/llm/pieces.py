@@ -62,7 +62,7 @@ class PieceModel:
                 at = nxt
             if self.merge(piece) == [piece]:
                 self.ends[at] = i
-        self._apart: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.blanks = lru_cache(maxsize=4096)(self._blanks)
 
     def merge(self, text: str) -> list[str]:
@@ -98,12 +98,12 @@ class PieceModel:
         if left < 0:
             return True
         key = left << 32 | right
-        known = self._apart.get(key)
+        known = self.pairs.get(key)
         if known is None:
-            if len(self._apart) > MAX_PAIRS:
-                self._apart.clear()
+            if len(self.pairs) > MAX_PAIRS:
+                self.pairs.clear()
             a, b = self.text[left], self.text[right]
-            known = self._apart[key] = self.merge(a + b) == [a, b]
+            known = self.pairs[key] = self.merge(a + b) == [a, b]
         return known
 
     def _blanks(self, n: int) -> tuple[int, ...]:

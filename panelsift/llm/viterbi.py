@@ -24,7 +24,9 @@ from panelsift.llm.common import map_texts, texts_of
 
 #: Characters fed at a time; a whole text is never one lattice.
 BLOCK = 1 << 14
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
+#: Columns kept; beyond it they are worked out anew.
+MAX_COLUMNS = 100_000
 #: Longer words are not remembered.
 WORD_CHARS = 48
 
@@ -100,6 +102,14 @@ class StreamingViterbi:
         return self._give(self.position)
 
 
+def lead(model: pieces.PieceModel, run: int, ids: list[int]) -> list[int]:
+    """Ids of a word behind a run of blanks: those before its own join a first piece that is a bare blank."""
+    if run <= 1:
+        return ids
+    bare = ids[0] == model.id.get(pieces.BLANK)
+    return [*model.blanks(run - (not bare)), *ids[bare:]]
+
+
 class LongWord:
     """A word too long to remember, fed to one lattice block by block."""
 
@@ -111,12 +121,10 @@ class LongWord:
         self.ids = self.feed(pieces.BLANK + word)
 
     def _lead(self, ids: list[int]) -> list[int]:
-        """Blanks before the word's own join the first piece if that is a bare blank."""
-        if not ids or self.blanks <= 1:
+        if not ids:
             return ids
-        bare = ids[0] == self.model.id.get(pieces.BLANK)
         run, self.blanks = self.blanks, 1
-        return [*self.model.blanks(run - (not bare)), *ids[bare:]]
+        return lead(self.model, run, ids)
 
     def feed(self, text: str) -> list[int]:
         return self._lead(self.lattice.feed(text))
@@ -125,6 +133,48 @@ class LongWord:
         return self._lead(self.lattice.finish())
 
 
+class Columns:
+    """Columns of the lattice, numbered and kept with what follows them.
+
+    A column holds the live edges at a position: trie node, characters since the edge
+    started, piece before it. What a character leads to depends on the column alone, so
+    it is worked out once: the next column, and the surviving piece with its length.
+    """
+
+    def __init__(self, model: pieces.PieceModel):
+        self.model = model
+        self.number: dict[tuple, int] = {}
+        self.live: list[tuple] = []
+        self.after: list[dict[str, tuple[int, int, int]]] = []
+        self._column(((0, 0, pieces.START),))
+
+    def _column(self, live: tuple) -> int:
+        n = self.number.get(live)
+        if n is None:
+            n = self.number[live] = len(self.live)
+            self.live.append(live)
+            self.after.append({})
+        return n
+
+    def step(self, at: int, c: str) -> tuple[int, int, int]:
+        model, live, best = self.model, [], None
+        kids, ends = model.kids, model.ends
+        if c in kids[0]:
+            for node, length, before in self.live[at]:
+                nxt = kids[node].get(c)
+                if nxt is None:
+                    continue
+                if kids[nxt]:
+                    live.append((nxt, length + 1, before))
+                if best is None and nxt in ends and model.apart(before, ends[nxt]):
+                    best = length + 1, ends[nxt]
+        else:
+            best = 1, pieces.UNKNOWN
+        length, piece = best
+        found = self.after[at][c] = (self._column((*live, (0, 0, piece))), length, piece)
+        return found
+
+
 def packed(ids: Iterable[int]) -> bytes:
     return array("i", ids).tobytes()
 
@@ -139,10 +189,13 @@ class Encoder:
     def __init__(self, model: pieces.PieceModel):
         self.model = model
         self.items: dict[str, bytes] = {}
+        self.columns = Columns(model)
 
     def _encode(self, item: str) -> bytes:
         if item[-1] == " ":
             ids = packed(self.model.blanks(len(item)))
+        elif len(item) <= WORD_CHARS:
+            ids = packed(self._short(item))
         else:
             long = LongWord(self.model, item)
             ids = packed(long.ids + long.finish())
@@ -152,6 +205,29 @@ class Encoder:
             self.items[item] = ids
         return ids
 
+    def _short(self, item: str) -> list[int]:
+        """A word that fits the window: one column per character, then back from the end."""
+        model, word = self.model, item.lstrip(" ")
+        columns = self.columns
+        if len(columns.live) > MAX_COLUMNS:
+            columns = self.columns = Columns(model)
+        after, at = columns.after, 0
+        path = []
+        for c in pieces.BLANK + word:
+            step = after[at].get(c) or columns.step(at, c)
+            at = step[0]
+            path.append(step)
+        ids, end = [], len(path)
+        while end:
+            _, length, piece = path[end - 1]
+            if piece == pieces.UNKNOWN:
+                ids += [model.byte_id[b] for b in reversed((pieces.BLANK + word)[end - 1].encode())]
+            else:
+                ids.append(piece)
+            end -= length
+        ids.reverse()
+        return lead(model, len(item) - len(word), ids)
+
     def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """Ids of the joined blocks, 32 bits each, given out as they become final.
 
