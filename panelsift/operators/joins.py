@@ -119,10 +119,12 @@ def merge_study_data_with_user_info(
     Adds the composite ``user_task_pk``, a respondent-level ``wonky_user_flag`` and
     the ``_merge`` indicator. A completion in several study groups is repeated
     once per group unless ``dedupe`` first sums the groups per respondent and task.
-    ``hot`` and ``hot_pairs`` are known hot respondents and (respondent, task) pairs.
+    ``right`` and ``outer`` also keep study rows no completion meets, with null
+    completion columns. ``hot`` and ``hot_pairs`` are known hot respondents and
+    (respondent, task) pairs.
     """
-    if how not in ("left", "inner"):
-        raise ValueError("how must be 'left' or 'inner'")
+    if how not in ("left", "inner", "right", "outer"):
+        raise ValueError("how must be 'left', 'inner', 'right' or 'outer'")
     carried = existing(study_df, STUDY_COLUMNS)
     study = study_df.select(*[c(n) for n in carried])
     if dedupe:
@@ -153,8 +155,19 @@ def merge_study_data_with_user_info(
             "__task": F.col("taskPk"),
         }
     )
-    merged = salted_join(keyed, study, ["__respondent", "__task"], how, hot_pairs)
-    indicator = F.when(F.col("__found") == 1, "both").otherwise("left_only")
+    pair = ["__respondent", "__task"]
+    kept = "left" if how in ("left", "outer") else "inner"
+    merged = salted_join(keyed, study, pair, kept, hot_pairs)
+    if how in ("right", "outer"):
+        # distinct pairs are combined before the shuffle, so a hot one is a single row
+        met = keyed.select(*pair).distinct()
+        alone = study.join(met, pair, "left_anti").withColumn("__found", F.lit(2))
+        merged = merged.unionByName(alone, allowMissingColumns=True)
+    indicator = (
+        F.when(F.col("__found") == 1, "both")
+        .when(F.col("__found") == 2, "right_only")
+        .otherwise("left_only")
+    )
     return merged.withColumn("_merge", indicator).drop("__respondent", "__task", "__found")
 
 

@@ -153,6 +153,11 @@ def test_merge_keeps_fan_out_unless_asked(frame):
         (1, 1, 1), (1, 2, None), (2, 1, None), (None, 1, None)
     ]
     assert joins.merge_study_data_with_user_info(done, study, how="inner").count() == 2
+    met = {how: joins.merge_study_data_with_user_info(done, study, how=how).groupBy("_merge").count() for how in ("right", "outer")}
+    alone = study.join(done, [study.balance_respondentPk == done.respondentPk, study.task_pk == done.taskPk], "left_anti").count()
+    right, outer = ({r["_merge"]: r["count"] for r in met[how].collect()} for how in ("right", "outer"))
+    assert right == {k: n for k, n in {"both": 2, "right_only": alone}.items() if n}
+    assert outer == {**right, "left_only": 3}
 
 
 def test_null_keys_form_no_group(frame):
