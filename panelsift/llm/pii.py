@@ -3,8 +3,9 @@
 A text is rewritten by transducers that keep, for each character of their output, which
 source characters it stands for: look-alike characters and invisible ones, then 'at' and
 'dot' disguises, then spelled digits. The same detectors run on the source text (base
-spans) and on the rewritten one; spans of the latter are mapped back and added where
-they do not touch a base span of their kind.
+spans) and on the rewritten one; spans of the latter are mapped back and added unless
+they lie inside a base span of their kind. A disguised span may so overlap a base span
+that is a part of it; both are listed, and masking covers their union.
 """
 
 from __future__ import annotations
@@ -215,7 +216,7 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     if rewritten.text and rewritten.text != text:
         for kind, spans in detect(rewritten.text).items():
             for span in map(rewritten.source, spans):
-                if all(span[1] <= a or b <= span[0] for a, b in every[kind]):
+                if not any(a <= span[0] and span[1] <= b for a, b in base[kind]):
                     every[kind].append(span)
             every[kind].sort()
     return base, every
