@@ -12,6 +12,8 @@ class scores per hash, of which a whole text needs the mean.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,10 @@ from panelsift.llm.common import held_out, map_texts, texts_of
 BITS = 18
 WIDTH = 16
 SIZES = (2, 3, 4)
-#: Most labelled rows the model is fitted on, chosen by a hash of their text.
-SAMPLE_ROWS = 6000
+#: Most distinct labelled texts of a language the model is fitted on, chosen by a hash of
+#: the text, and of all languages: more than six share these alike. Copies count once.
+LANGUAGE_ROWS = 4000
+ALL_ROWS = 24000
 EPOCHS = 6
 #: N-grams of a labelled row kept for training.
 ROW_GRAMS = 3000
@@ -144,19 +148,27 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     return model
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Fit on at most ``rows`` labelled rows outside the held-out fold; None if there are none."""
-    usable = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & (F.length(text) > 0))
-    sample = (
-        usable.select(lang, F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-        .orderBy("h", lang)
-        .limit(rows)
-        .collect()
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = LANGUAGE_ROWS) -> LanguageModel | None:
+    """Fit on at most ``rows`` distinct texts of each language outside the held-out fold; None if there are none."""
+    usable = docs.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")
     )
-    if not sample:
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
+    if not sizes:
         return None
-    sample.sort(key=lambda r: (r.h, r[lang], r.text))
-    return train([r.text for r in sample], [r[lang] for r in sample])
+    most = max(1, min(rows, ALL_ROWS // len(sizes)))
+    # hashes are uniform: below a language's cut lie its ``most`` least ones, almost surely
+    room = most + 6 * math.sqrt(most) + 30
+    cuts = [(k, min(int(2**64 * min(room / n, 1.0)), 2**64 - 1) - 2**63) for k, n in sizes.items()]
+    below = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    sample = usable.join(below, "lang").where("h <= cut").select("lang", "text", "h").distinct().collect()
+    sample.sort(key=lambda r: (r.h, r.lang, r.text))
+    left, kept = dict.fromkeys(sizes, most), []
+    for r in sample:
+        if left[r.lang]:
+            left[r.lang] -= 1
+            kept.append(r)
+    return train([r.text for r in kept], [r.lang for r in kept])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
