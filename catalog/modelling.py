@@ -13,7 +13,7 @@ from panelsift.models import attribution, clusters, compare, detection, forest,
 from panelsift.models import prepare
 from panelsift.operators import joins, select
 from panelsift.plans import panel
-from panelsift.session import scratch_path
+from panelsift.session import materialise, scratch_path
 from panelsift.sources import sinks, tables
 from panelsift.stats import vif
 
@@ -22,6 +22,15 @@ def _vectors(t: Inputs):
     return t.view("v_vector")
 
 
+def _embeddings(t: Inputs):
+    """Embeddings with a column per dimension, stored once; and the names of these columns."""
+    rows = t.table("embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(width)]
+    spread = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]
+    return materialise(rows.select("vec_id", *spread)), names
+
+
 # uncentred VIF of three columns by cofactors of their cross-product matrix
 CROSS = """SELECT sum(x0*x0) AS a, sum(x0*x1) AS b, sum(x0*x2) AS c, sum(x1*x1) AS d, sum(x1*x2) AS e,
   sum(x2*x2) AS f FROM v_vector"""
@@ -195,9 +204,7 @@ MODELLED = ("is_weekend", "is_monday", "is_night", "is_error", "is_fast", "risk"
 
 @query("m5_random_forest")
 def _(t: Inputs):
-    fit = forest.build_random_forest_model(
-        t.view("v_flags"), MODELLED, "wonky_study_count", "respondentPk", n_estimators=10, max_depth=5
-    )
+    fit = forest.build_random_forest_model(t.view("v_flags"), MODELLED, "wonky_study_count", "respondentPk")
     return fit.importance
 
 
@@ -219,17 +226,13 @@ def _(t: Inputs):
 
 @query("m8_overfit_check")
 def _(t: Inputs):
-    fit = forest.build_random_forest_model(
-        t.view("v_flags"), MODELLED[:4], "wonky_study_count", "respondentPk", n_estimators=5, max_depth=4
-    )
+    fit = forest.build_random_forest_model(t.view("v_flags"), MODELLED, "wonky_study_count", "respondentPk")
     gap = F.lit(float(fit.overfit_gap)).alias("gap")
     return fit.cv_scores.select("*", gap, F.lit(fit.possible_overfit).alias("possible_overfit"))
 
 
 def _all_models(t: Inputs):
-    return compare.run_all_models(
-        t.view("v_flags"), MODELLED, rf_n_estimators=5, rf_max_depth=4, n_splits=3
-    )
+    return compare.run_all_models(t.view("v_flags"), MODELLED)
 
 
 @query("m9_model_comparison")
@@ -240,9 +243,7 @@ def _(t: Inputs):
 @query("m10_shap_importance")
 def _(t: Inputs):
     """Attributions of every complete row, not of a sample."""
-    fit = forest.build_random_forest_model(
-        t.view("v_flags"), MODELLED, "wonky_study_count", "respondentPk", n_estimators=5, max_depth=4, n_splits=2
-    )
+    fit = forest.build_random_forest_model(t.view("v_flags"), MODELLED, "wonky_study_count", "respondentPk")
     return attribution.shap_importance(t.view("v_flags"), fit.model, MODELLED, sample_size=None)
 
 
@@ -320,7 +321,7 @@ def _(t: Inputs):
 
 @query("m13_clusters")
 def _(t: Inputs):
-    made, _, _ = clusters.behaviour_clusters(_vectors(t), [f"x{i}" for i in range(8)])
+    made, _, _ = clusters.behaviour_clusters(*_embeddings(t))
     return made.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -392,8 +393,7 @@ def _(t: Inputs):
 
 @query("m18_outlier_scores")
 def _(t: Inputs):
-    rows = _vectors(t).drop("label")
-    made = detection.outlier_scores(rows, [f"x{i}" for i in range(8)])
+    made = detection.outlier_scores(*_embeddings(t))
     return made.select("vec_id", F.round("outlier_score", 6).alias("outlier_score"), "is_outlier")
 
 
@@ -426,9 +426,7 @@ def _(t: Inputs):
 def _(t: Inputs):
     rows = t.view("v_flags")
     _, table, factors = linear.build_linear_baseline(rows, MODELLED, "wonky_study_count")
-    fit = forest.build_random_forest_model(
-        rows, MODELLED, "wonky_study_count", "respondentPk", n_estimators=5, max_depth=3, n_splits=2
-    )
+    fit = forest.build_random_forest_model(rows, MODELLED, "wonky_study_count", "respondentPk")
     return compare.compare_models(table, fit.importance, None, factors)
 
 

@@ -101,11 +101,12 @@ def attributions(trees: Sequence[Leaves], x: np.ndarray) -> np.ndarray:
 
 def attribution_rows(
     df: DataFrame, model, feature_cols: Sequence[str], sample_size: int | None = None,
-    seed: int = 42, keys: Sequence[str] = (),
+    seed: int = 42, keys: Sequence[str] = (), counted: bool = False,
 ) -> tuple[DataFrame, float]:
     """One column ``a<i>`` per feature and row, the prediction parts; and the base value.
 
-    Every complete row is explained unless ``sample_size`` asks for fewer.
+    Every complete row is explained unless ``sample_size`` asks for fewer. ``counted``
+    explains rows of equal features once, and adds how many they are as ``n``.
     """
     names = list(feature_cols)
     spark = df.sparkSession
@@ -116,16 +117,24 @@ def attribution_rows(
     rows = complete.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
     if sample_size is not None:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    if counted:
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+        # few and small rows, but each costs every tree: adaptive execution must not merge them
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(trees)
     columns = [f"a{i}" for i in range(len(names))]
+    kept = ["n"] if counted else []
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
-                x = batch.iloc[start : start + 256].to_numpy(float)
-                yield pd.DataFrame(attributions(shared.value, x), columns=columns)
+                part = batch.iloc[start : start + 256]
+                x = part.drop(columns=kept).to_numpy(float)
+                made = pd.DataFrame(attributions(shared.value, x), columns=columns)
+                yield made.assign(**{n: part[n].to_numpy() for n in kept})
 
-    return rows.mapInPandas(explain, ", ".join(f"{n} double" for n in columns)), base
+    schema = [*(f"{n} double" for n in columns), *(f"{n} bigint" for n in kept)]
+    return rows.mapInPandas(explain, ", ".join(schema)), base
 
 
 def shap_importance(
@@ -135,10 +144,11 @@ def shap_importance(
     """Mean absolute and mean attribution per feature, its direction and rank."""
     from panelsift.models.compare import with_rank
 
-    parts, _ = attribution_rows(df, model, feature_cols, sample_size, seed, keys)
-    sums = []
+    parts, _ = attribution_rows(df, model, feature_cols, sample_size, seed, keys, counted=True)
+    rows, sums = F.sum("n"), []
     for i in range(len(feature_cols)):
-        sums += [F.avg(F.abs(f"a{i}")).alias(f"b{i}"), F.avg(f"a{i}").alias(f"m{i}")]
+        a = F.col(f"a{i}")
+        sums += [(F.sum(F.abs(a) * F.col("n")) / rows).alias(f"b{i}"), (F.sum(a * F.col("n")) / rows).alias(f"m{i}")]
     table = F.array(
         *[
             F.struct(
