@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelsift.llm import decontaminate, jaccard, language, pii, quality, sharding, token_counts, token_files, toxicity, viterbi
+from panelsift.llm import (
+    decontaminate,
+    infill,
+    jaccard,
+    language,
+    periodic,
+    pii,
+    quality,
+    sharding,
+    token_counts,
+    token_files,
+    topk,
+    toxicity,
+    viterbi,
+)
 from panelsift.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +152,90 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.groups(documents(spark, folder))
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five greatest inner products of every fiftieth vector with all others."""
+    vectors = read_table(spark, folder, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+SQL["op11_exact_top_k"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document rearranged, and what its new text gives back."""
+    made = infill.fill_in_middle(documents(spark, folder), seed=7, rate=100, suffix_first=50)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+SQL["op12_fill_in_middle"] = r"""
+WITH drawn AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS l,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+cuts AS (
+  SELECT *, len(l) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(l) + 1) AS c1,
+    CAST('0x' || h[9:16] AS BIGINT) % (len(l) + 1) AS c2,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(l[1 : least(c1, c2)], '') AS p,
+    array_to_string(l[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m,
+    array_to_string(l[greatest(c1, c2) + 1 : n], '') AS s
+  FROM cuts),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o
+  FROM parts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(o) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN o ELSE p || m || s END) AS restored_sha256
+FROM made
+"""
+
+
+def repeated_in_place(name: object, words: list[bytes]) -> list[bytes]:
+    """One document in ten repeats a stretch of itself to its end, as its id decides.
+
+    Documents without an id stay as they are.
+    """
+    h = 1 if name is None else zlib.crc32(str(name).encode())
+    if h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    stretch = words[a : a + p]
+    return words[:a] + (stretch * (-(-(n - a) // p)))[: n - a]
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in every document, some of which repeat themselves by rule."""
+    return periodic.digest(periodic.periodic_runs(documents(spark, folder), edit=repeated_in_place))
