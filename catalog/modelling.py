@@ -9,6 +9,7 @@ from catalog.base import FEATURES, STUDY_LABELS, Inputs, query
 from catalog.pull import DEVICE_SQL
 from panelsift import config
 from panelsift.columns import c
+from panelsift.functions import sparse
 from panelsift.models import attribution, clusters, compare, detection, forest, linear, logistic
 from panelsift.models import prepare
 from panelsift.operators import joins, select
@@ -511,6 +512,7 @@ def _(t: Inputs):
     names = ["is_monday", "is_night", "is_fast", "quality<90", "days_active_3_to_10",
              "fulcrum_region_mapped_London", "total_tasks_26_75", "hardware_category_qualcomm",
              "risk_round10_50", "gender_female", "ip_address_count_3"]
+    made = sparse.with_columns(made, ["ip_address_count_3"])
     # a category that does not occur has no column: none of its rows
     flags = {n: c(n) if n in made.columns else F.lit(0) for n in names}
     return made.groupBy("respondentPk").agg(
@@ -531,3 +533,71 @@ def _(t: Inputs):
     }
     results, _ = panel.test_features(select.keep_known(made, ["wonky_study_count"]), sets)
     return results.select("feature_set", "feature", c("ols_t_statistic"), c("logit_odds_ratio"))
+
+
+def _many_titles(t: Inputs):
+    """Engineered features with nearly as many task titles as completions."""
+    pulled = _pulled(t)
+    title = F.concat(F.lit("Task "), F.col("respondentPk"), F.lit(" "), F.unix_micros(F.col("date_completed").cast("timestamp")) % 97)
+    return panel.engineer_features(pulled.withColumn("taskTitle", title))
+
+
+# the completions with those titles, the outcome and each respondent's number of addresses
+TITLES_SQL = f"""
+  g AS (SELECT respondent_pk, task_pk, survey_pk, exposure_band, yob, ip, CAST(sum(wonky_study_count) AS BIGINT) AS y
+      FROM (SELECT b.*, t.length_of_task FROM v_study b JOIN v_task t ON b.task_pk = t.pk)
+      WHERE yob IS NOT NULL AND length_of_task IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6),
+  r AS (SELECT c.respondentPk AS u, coalesce(g.y, 0)::DOUBLE AS y, g.ip, t.length_of_task,
+      concat('taskTitle_Task ', c.respondentPk, ' ', epoch_us(c.date_completed) % 97) AS title
+    FROM v_user u JOIN v_completion c ON u.respondent_pk = c.respondentPk JOIN v_info i ON u.respondent_pk = i.respondent_pk
+    LEFT JOIN (SELECT * FROM v_task WHERE origin = 'panel') t ON c.taskPk = t.pk
+    LEFT JOIN g ON c.respondentPk = g.respondent_pk AND c.taskPk = g.task_pk
+    WHERE u.country = 'GB' AND i.country = 'GB' AND c.taskOrigin = 'panel'),
+  f AS (SELECT u, y, title AS feature FROM r
+    UNION ALL SELECT u, y, concat('ip_address_count_', count(DISTINCT ip) OVER (PARTITION BY u)) FROM r
+    UNION ALL SELECT u, y, concat('task_length_of_task_', coalesce(length_of_task::VARCHAR, 'nan')) FROM r)"""
+
+
+@query(
+    "e2_open_vocabulary",
+    f"""WITH {TITLES_SQL} SELECT feature, count(*) AS rows, count(*)::DOUBLE AS total,
+      count(DISTINCT u) AS respondents, min(u) AS first, max(u) AS last FROM f GROUP BY 1""",
+)
+def _(t: Inputs):
+    """Every feature of the open vocabularies, found without a column or a list of them."""
+    entries = _many_titles(t).select("respondentPk", F.inline(sparse.COLUMN))
+    return entries.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("x").alias("total"),
+        F.count_distinct("respondentPk").alias("respondents"),
+        F.min("respondentPk").alias("first"), F.max("respondentPk").alias("last"),
+    )
+
+
+@query(
+    "e3_open_vocabulary",
+    f"""WITH {TITLES_SQL},
+      tot AS (SELECT count(*) AS n, count(DISTINCT u) AS g, sum(y) AS sy, sum((y > 0)::INT) AS sb FROM r),
+      per AS (SELECT feature, count(*) AS n1, sum(y) AS sy1, sum((y > 0)::INT) AS sb1 FROM f GROUP BY 1),
+      fit AS (SELECT feature, n1, n, g, sy1 / n1 - (sy - sy1) / (n - n1) AS b1, (sy - sy1) / (n - n1) AS a, n1 / n::DOUBLE AS p,
+          sb1 / n1::DOUBLE AS p1, (sb - sb1) / (n - n1)::DOUBLE AS p0
+        FROM per, tot WHERE n1 < n),
+      users AS (SELECT u, count(*) AS nu, sum(y) AS su FROM r GROUP BY 1),
+      own AS (SELECT feature, u, count(*) AS k, sum(y) AS s FROM f GROUP BY 1, 2),
+      score AS (SELECT fit.feature, coalesce(s, 0) - a * coalesce(k, 0) - b1 * coalesce(k, 0)
+          - p * (su - a * nu - b1 * coalesce(k, 0)) AS v
+        FROM fit CROSS JOIN users LEFT JOIN own ON own.feature = fit.feature AND own.u = users.u),
+      se AS (SELECT feature, sum(v * v) AS meat FROM score GROUP BY 1)
+    SELECT CASE WHEN feature LIKE 'taskTitle%' THEN 'titles' ELSE 'addresses' END AS feature_set, feature,
+      round(b1, 8) AS ols_mean_difference,
+      round(b1 / (sqrt(meat * g / (g - 1) * (n - 1) / (n - 2)) / (n * p * (1 - p))), 5) AS ols_t_statistic,
+      CASE WHEN p1 > 0 AND p1 < 1 AND p0 > 0 AND p0 < 1 THEN round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 8) END
+        AS logit_log_odds_coef
+    FROM fit JOIN se USING (feature) WHERE feature NOT LIKE 'task_length%'""",
+)
+def _(t: Inputs):
+    """Both regressions for every title and number of addresses, over all completions."""
+    made = _many_titles(t).drop("exposure_band")
+    sets = {"titles": ["taskTitle_*"], "addresses": ["ip_address_count_*"], "none": ["gone_*"]}
+    results, _ = panel.test_features(materialise(made), sets)
+    digits = {"ols_mean_difference": 8, "ols_t_statistic": 5, "logit_log_odds_coef": 8}
+    return results.select("feature_set", "feature", *[F.round(c(n), d).alias(n) for n, d in digits.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import FEATURES, Inputs, query
 from panelsift.columns import c
-from panelsift.functions import temporal
+from panelsift.functions import sparse, temporal
 from panelsift.operators import aggregates, ordered, profile, windows
 
 
@@ -85,6 +85,23 @@ def _(t: Inputs):
     return _rounded(rows, "feature", "all_pct", "group_pct", "other_pct", "delta_pct")
 
 
+@query(
+    "a8_breakdown_open_vocabulary",
+    """WITH r AS (SELECT concat('ip_', ip) AS feature, wonky_study_count AS w FROM v_fact),
+      t AS (SELECT count(*) AS n, count(*) FILTER (w > 0) AS g, count(*) FILTER (w IS NULL) AS o FROM r)
+    SELECT feature, round(100 * count(*) / any_value(n)::DOUBLE, 6) AS all_pct,
+      round(100 * count(*) FILTER (w > 0) / any_value(g)::DOUBLE, 6) AS group_pct,
+      round(100 * count(*) FILTER (w IS NULL) / any_value(o)::DOUBLE, 6) AS other_pct FROM r, t GROUP BY feature
+    UNION ALL SELECT 'is_night', round(100 * avg(is_night), 6), round(100 * avg(is_night) FILTER (wonky_study_count > 0), 6),
+      round(100 * avg(is_night) FILTER (wonky_study_count IS NULL), 6) FROM v_flags""",
+)
+def _(t: Inputs):
+    """Shares of every address among all, flagged and other rows, next to a plain flag."""
+    rows = t.view("v_fact").select("wonky_study_count", "ip", F.expr("CAST(hr >= 22 OR hr <= 6 AS INT)").alias("is_night"))
+    made = profile.breakdown(sparse.encode(rows, {"ip": False}), ["is_night"], sparse=sparse.COLUMN)
+    return _rounded(made, "feature", "all_pct", "group_pct", "other_pct")
+
+
 ZERO_SQL = breakdown_sql(FEATURES, ROUNDED).replace(
     "CASE WHEN wonky_study_count IS NULL", "CASE WHEN wonky_study_count = 0"
 )

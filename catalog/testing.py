@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import FEATURES, Inputs, query
 from panelsift.columns import c
+from panelsift.functions import sparse
 from panelsift.stats import cluster, effects, tests
 
 Y = "coalesce(wonky_study_count, 0::DOUBLE)"
@@ -85,10 +86,10 @@ def _(t: Inputs):
     return r.select("feature", "n_obs", *[F.round(c(n), d).alias(n) for n, d in digits.items()])
 
 
-def _newton_sql(feature: str, middle: int, width: int) -> str:
+def _newton_sql(feature: str, middle: int, width: int, source: str = "v_flags", name: str | None = None) -> str:
     """Newton's method as a recursive query, then the sandwich variance row by row."""
     return f"""WITH RECURSIVE src AS (SELECT respondentPk AS u, (CAST({feature} AS DOUBLE) - {middle}) / {width} AS x, {B} AS b
-        FROM v_flags WHERE {feature} IS NOT NULL),
+        FROM {source} WHERE {feature} IS NOT NULL),
       cells AS MATERIALIZED (SELECT x, count(*) AS n, sum(b) AS sb FROM src GROUP BY 1),
       newton(k, a, s) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
         SELECT k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
@@ -103,7 +104,7 @@ def _newton_sql(feature: str, middle: int, width: int) -> str:
           count(*) AS n, count(DISTINCT u) AS g, any_value(s) AS s FROM rows),
       m AS (SELECT sum(pow((h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01), 2)) AS v FROM h,
         (SELECT u, sum(b - p) AS s0, sum((b - p) * x) AS s1 FROM rows GROUP BY u))
-      SELECT '{feature}' AS feature, round(s / {width}, 7) AS log_odds_coef,
+      SELECT '{name or feature}' AS feature, round(s / {width}, 7) AS log_odds_coef,
         round(sqrt(v * g / (g - 1) * (n - 1) / (n - 2)) / {width}, 7) AS se_cluster_robust, n AS n_obs FROM h, m"""
 
 
@@ -121,6 +122,30 @@ def _(t: Inputs):
     )
 
 
+OCCURRENCES = """(SELECT f.respondentPk, f.wonky_study_count,
+    len(list_filter(coalesce(gambling_participation_mc, []), lambda x: trim(x) = 'bingo')) AS bingo,
+    len(list_filter(coalesce(gambling_participation_mc, []), lambda x: trim(x) = 'casino poker')) AS poker
+  FROM v_fact f JOIN v_info i ON f.respondentPk = i.respondent_pk)"""
+
+
+@query(
+    "x2_clustered_logit_sparse",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_newton_sql(n, 0, 1, OCCURRENCES, f'plays_{label}')})"
+        for n, label in (("bingo", "bingo"), ("poker", "casino poker"))
+    ),
+)
+def _(t: Inputs):
+    """Features of a list column, one of them with values up to 2, without a column for any."""
+    info = t.view("v_info").select(F.col("respondent_pk").alias("respondentPk"), "profile.gambling_participation_mc")
+    rows = t.view("v_fact").select("respondentPk", "wonky_study_count").join(info, "respondentPk")
+    rows = sparse.encode(rows, {"gambling_participation_mc": False}, prefixes={"gambling_participation_mc": "plays_"})
+    r = cluster.logistic_cluster_robust_test(rows, [], sparse=sparse.COLUMN)
+    return r.select(
+        "feature", "n_obs", *[F.round(n, 7).alias(n) for n in ("log_odds_coef", "se_cluster_robust")]
+    )
+
+
 @query(
     "x3_combined_tests",
     f"""{OLS_SQL.replace("WITH src", "WITH a0 AS (SELECT 1), src", 1)}, logit AS (
@@ -186,6 +211,24 @@ CELLS = " UNION ALL ".join(
 )
 
 
+OPEN_CELLS = """SELECT feature, CAST(n11 AS DOUBLE) AS a, CAST(n1 - n11 AS DOUBLE) AS b,
+    CAST((SELECT count(*) FILTER (wonky_study_count > 0) FROM v_fact) - n11 AS DOUBLE) AS c,
+    CAST((SELECT count(*) FILTER (NOT coalesce(wonky_study_count > 0, false)) FROM v_fact) - (n1 - n11) AS DOUBLE) AS d
+  FROM (SELECT concat('ip_', ip) AS feature, count(*) AS n1, count(*) FILTER (wonky_study_count > 0) AS n11
+    FROM v_fact GROUP BY 1)"""
+
+
+@query(
+    "x6_chi_square_open_vocabulary",
+    f"""SELECT feature, round((a + b + c + d) * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6)
+        AS chi2 FROM ({OPEN_CELLS})""",
+)
+def _(t: Inputs):
+    """A flag per address: as many features as the data has addresses."""
+    rows = sparse.encode(t.view("v_fact").select("wonky_study_count", "ip"), {"ip": False})
+    return tests.chi_square_tests(rows, [], sparse=sparse.COLUMN).select("feature", F.round("chi2", 6).alias("chi2"))
+
+
 @query(
     "x6_chi_square",
     f"""SELECT feature, round((a + b + c + d) * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6)

@@ -42,6 +42,17 @@ def _categories(df: DataFrame, name: str, as_string: bool) -> Column:
     return F.when(c(name).isNull() | (F.size(c(name)) == 0), lone).otherwise(values)
 
 
+def occurrences(df: DataFrame, column: str, as_string: bool) -> Column:
+    """Array of (category, n): how often each category stands in the row."""
+    values = _categories(df, column, as_string)
+    if not isinstance(df.schema[column].dataType, T.ArrayType):
+        return F.transform(values, lambda v: F.struct(v.alias("category"), F.lit(1).alias("n")))
+    return F.transform(
+        F.array_distinct(values),
+        lambda v: F.struct(v.alias("category"), F.size(F.filter(values, lambda x: x == v)).alias("n")),
+    )
+
+
 def one_hot_entries(df: DataFrame, columns: Mapping[str, bool], name: str = "encoded") -> DataFrame:
     """Sparse encoding: one (column, category, n) entry per category of the row.
 
@@ -51,14 +62,9 @@ def one_hot_entries(df: DataFrame, columns: Mapping[str, bool], name: str = "enc
     """
 
     def entries(column: str, as_string: bool) -> Column:
-        values = _categories(df, column, as_string)
         return F.transform(
-            F.array_distinct(values),
-            lambda v: F.struct(
-                F.lit(column).alias("column"),
-                v.alias("category"),
-                F.size(F.filter(values, lambda x: x == v)).alias("n"),
-            ),
+            occurrences(df, column, as_string),
+            lambda e: F.struct(F.lit(column).alias("column"), e["category"].alias("category"), e["n"].alias("n")),
         )
 
     return df.withColumn(name, F.concat(*[entries(n, s) for n, s in columns.items()]))
@@ -66,16 +72,21 @@ def one_hot_entries(df: DataFrame, columns: Mapping[str, bool], name: str = "enc
 
 def vocabulary(df: DataFrame, columns: Mapping[str, bool]) -> DataFrame:
     """(column, category, rows): all categories of several columns, in how many rows."""
-    named = one_hot_entries(df, columns, "__entries").select(F.inline("__entries"))
-    return named.groupBy("column", "category").agg(F.count(F.lit(1)).alias("rows"))
+
+    def named(column: str, as_string: bool) -> Column:
+        return F.transform(
+            F.array_distinct(_categories(df, column, as_string)),
+            lambda v: F.struct(F.lit(column).alias("column"), v.alias("category")),
+        )
+
+    return df.select(F.inline(F.concat(*[named(n, s) for n, s in columns.items()]))).groupBy("column", "category").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def vocabularies(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, list[str]]:
     """Sorted categories of several columns, found in one job.
 
     Each category becomes a column of the dense encoding, so the list is as long as the
-    caller's table is wide. Encode columns of open vocabulary with
-    :func:`one_hot_entries` instead.
+    caller's table is wide. Encode columns of open vocabulary with :mod:`sparse` instead.
     """
     found = vocabulary(df, columns).select("column", "category").collect()
     return {n: sorted(r.category for r in found if r.column == n) for n in columns}

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, existing, numeric_columns
+from panelsift.functions.sparse import TYPE
 from panelsift.operators.ordered import quantiles, running_total, value_counts
 from panelsift.operators.skew import lookup_join
+from panelsift.session import materialise
 
 # Features and display names of the speed breakdown, and chart names.
 SPEED_LABELS = {
@@ -32,32 +34,47 @@ def display_name(feature: str, labels: Mapping[str, str] | None = None) -> str:
     return (labels or {}).get(feature, feature.replace("_", " ").title())
 
 
-def sparse_entries(features: Sequence[str]) -> Column:
-    """Array of (``i``, ``x``): a base entry -1, then each feature that is missing or not 0.
+def sparse_entries(features: Sequence[str], sparse: str | None = None) -> Column:
+    """Array of (``i``, ``x``): a base entry, then each feature that is missing or not 0.
 
     The values go into one array and the rest is done on its elements, which keeps
-    the plan small for hundreds of features.
+    the plan small for hundreds of features. ``i`` is the feature's position, -1 for the
+    base; with a ``sparse`` column, whose entries follow, it is its name, empty for the
+    base.
     """
     nothing = F.lit(None).cast("double")
-    values = F.array(*[c(n).cast("double") for n in features])
-    numbered = F.transform(
-        values, lambda x, i: F.struct(i.alias("i"), F.nanvl(x, nothing).alias("x"))
-    )
-    kept = F.filter(numbered, lambda e: e["x"].isNull() | (e["x"] != 0))
-    base = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("x")))
-    return F.concat(base, kept)
+    values = F.array(*[c(n).cast("double") for n in features]).cast("array<double>")
+    names = F.array(*[F.lit(n) for n in features])
+
+    def numbered(x: Column, i: Column) -> Column:
+        key = i if sparse is None else F.element_at(names, i + 1)
+        return F.struct(key.alias("i"), F.nanvl(x, nothing).alias("x"))
+
+    entries = [F.transform(values, numbered)] if features or sparse is None else []
+    if sparse is not None:
+        listed = F.coalesce(c(sparse), F.array().cast(TYPE))
+        entries.append(
+            F.transform(listed, lambda e: F.struct(e["feature"].alias("i"), F.nanvl(e["x"], nothing).alias("x")))
+        )
+    kept = [F.filter(es, lambda e: e["x"].isNull() | (e["x"] != 0)) for es in entries]
+    base = F.struct(F.lit(-1 if sparse is None else "").alias("i"), F.lit(0.0).alias("x"))
+    return F.concat(F.array(base), *kept)
 
 
-def feature_sums(df: DataFrame, features: Sequence[str], state: Column) -> DataFrame:
+def feature_sums(
+    df: DataFrame, features: Sequence[str], state: Column, sparse: str | None = None
+) -> DataFrame:
     """Per feature and row state: rows, missing values, sum and number of ones.
 
     Flags are mostly 0, so a row yields one base entry and one entry per feature
     that is missing or not 0. They are combined per (feature, state) before the
     shuffle; a wide aggregate over hundreds of features would leave generated code.
-    Columns: ``i`` (position of the feature), ``state``, ``n``, ``m``, ``s``, ``n1``.
+    The few sums are stored, so the rows are read once.
+    Columns: ``feature``, ``i`` (its position, null for one of the ``sparse`` column,
+    all of which follow the named ones), ``state``, ``n``, ``m``, ``s``, ``n1``.
     """
-    found = (
-        df.select(state.alias("state"), F.inline(sparse_entries(features)))
+    found = materialise(
+        df.select(state.alias("state"), F.inline(sparse_entries(features, sparse)))
         .groupBy("i", "state")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -66,17 +83,29 @@ def feature_sums(df: DataFrame, features: Sequence[str], state: Column) -> DataF
             F.count_if(F.col("x") == 1).alias("n1"),
         )
     )
-    # one row per state, repeated per feature so that all-zero features are there too
-    every = found.where("i = -1").select(
-        "state", "n", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("i")
+    at_base = F.col("i") == (F.lit(-1) if sparse is None else F.lit(""))
+    # the states of the rows are few; each feature gets a row for each of them
+    states = found.where(at_base).agg(F.collect_list(F.struct("state", "n")).alias("all")).select("all").scalar()
+    sums = found.where(~at_base).groupBy("i").agg(
+        F.collect_list(F.struct("state", "m", "s", "n1")).alias("own")
     )
-    sums = found.where("i >= 0").select("i", "state", "m", "s", "n1")
-    return every.join(sums, ["i", "state"], "left").select(
+    names = [(n, k) for k, n in enumerate(features)]
+    listed = df.sparkSession.createDataFrame(names, "feature string, position int")
+    if sparse is None:
+        sums = listed.join(sums, listed.position == sums.i, "left").drop("i")
+    else:
+        # named columns that are 0 everywhere are there too
+        sums = listed.join(sums, F.col("feature") == F.col("i"), "full_outer")
+        sums = sums.withColumn("feature", F.coalesce("feature", "i")).drop("i")
+    every = sums.select("feature", F.col("position").alias("i"), "own", F.explode(states).alias("base"))
+    own = F.get(F.filter("own", lambda e: e["state"].eqNullSafe(F.col("base.state"))), F.lit(0))
+    return every.withColumn("o", own).select(
+        "feature",
         "i",
-        "state",
-        "n",
-        *[F.coalesce(c(n), F.lit(0)).alias(n) for n in ("m", "n1")],
-        F.coalesce("s", F.lit(0.0)).alias("s"),
+        F.col("base.state").alias("state"),
+        F.col("base.n").alias("n"),
+        *[F.coalesce(F.col(f"o.{n}"), F.lit(0)).alias(n) for n in ("m", "n1")],
+        F.coalesce(F.col("o.s"), F.lit(0.0)).alias("s"),
     )
 
 
@@ -86,29 +115,31 @@ def breakdown(
     group_col: str = "wonky_study_count",
     group_threshold: float = 0,
     labels: Mapping[str, str] | None = None,
+    sparse: str | None = None,
 ) -> DataFrame:
     """Percentage of 1s per feature: all rows, flagged rows, other rows, difference.
 
     "Other" means a missing group value if any is missing, else a value of 0. One
     pass over the data whatever the number of features. An empty side counts as 0
-    percent; a side whose values are all missing stays null.
+    percent; a side whose values are all missing stays null. With a ``sparse`` column
+    all its features are profiled as well; they have no position.
     """
     names = existing(df, features)
     if group_col not in df.columns:
         raise ValueError(f"no column {group_col!r}")
-    if not names:
+    if not names and sparse is None:
         raise ValueError("none of the features exist")
     group = c(group_col)
     # a value can be flagged and zero at once when the threshold is negative
     bits = {1: group > group_threshold, 2: group == 0, 4: group.isNull()}
     state = sum((F.when(test, bit).otherwise(0) for bit, test in bits.items()), F.lit(0))
-    sums = feature_sums(df, names, state)
+    sums = feature_sums(df, names, state, sparse)
 
     def within(bit: int, value: Column) -> Column:
         return F.sum(F.when(F.col("state").bitwiseAND(bit) > 0, value))
 
     known = F.col("n") - F.col("m")
-    totals = sums.groupBy("i").agg(
+    totals = sums.groupBy("feature", "i").agg(
         F.try_divide(F.sum("s"), F.sum(known)).alias("all"),
         *[F.coalesce(within(bit, F.col("n")), F.lit(0)).alias(f"n{bit}") for bit in bits],
         *[F.try_divide(within(bit, F.col("s")), within(bit, known)).alias(f"p{bit}") for bit in bits],
@@ -117,13 +148,13 @@ def breakdown(
     group_share = F.when(F.col("n1") > 0, F.col("p1")).otherwise(0.0)
     other = F.when(missing, F.col("p4")).when(F.col("n2") > 0, F.col("p2")).otherwise(0.0)
 
-    def text(values: Sequence[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("i") + 1)
-
+    spelled = F.initcap(F.translate("feature", "_", " "))
+    shown = [F.lit(display_name(n, labels)) for n in names]
+    label = F.coalesce(F.get(F.array(*shown), F.col("i")), spelled) if shown else spelled
     return totals.select(
         F.col("i").alias("position"),
-        text(names).alias("feature"),
-        text([display_name(n, labels) for n in names]).alias("label"),
+        "feature",
+        label.alias("label"),
         (F.col("all") * 100).alias("all_pct"),
         (group_share * 100).alias("group_pct"),
         (other * 100).alias("other_pct"),
@@ -369,12 +400,12 @@ def exposure_share(
     names = existing(df, features)
     band = c(exposure_col)
     side = F.when(band == exposed, "exposed").when(band == control, "control").otherwise("none")
-    totals = feature_sums(df, names, side).groupBy("i").agg(
+    totals = feature_sums(df, names, side).groupBy("feature").agg(
         F.sum("n").alias("rows"),
         *[F.sum(F.when(F.col("state") == n, F.col("s")).otherwise(0.0)).alias(n) for n in ("exposed", "control")],
     )
     return totals.select(
-        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("feature"),
+        "feature",
         (F.col("control") / F.col("rows")).alias("control"),
         (F.col("exposed") / F.col("rows")).alias("exposed"),
         ((F.col("exposed") - F.col("control")) / F.col("rows")).alias("delta"),

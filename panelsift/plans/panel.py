@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelsift import config
 from panelsift.columns import c, drop_duplicate_columns, exclude, existing, starting_with
-from panelsift.functions import bins, device, onehot, speed, temporal
+from panelsift.functions import bins, device, onehot, sparse, speed, temporal
 from panelsift.models.compare import ModelResults, run_all_models
 from panelsift.operators import aggregates, joins, profile, select, windows
 from panelsift.operators.skew import attach_per_key, find_hot_keys
@@ -45,6 +45,8 @@ TEXT_COLUMNS = (
     "email_verified", "ip_address_count", "notify_new_task", "notify_task_payout",
     "quality_round10", "risk_round10", "share_location_data", "task_length_of_task",
 )
+# Of these, the ones whose categories grow with the data; the others are code lists.
+OPEN_COLUMNS = ("device", "employee_title", "ip_address_count", "taskTitle", "task_length_of_task")
 
 
 @dataclass
@@ -126,12 +128,16 @@ def engineer_features(
     drop_from_load: Sequence[str] = (),
     speed_group: str | None = None,
     carried: Sequence[str] = CARRIED_COLUMNS,
+    open_vocabulary: Sequence[str] = OPEN_COLUMNS,
 ) -> DataFrame:
     """All engineered features of the completions.
 
     Pass a stored table: the quantiles, the per-respondent facts and the features
-    read it one after the other. Columns a data set lacks are left out along with what is made from them. Two
-    small jobs run on the way: the time quantiles and the category values.
+    read it one after the other. Columns a data set lacks are left out along with what is
+    made from them. Two small jobs run on the way: the time quantiles and the categories
+    of the code lists, which become a column each. Categories of ``open_vocabulary``
+    columns become entries of the column ``sparse_features``; see
+    :mod:`panelsift.functions.sparse`.
     """
     df = exclude(df, drop_from_load)
     original = set(df.columns)
@@ -167,7 +173,11 @@ def engineer_features(
     encoded = existing(df, [*ENCODED_COLUMNS, *mapped])
     # found once for all columns from a written table, not by repeating the joins
     df = materialise(df)
-    df = onehot.batch_one_hot_encode(df, encoded, [*TEXT_COLUMNS, *mapped])
+    text = {*TEXT_COLUMNS, *mapped}
+    listed = [n for n in encoded if n in set(open_vocabulary)]
+    df = onehot.batch_one_hot_encode(df, [n for n in encoded if n not in listed], sorted(text))
+    if listed:
+        df = sparse.encode(df, {n: n in text for n in listed})
     return select.filter_to_engineered_features(df, original, additional_columns=carried)
 
 
@@ -176,14 +186,20 @@ def test_features(
 ) -> tuple[DataFrame, dict[str, list[str]]]:
     """Both regressions for every configured feature over the exposed and control rows.
 
-    Also returns the configured names the data does not have.
+    Configured names may be columns, features of the sparse column, or all of its features
+    that start alike (``taskTitle_*``). Also returns the names the data does not have.
     """
     rows = select.keep_known(df, ["exposure_band"]) if "exposure_band" in df.columns else df
+    listed: list[str] = []
+    if sparse.COLUMN in rows.columns:
+        asked = {n.strip().rstrip(",") for names in feature_sets.values() for n in names}
+        listed = sparse.present(rows, sorted(asked - set(rows.columns)))
     known, unknown = config.clean_feature_sets(
-        {k: list(v) for k, v in feature_sets.items()}, rows.columns
+        {k: list(v) for k, v in feature_sets.items()}, [*rows.columns, *listed]
     )
     known = {k: v for k, v in known.items() if v}
-    return cluster.run_test_battery(rows, known, outcome_var=outcome), unknown
+    column = sparse.COLUMN if listed else None
+    return cluster.run_test_battery(rows, known, column, outcome_var=outcome), unknown
 
 
 test_features.__test__ = False  # a step of the analysis, not a unit test
@@ -192,12 +208,17 @@ test_features.__test__ = False  # a step of the analysis, not a unit test
 def model_features(
     df: DataFrame, results: DataFrame, extra: Sequence[str] = (), **settings
 ) -> ModelResults:
-    """Models on the features significant in both tests, over rows with an outcome."""
+    """Models on the features significant in both tests, over rows with an outcome.
+
+    Chosen features of the sparse column become columns of their own.
+    """
     chosen = [r.feature for r in cluster.both_significant(results).select("feature").distinct().collect()]
     features = select.remove_collinear_features(
         [*sorted(chosen), *[n for n in extra if n not in chosen]], containing=("is_weekend",)
     )
     rows = select.keep_known(df, ["wonky_study_count"])
+    if sparse.COLUMN in rows.columns:
+        rows = sparse.with_columns(rows, sparse.present(rows, [n for n in features if n not in rows.columns]))
     return run_all_models(rows, existing(rows, features), **settings)
 
 

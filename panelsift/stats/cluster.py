@@ -5,16 +5,23 @@ contributes one base entry plus an entry for each feature that is not 0 or is
 missing; what the zeros add follows from the base entry. One scan and one
 map-side combined shuffle serve all features of both tests, and a user with very
 many rows shrinks to one partial row per feature and task.
+
+Features of an open vocabulary come from a sparse column and are keyed by name: any
+number of them is fitted, and nothing that grows with their number is gathered or sent
+to the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, existing
+from panelsift.functions.sparse import only, requested
 from panelsift.operators.profile import sparse_entries
 from panelsift.session import materialise
 from panelsift.stats.effects import Z_95, cohens_d_label, normal_p_value, odds_ratio_label
@@ -48,13 +55,16 @@ class ClusterSums:
         outcome: str = "wonky_study_count",
         user: str = "respondentPk",
         binarize: bool = True,
+        sparse: str | None = None,
     ):
-        self.features = existing(df, features)
+        self.features, self.sparse = existing(df, features), sparse
+        #: type and base entry of ``i``: the position of a column, or any feature's name
+        self.key, self.base = ("int", F.lit(BASE)) if sparse is None else ("string", F.lit(""))
         self.df, self.user = self._near_zero(df), user
         y = F.coalesce(c(outcome).cast("double"), F.lit(0.0))
         self.y = y
         self.positive = F.when(y > 0, 1.0).otherwise(0.0) if binarize else y
-        self.sums = materialise(self._summed()) if self.features else None
+        self.sums = materialise(self._summed()) if self.features or sparse else None
 
     def _near_zero(self, df: DataFrame) -> DataFrame:
         """Features whose offset dwarfs their range, moved to the middle of it.
@@ -75,15 +85,28 @@ class ClusterSums:
         return F.nanvl(c(feature).cast("double"), F.lit(None).cast("double"))
 
     def name(self, index: Column) -> Column:
+        if self.sparse is not None:
+            return index
         return F.element_at(F.array(*[F.lit(f) for f in self.features]), index + 1)
 
-    def _summed(self) -> DataFrame:
-        long = self.df.where(c(self.user).isNotNull()).select(
+    @property
+    def at_base(self) -> Column:
+        return F.col("i") == self.base
+
+    def key_of(self, position: int) -> object:
+        return position if self.sparse is None else self.features[position]
+
+    def entries(self) -> DataFrame:
+        """User, outcome and (``i``, ``x``) of each row's base and non-zero features."""
+        return self.df.where(c(self.user).isNotNull()).select(
             c(self.user).alias("u"),
             self.y.alias("y"),
             self.positive.alias("b"),
-            F.inline(sparse_entries(self.features)),
+            F.inline(sparse_entries(self.features, self.sparse)),
         )
+
+    def _summed(self) -> DataFrame:
+        long = self.entries()
         x, y, b = F.col("x"), F.col("y"), F.col("b")
         per_user = long.groupBy("i", "u").agg(
             F.count(F.lit(1)).alias("n"),
@@ -107,16 +130,18 @@ class ClusterSums:
             F.min(x).alias("lo"),
             F.max(x).alias("hi"),
         )
-        # a user has at most one row per feature here, so this window stays small
+        if self.sparse is not None:  # users may have any number of features
+            stored = materialise(per_user)
+            base = stored.where(self.at_base).select("u", *[c(n).alias(f"u_{n}") for n in ("n", "sy", "sb")])
+            return stored.join(base, "u")
+        # a user has at most one row per column here, so this window stays small
         own = Window.partitionBy("u")
-        base = {
-            f"u_{n}": F.max(F.when(F.col("i") == BASE, c(n))).over(own) for n in ("n", "sy", "sb")
-        }
+        base = {f"u_{n}": F.max(F.when(self.at_base, c(n))).over(own) for n in ("n", "sy", "sb")}
         return per_user.withColumns(base)
 
     def overall(self) -> Column:
         """Struct of whole-frame totals, as a scalar subquery of one row."""
-        base = self.sums.where(F.col("i") == BASE)
+        base = self.sums.where(self.at_base)
         n, sy, sb = F.sum("n"), F.sum("sy"), F.sum("sb")
         sums = base.agg(
             n.alias("n"), sy.alias("sy"), F.sum("syy").alias("syy"), sb.alias("sb"),
@@ -126,7 +151,7 @@ class ClusterSums:
 
     def squares(self) -> Column:
         """Struct of second moments of the users' centred outcome sums and row counts."""
-        base = self.sums.where(F.col("i") == BASE).withColumn("all", self.overall())
+        base = self.sums.where(self.at_base).withColumn("all", self.overall())
         r = F.col("sy") - F.col("all.ybar") * F.col("n")
         s = F.col("sb") - F.col("all.bbar") * F.col("n")
         n = F.col("n").cast("double")
@@ -140,7 +165,7 @@ class ClusterSums:
         """One row per feature: complete-case totals."""
         summed = ("m", "my", "myy", "mb", "sx", "sxx", "sxy", "sxb", "n1", "sy1", "sb1")
         per = (
-            self.sums.where(F.col("i") != BASE)
+            self.sums.where(~self.at_base)
             .groupBy("i")
             .agg(
                 *[F.sum(c(n)).alias(n) for n in summed],
@@ -166,9 +191,12 @@ class ClusterSums:
         ).where((F.col("n") >= MIN_ROWS) & varied)
 
     def with_coefficients(self, coefficients: DataFrame) -> DataFrame:
-        """(feature, user) sums next to their feature's row; one row per feature is sent."""
-        renamed = coefficients.select("i", F.struct("*").alias("f"))
-        return self.sums.join(F.broadcast(renamed), "i")
+        """(feature, user) sums next to their feature's row."""
+        return self.sums.join(self.per_feature(coefficients.select("i", F.struct("*").alias("f"))), "i")
+
+    def per_feature(self, table: DataFrame) -> DataFrame:
+        """One row per feature: sent to the tasks if these are columns, else joined by key."""
+        return F.broadcast(table) if self.sparse is None else table
 
 
 def _correction(n: Column, g: Column) -> Column:
@@ -201,7 +229,7 @@ def ols_results(sums: ClusterSums, significance_level: float = 0.05) -> DataFram
         F.sum(F.col("s0") * F.col("s1")).alias("m01"),
         F.sum(F.col("s1") * F.col("s1")).alias("m11"),
     )
-    done = fitted.join(F.broadcast(meat), "i").withColumn("q", sums.squares())
+    done = fitted.join(sums.per_feature(meat), "i").withColumn("q", sums.squares())
     level = F.col("level")
     m00 = F.col("q.rr") - 2 * level * F.col("q.rn") + level * level * F.col("q.nn") + F.col("d00")
     w0, w1 = F.try_divide(-F.col("sx"), F.col("det")), F.try_divide(F.col("n"), F.col("det"))
@@ -255,7 +283,7 @@ def _binary_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame:
     spread = joined.select("i", influence.alias("h"), zero.alias("z")).groupBy("i").agg(
         F.sum(F.col("h") * F.col("h") - F.col("z") * F.col("z")).alias("extra")
     )
-    done = cells.join(F.broadcast(spread), "i").withColumn("q", sums.squares())
+    done = cells.join(sums.per_feature(spread), "i").withColumn("q", sums.squares())
     shift = F.col("p0") - F.col("all.bbar")
     everyone = F.col("q.ss") - 2 * shift * F.col("q.sn") + shift * shift * F.col("q.nn")
     variance = everyone / (F.col("w0") * F.col("w0")) + F.col("extra")
@@ -267,14 +295,99 @@ def _binary_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame:
     )
 
 
+def _fit_counts(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """Newton on (x, n, sb) of one feature; no row if it does not settle (separated)."""
+    n, sb, width = (cells[k].to_numpy(float) for k in ("n", "sb", "width"))
+    x = cells["x"].to_numpy(float) / width
+    beta = np.zeros(2)
+    names = ["i", "a", "s", "h00", "h01", "h11", "loglik"]
+    for _ in range(NEWTON_STEPS):
+        with np.errstate(all="ignore"):
+            p = 1 / (1 + np.exp(-(beta[0] + beta[1] * x)))
+        w, off = n * p * (1 - p), sb - n * p
+        h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum()]])
+        det = h[0, 0] * h[1, 1] - h[0, 1] ** 2
+        if not det > 1e-12 * max(h[0, 0], 1e-300) ** 2:
+            break
+        g = np.array([off.sum(), (off * x).sum()])
+        step = np.array([h[1, 1] * g[0] - h[0, 1] * g[1], h[0, 0] * g[1] - h[0, 1] * g[0]]) / det
+        beta = beta + step
+        if np.abs(beta).max() > 500:
+            break
+        if np.abs(step).max() < NEWTON_TOLERANCE:
+            p = 1 / (1 + np.exp(-(beta[0] + beta[1] * x)))
+            w = n * p * (1 - p)
+            fit = (sb * np.log(p) + (n - sb) * np.log1p(-p)).sum()
+            u = cells["x"].to_numpy(float)
+            row = [key[0], beta[0], beta[1] / width[0], w.sum(), (w * u).sum(), (w * u * u).sum(), fit]
+            return pd.DataFrame([row], columns=names)
+    return pd.DataFrame(columns=names)
+
+
+def _counted_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame:
+    """Newton for features of the sparse column that are not just 0 and 1.
+
+    Such values are numbers of occurrences, so a feature has few distinct ones: its
+    counts per value make one small group, and all features are fitted in one job. Zeros
+    are what is left of the totals.
+    """
+    others = totals.where(~F.col("binary") & ~F.col("i").isin(sums.features))
+    width = F.sqrt(F.greatest(F.col("sxx") / F.col("n") - (F.col("sx") / F.col("n")) ** 2, F.lit(0.0)))
+    fitted = others.withColumn("width", F.when(width > 0, width).otherwise(1.0))
+    listed = sums.entries().where(~sums.at_base & F.col("x").isNotNull())
+    per_user = materialise(
+        listed.join(fitted.select("i"), "i", "left_semi")
+        .groupBy("i", "x", "u")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("sb"))
+    )
+    counts = per_user.groupBy("i", "x").agg(F.sum("n").cast("double").alias("n"), F.sum("sb").alias("sb"))
+    some = counts.groupBy("i").agg(F.sum("n").alias("some"), F.sum("sb").alias("some_b"))
+    zeros = fitted.join(some, "i").select(
+        "i", F.lit(0.0).alias("x"), (F.col("n") - F.col("some")).alias("n"), (F.col("sb") - F.col("some_b")).alias("sb")
+    )
+    cells = counts.unionByName(zeros.where("n > 0")).join(fitted.select("i", "width"), "i")
+    fit = cells.groupBy("i").applyInPandas(
+        _fit_counts, "i string, a double, s double, h00 double, h01 double, h11 double, loglik double"
+    )
+    done = materialise(fitted.join(fit, "i"))
+    p = 1 / (1 + F.exp(-(F.col("a") + F.col("s") * F.col("x"))))
+    sure = done.select("i", "a", "s")
+    expected = per_user.join(sure, "i").groupBy("i", "u").agg(
+        F.sum(F.col("n") * p).alias("e0"), F.sum(F.col("n") * p * F.col("x")).alias("e1")
+    )
+    p0 = 1 / (1 + F.exp(-F.col("a")))
+    known = sums.sums.join(sure.select("i", p0.alias("p0")), "i").join(expected, ["i", "u"], "left")
+    zero_rows = F.col("u_n") - F.col("n")  # of the entries some may be missing values
+    s0 = (F.col("u_sb") - F.col("mb")) - F.coalesce("e0", F.lit(0.0)) - F.col("p0") * zero_rows
+    s1 = F.col("sxb") - F.coalesce("e1", F.lit(0.0))
+    z = F.col("u_sb") - F.col("p0") * F.col("u_n")
+    spread = known.select("i", s0.alias("s0"), s1.alias("s1"), z.alias("z")).groupBy("i").agg(
+        F.sum(F.col("s0") * F.col("s0") - F.col("z") * F.col("z")).alias("extra"),
+        F.sum(F.col("s0") * F.col("s1")).alias("m01"),
+        F.sum(F.col("s1") * F.col("s1")).alias("m11"),
+    )
+    done = done.join(spread, "i").withColumn("q", sums.squares())
+    shift = p0 - F.col("all.bbar")
+    m00 = F.col("q.ss") - 2 * shift * F.col("q.sn") + shift * shift * F.col("q.nn") + F.col("extra")
+    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+    w0, w1 = F.try_divide(-F.col("h01"), det), F.try_divide(F.col("h00"), det)
+    variance = w0 * w0 * m00 + 2 * w0 * w1 * F.col("m01") + w1 * w1 * F.col("m11")
+    return done.select(
+        "i", "n", "n1", "sb", "sb1", F.col("s").alias("coef"),
+        F.sqrt(_correction(F.col("n"), F.col("g")) * variance).alias("se"), "loglik",
+    )
+
+
 def _newton_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame | None:
-    """Newton for features with other values, on counts per distinct value.
+    """Newton for columns with other values, on counts per distinct value.
 
     Only one row per feature reaches the driver in each step. A feature whose fit
     does not settle (separated outcomes) gives no row.
     """
     spark = totals.sparkSession
-    others = totals.where(~F.col("binary")).select("i", "n", "sx", "sxx").collect()
+    columns = {sums.key_of(k): name for k, name in enumerate(sums.features)}
+    numeric = totals.where(~F.col("binary") & F.col("i").isin(list(columns)))
+    others = numeric.select("i", "n", "sx", "sxx").collect()  # one row per column
     if not others:
         return None
     scale = {
@@ -285,7 +398,7 @@ def _newton_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame | None:
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                ((sums.value(sums.features[i]) - F.lit(mid)) / F.lit(width)).alias("x"),
+                ((sums.value(columns[i]) - F.lit(mid)) / F.lit(width)).alias("x"),
             )
             for i, (mid, width) in scale.items()
         ]
@@ -301,12 +414,12 @@ def _newton_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame | None:
         per_user.groupBy("i", "x").agg(F.sum("n").alias("n"), F.sum("sb").alias("sb"))
     )
     beta = {i: (0.0, 0.0) for i in scale}
-    settled: dict[int, tuple] = {}
+    settled: dict[object, tuple] = {}
     x, n = F.col("x"), F.col("n")
 
     def table(values: dict) -> DataFrame:
         rows = [(i, float(a), float(b)) for i, (a, b) in values.items()]
-        return F.broadcast(spark.createDataFrame(rows, "i int, a double, s double"))
+        return F.broadcast(spark.createDataFrame(rows, f"i {sums.key}, a double, s double"))
 
     p = 1 / (1 + F.exp(-(F.col("a") + F.col("s") * x)))
     for _ in range(NEWTON_STEPS):
@@ -362,7 +475,7 @@ def _newton_logit(sums: ClusterSums, totals: DataFrame) -> DataFrame | None:
         w0 * w0 * F.col("m00") + 2 * w0 * w1 * F.col("m01") + w1 * w1 * F.col("m11")
     )
     widths = F.broadcast(
-        spark.createDataFrame([(i, float(s)) for i, (_, s) in scale.items()], "i int, width double")
+        spark.createDataFrame([(i, float(s)) for i, (_, s) in scale.items()], f"i {sums.key}, width double")
     )
     return (
         totals.join(F.broadcast(bread), "i")
@@ -386,6 +499,8 @@ def logit_results(sums: ClusterSums, significance_level: float = 0.05) -> DataFr
     other = _newton_logit(sums, usable)
     if other is not None:
         fitted = fitted.unionByName(other)
+    if sums.sparse is not None:
+        fitted = fitted.unionByName(_counted_logit(sums, usable))
     fitted = fitted.where(F.col("se").isNotNull())
     coef, se = F.col("coef"), F.col("se")
     with_share = F.try_divide(F.col("sb1"), F.col("n1"))
@@ -423,10 +538,14 @@ def ols_cluster_robust_test(
     outcome_var: str = "wonky_study_count",
     user_id_var: str = "respondentPk",
     significance_level: float = 0.05,
+    sparse: str | None = None,
 ) -> DataFrame:
-    """Mean difference per feature, strongest t first; unknown features are skipped."""
-    sums = ClusterSums(df, feature_set, outcome_var, user_id_var)
-    return ols_results(sums, significance_level) if sums.features else _empty(df, OLS_COLUMNS)
+    """Mean difference per feature, strongest t first; unknown features are skipped.
+
+    All features of a ``sparse`` column are tested along with the named columns.
+    """
+    sums = ClusterSums(df, feature_set, outcome_var, user_id_var, sparse=sparse)
+    return ols_results(sums, significance_level) if sums.sums is not None else _empty(df, OLS_COLUMNS)
 
 
 def logistic_cluster_robust_test(
@@ -436,10 +555,11 @@ def logistic_cluster_robust_test(
     user_id_var: str = "respondentPk",
     significance_level: float = 0.05,
     binarize_outcome: bool = True,
+    sparse: str | None = None,
 ) -> DataFrame:
-    """Odds ratio per feature, strongest z first."""
-    sums = ClusterSums(df, feature_set, outcome_var, user_id_var, binarize_outcome)
-    if not sums.features:
+    """Odds ratio per feature, strongest z first; all features of a ``sparse`` column too."""
+    sums = ClusterSums(df, feature_set, outcome_var, user_id_var, binarize_outcome, sparse)
+    if sums.sums is None:
         return _empty(df, LOGIT_COLUMNS)
     return logit_results(sums, significance_level)
 
@@ -450,10 +570,14 @@ def run_combined_regression_tests(
     outcome_var: str = "wonky_study_count",
     user_id_var: str = "respondentPk",
     significance_level: float = 0.05,
+    sparse: str | None = None,
 ) -> DataFrame:
-    """Both tests side by side, one row per feature that either could fit."""
-    sums = ClusterSums(df, feature_set, outcome_var, user_id_var)
-    if sums.features:
+    """Both tests side by side, one row per feature that either could fit.
+
+    All features of a ``sparse`` column are tested along with the named columns.
+    """
+    sums = ClusterSums(df, feature_set, outcome_var, user_id_var, sparse=sparse)
+    if sums.sums is not None:
         ols, logit = ols_results(sums, significance_level), logit_results(sums, significance_level)
     else:
         ols, logit = _empty(df, OLS_COLUMNS), _empty(df, LOGIT_COLUMNS)
@@ -474,13 +598,20 @@ def run_combined_regression_tests(
 
 
 def run_test_battery(
-    df: DataFrame, feature_sets: dict[str, Sequence[str]], **settings
+    df: DataFrame, feature_sets: dict[str, Sequence[str]], sparse: str | None = None, **settings
 ) -> DataFrame:
-    """All feature sets in one table; a feature in several sets is fitted once."""
+    """All feature sets in one table; a feature in several sets is fitted once.
+
+    Names that are no columns are looked for in the ``sparse`` column, if one is given; a
+    name that ends in ``*`` stands for all its features that start so.
+    """
     names = list(dict.fromkeys(f for members in feature_sets.values() for f in members))
-    fitted = run_combined_regression_tests(df, names, **settings)
+    listed = [n for n in names if n not in df.columns]
+    if sparse is not None and listed:
+        df = only(df, listed, sparse)
+    fitted = run_combined_regression_tests(df, names, sparse=sparse if listed else None, **settings)
     members = [
-        F.when(F.col("feature").isin(*wanted), F.lit(name))
+        F.when(requested(F.col("feature"), wanted), F.lit(name))
         for name, wanted in feature_sets.items()
         if wanted
     ]

@@ -17,27 +17,29 @@ from panelsift.stats.effects import normal_p_value
 
 
 def contingency(
-    df: DataFrame, feature_set: Sequence[str], group_var: str = "wonky_study_count"
+    df: DataFrame,
+    feature_set: Sequence[str],
+    group_var: str = "wonky_study_count",
+    sparse: str | None = None,
 ) -> DataFrame:
     """2x2 counts per flag against a positive group value (missing counts as 0).
 
     ``n11`` counts flag 1 in the group, ``n01`` flag 0 in the group, and so on; a row
-    with a missing flag is left out for that flag. One pass for all flags.
+    with a missing flag is left out for that flag. One pass for all flags, those of a
+    ``sparse`` column included.
     """
     names = existing(df, feature_set)
     inside = F.coalesce(c(group_var) > 0, F.lit(False))
-    sums = feature_sums(df, names, inside)
+    sums = feature_sums(df, names, inside, sparse)
 
     def cell(side: bool, count: Column) -> Column:
         return F.sum(F.when(F.col("state") == side, count).otherwise(0)).cast("double")
 
     on, off = F.col("n1"), F.col("n") - F.col("m") - F.col("n1")
-    cells = sums.groupBy("i").agg(
+    return sums.groupBy("feature").agg(
         cell(True, on).alias("n11"), cell(False, on).alias("n10"),
         cell(True, off).alias("n01"), cell(False, off).alias("n00"),
     )
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
-    return cells.select(named.alias("feature"), "n11", "n10", "n01", "n00")
 
 
 def chi_square_tests(
@@ -45,9 +47,10 @@ def chi_square_tests(
     feature_set: Sequence[str],
     group_var: str = "wonky_study_count",
     significance_level: float = 0.01,
+    sparse: str | None = None,
 ) -> DataFrame:
     """Pearson chi-square with one degree of freedom, without continuity correction."""
-    t = contingency(df, feature_set, group_var)
+    t = contingency(df, feature_set, group_var, sparse)
     a, b, d, e = (F.col(n) for n in ("n11", "n10", "n01", "n00"))
     margins = (a + b) * (d + e) * (a + d) * (b + e)
     cross = a * e - b * d
@@ -64,9 +67,10 @@ def two_proportion_z_tests(
     feature_set: Sequence[str],
     group_var: str = "wonky_study_count",
     significance_level: float = 0.05,
+    sparse: str | None = None,
 ) -> DataFrame:
     """Pooled z-test of the flag's share in the group against the rest."""
-    t = contingency(df, feature_set, group_var)
+    t = contingency(df, feature_set, group_var, sparse)
     inside, outside = F.col("n11") + F.col("n01"), F.col("n10") + F.col("n00")
     p1, p0 = F.try_divide(F.col("n11"), inside), F.try_divide(F.col("n10"), outside)
     pooled = F.try_divide(F.col("n11") + F.col("n10"), inside + outside)
