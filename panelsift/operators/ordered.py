@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import all_of, any_of, c
 from panelsift.operators.skew import lookup_join
 from panelsift.session import materialise
 
-# up to this many rows, ordering all distinct values is cheaper than bracketing
-DIRECT_ROWS = 5_000_000
 SKETCH_ACCURACY = 10_000
+# so many distinct values of one group may be ordered in a task; beyond, they are narrowed
+ENTRIES = 200_000
+# pieces a group's values are cut into when they are narrowed
+PIECES = 256
 
 
 def running_total(
@@ -109,8 +111,13 @@ def quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, one named column each, and ``n`` values.
 
-    Exact by default, without holding a group's values anywhere. ``approximate``
-    uses Spark's sketch alone, in a single pass.
+    Exact by default, without ordering or holding a group's values. A sketch brackets the
+    wanted positions; in one more scan the values inside the brackets are counted per
+    distinct value and all others per gap between brackets, so exact ranks are known.
+    Groups with too many distinct values left are narrowed further, all at once; a group
+    whose bracket missed its position is counted anew, alone. ``approximate`` stops at
+    Spark's sketch. Null keys form a group; nulls and NaN are no values; a group without
+    values has no row.
     """
     known = _without_nan(df, value).where(c(value).isNotNull())
     if approximate:
@@ -119,103 +126,147 @@ def quantiles(
             for name, p in probabilities.items()
         ]
         return known.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), *sketch)
-    if known.count() > DIRECT_ROWS:
-        exact = materialise(_bracketed_quantiles(known, value, probabilities, keys))
-        missed = [c(name).isNull() for name in probabilities]
-        if exact.where(any_of(missed)).isEmpty():
-            return exact
-    return counted_quantiles(value_counts(known, value, keys), value, probabilities, keys)
-
-
-def _with_group_row(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows next to their group's row in ``table``, null keys included."""
-    new = [n for n in table.columns if n not in keys]
-    if not keys:
-        one = table.select(F.struct(*[c(n) for n in new])).scalar()
-        return rows.withColumn("__one", one).select("*", *[F.col(f"__one.{n}") for n in new]).drop("__one")
-    marked = [f"__g{i}" for i in range(len(keys))]
-    for g, k in zip(marked, keys):
-        rows = rows.withColumn(g, F.struct(c(k).isNull(), c(k)))
-        table = table.withColumn(g, F.struct(c(k).isNull(), c(k)))
-    return lookup_join(rows, table.select(*marked, *[c(n) for n in new]), marked, "inner").drop(*marked)
-
-
-def _bracketed_quantiles(known, value, probabilities, keys):
-    """A sketch brackets each position; only values inside a bracket are ordered.
-
-    Rows below a bracket are counted into one entry that sorts first, so the
-    running total gives exact ranks. A bracket that missed its position leaves a
-    null, upon which the caller counts all values instead.
-    """
-    ps = list(probabilities.values())
+    ks = [f"__k{i}" for i in range(len(keys))]
+    rows = known.select(*[c(k).alias(m) for k, m in zip(keys, ks)], c(value).cast("double").alias("__x"))
+    ps = sorted(set(map(float, probabilities.values())))
+    gaps = _bracketed(rows, ks, ps)
+    picked, missed = _stored_picks(_narrowed(*gaps, ks, ps), ks, ps)
+    if missed:
+        # the rows of those groups only; all their values are counted
+        lost = _meet(rows, materialise(picked.where("__missed").select(*ks)), ks, "left_semi") if ks else rows
+        counts = lost.groupBy(*ks, F.col("__x").alias("__v")).agg(F.count(F.lit(1)).alias("n")).withColumn("__slot", F.lit(0).cast("bigint"))
+        redone, _ = _stored_picks(_narrowed(*_stored_counts(counts), ks, ps), ks, ps)
+        picked = picked.where("NOT __missed").unionByName(redone)
+    at = {p: i for i, p in enumerate(ps)}
+    return picked.select(
+        *[F.col(m).alias(k) for k, m in zip(keys, ks)],
+        F.col("__size").alias("n"),
+        *[F.col(f"__q{at[float(p)]}").alias(name) for name, p in probabilities.items()],
+    )
+
+
+def _meet(left: DataFrame, right: DataFrame, ks: Sequence[str], how: str) -> DataFrame:
+    """Join on group keys, null to null. ``right`` is a stored table, so its size decides
+    whether it is broadcast; else hot groups are split while the query runs."""
+    renamed = right.withColumnsRenamed({k: f"{k}r" for k in ks})
+    match = all_of([F.col(k).eqNullSafe(F.col(f"{k}r")) for k in ks])
+    return left.join(renamed, match, how).drop(*[f"{k}r" for k in ks])
+
+
+def _stored_counts(counts: DataFrame) -> tuple[DataFrame, int]:
+    """Written counts and their number of rows, without a job of its own."""
+    seen = Observation()
+    table = materialise(counts.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return table, seen.get["rows"]
+
+
+def _brackets(ps: Sequence[float]) -> list[float]:
+    """Lower and upper end around each position, as shares of the rows."""
     margin = 3.0 / SKETCH_ACCURACY
-    ends = [min(max(p + side, 0.0), 1.0) for p in ps for side in (-margin, margin)]
-    rows = known.select(*[c(k) for k in keys], c(value).cast("double").alias("__x"))
+    return [min(max(p + side, 0.0), 1.0) for p in ps for side in (-margin, margin)]
+
+
+def _bracketed(rows: DataFrame, ks: Sequence[str], ps: Sequence[float]) -> tuple[DataFrame, int]:
+    """Counts (keys, ``__slot``, ``__v``, ``n``) in rank order; ``__v`` is null in gaps.
+
+    ``__slot`` is the number of brackets that end below the value. Brackets of a group
+    with few rows are open: a margin of less than a row would miss its position.
+    """
+    ends = _brackets(ps)
+    few = F.count(F.lit(1)) <= 2 * SKETCH_ACCURACY
     sketch = materialise(
-        rows.groupBy(*[c(k) for k in keys]).agg(
-            F.count(F.lit(1)).alias("__size"),
-            F.percentile_approx("__x", ends, SKETCH_ACCURACY).alias("__ends"),
-        )
+        rows.groupBy(*ks).agg(F.when(~few, F.percentile_approx("__x", ends, SKETCH_ACCURACY)).alias("__ends"))
     )
     x = F.col("__x")
-    entries = []
-    for i, p in enumerate(ps):
-        low, high = F.col("__ends")[2 * i], F.col("__ends")[2 * i + 1]
-        inside = F.lit(True) if p <= margin else x >= low
-        not_above = F.lit(True) if p >= 1 - margin else x <= high
-        entry = F.struct(F.lit(i).alias("__i"), F.when(inside, x).alias("__v"))
-        entries.append(F.when(not_above, entry))
+    slot, inside = F.lit(0), F.col("__ends").isNull()
+    for i in range(len(ps)):
+        low = F.lit(True) if ends[2 * i] <= 0 else x >= F.col("__ends")[2 * i]
+        above = F.lit(False) if ends[2 * i + 1] >= 1 else x > F.col("__ends")[2 * i + 1]
+        slot = slot + F.when(above, 1).otherwise(0)
+        inside = inside | F.coalesce(low & ~above, F.lit(False))
+    if ks:
+        placed = _meet(rows, sketch, ks, "inner")
+    else:
+        placed = rows.withColumn("__ends", sketch.select("__ends").scalar())
     counts = (
-        _with_group_row(rows, sketch, keys)
-        .select(*[c(k) for k in keys], F.inline(F.array_compact(F.array(*entries))))
-        .groupBy(*[c(k) for k in keys], "__i", "__v")
+        placed.select(*ks, slot.cast("bigint").alias("__slot"), F.when(inside, x).alias("__v"))
+        .groupBy(*ks, "__slot", "__v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    order = [F.col("__v").asc_nulls_first()]
-    along = running_total(counts, {"__cum": F.col("n")}, order, [*keys, "__i"])
-    placed = _with_group_row(along, sketch.drop("__ends"), keys)
-    position = (F.col("__size") - 1) * F.element_at(F.array(*map(F.lit, ps)), F.col("__i") + 1)
-    per_probability = placed.groupBy(*[c(k) for k in keys], "__i", "__size").agg(
-        *_neighbours(position, F.col("__v"), "0")
-    )
-    results = [
-        F.max(F.when(F.col("__i") == i, _between((F.col("__size") - 1) * F.lit(float(p)), "0"))).alias(name)
-        for i, (name, p) in enumerate(probabilities.items())
-    ]
-    return per_probability.groupBy(*[c(k) for k in keys]).agg(
-        F.max("__size").alias("n"), *results
-    )
-
-
-def _neighbours(position: Column, value: Column, tag: str) -> list[Column]:
-    """Aggregates picking the values at the ranks around a position."""
-
-    def at(rank: Column) -> Column:
-        held = (F.col("__cum") - F.col("n") <= rank) & (rank < F.col("__cum"))
-        return F.max(F.when(held, value)).cast("double")
+    return _stored_counts(counts)
 
-    return [at(F.floor(position)).alias(f"__lo{tag}"), at(F.ceil(position)).alias(f"__hi{tag}")]
 
+def _held(cum: Column, n: Column, size: Column, ps: Sequence[float]) -> list[Column]:
+    """Per probability: whether the rows up to ``cum`` hold the rank below and above it."""
+    tests = []
+    for p in ps:
+        position = (size - 1) * F.lit(p)
+        tests += [(cum - n <= rank) & (rank < cum) for rank in (F.floor(position), F.ceil(position))]
+    return tests
 
-def _between(position: Column, tag: str) -> Column:
-    low, high = F.col(f"__lo{tag}"), F.col(f"__hi{tag}")
-    return low + (high - low) * (position - F.floor(position))
 
+def _narrowed(counts: DataFrame, rows: int, ks: Sequence[str], ps: Sequence[float]) -> DataFrame:
+    """Counts with at most ``ENTRIES`` values in any group.
 
-def counted_quantiles(
-    counts: DataFrame, value: str, probabilities: Mapping[str, float], keys: Sequence[str] = ()
-) -> DataFrame:
-    """:func:`quantiles` for data already compressed to (keys, value, ``n``)."""
-    along = running_total(counts, {"__cum": F.col("n")}, [c(value)], keys)
-    sizes = along.groupBy(*[c(k) for k in keys]).agg(F.max("__cum").alias("__size"))
-    placed = _with_group_row(along, sizes, keys)
-    picks, results = [], []
-    for i, (name, p) in enumerate(probabilities.items()):
-        position = (F.col("__size") - 1) * F.lit(float(p))
-        picks += _neighbours(position, c(value), str(i))
-        results.append(_between(position, str(i)).alias(name))
-    gathered = placed.groupBy(*[c(k) for k in keys]).agg(F.max("__size").alias("__size"), *picks)
-    return gathered.select(*[c(k) for k in keys], F.col("__size").alias("n"), *results)
+    Groups with more are cut into pieces of about equally many distinct values. A piece
+    that holds no wanted rank becomes a gap. Each round leaves a small share of them.
+    """
+    done = None
+    while rows > ENTRIES:
+        sizes = counts.groupBy(*ks).agg(
+            F.count("__v").alias("__entries"),
+            F.sum("n").alias("__size"),
+            F.percentile_approx("__v", [i / PIECES for i in range(1, PIECES)], 4 * PIECES).alias("__cuts"),
+        )
+        wide = materialise(sizes.where(F.col("__entries") > ENTRIES))
+        if wide.isEmpty():
+            break
+        narrow = _meet(counts, wide, ks, "left_anti") if ks else counts.limit(0)
+        done = narrow if done is None else done.unionByName(narrow)
+        if ks:
+            placed = _meet(counts, wide, ks, "inner")
+        else:
+            one = wide.select(F.struct("__size", "__cuts")).scalar()
+            placed = counts.withColumn("__one", one).select("*", "__one.*").drop("__one")
+        below = F.size(F.filter("__cuts", lambda cut: cut < F.col("__v")))
+        piece = F.when(F.col("__v").isNull(), 0).otherwise(below + 1)
+        cut = placed.withColumn("__slot", F.col("__slot") * (PIECES + 2) + piece)
+        # a few hundred pieces a group from here on
+        along = Window.partitionBy(*ks) if ks else Window.partitionBy(F.lit(0))
+        ranked = (
+            cut.groupBy(*ks, "__slot")
+            .agg(F.sum("n").alias("n"), F.max("__size").alias("__size"))
+            .withColumn("__cum", F.sum("n").over(along.orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)))
+        )
+        wanted = materialise(ranked.where(any_of(_held(F.col("__cum"), F.col("n"), F.col("__size"), ps))).select(*ks, "__slot"))
+        marked = _meet(cut, wanted.withColumn("__kept", F.lit(True)), [*ks, "__slot"], "left")
+        kept = F.when(F.col("__kept"), F.col("__v")).alias("__v")
+        merged = marked.select(*ks, "__slot", kept, "n").groupBy(*ks, "__slot", "__v").agg(F.sum("n").alias("n"))
+        counts, rows = _stored_counts(merged)
+    return counts if done is None else done.unionByName(counts)
+
+
+def _stored_picks(counts: DataFrame, ks: Sequence[str], ps: Sequence[float]) -> tuple[DataFrame, int]:
+    """One row per group: ``__size``, a quantile each, and whether a rank lies in a gap."""
+    # at most ENTRIES values and as many gaps as positions in a group
+    own = Window.partitionBy(*ks) if ks else Window.partitionBy(F.lit(0))
+    order = own.orderBy("__slot", F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    along = counts.select("*", F.sum("n").over(order).alias("__cum"), F.sum("n").over(own).alias("__size"))
+    tests = _held(F.col("__cum"), F.col("n"), F.col("__size"), ps)
+    gathered = along.groupBy(*ks).agg(
+        F.max("__size").alias("__size"),
+        F.coalesce(F.bool_or(any_of(tests) & F.col("__v").isNull()), F.lit(False)).alias("__missed"),
+        *[F.max(F.when(test, F.col("__v"))).alias(f"__t{i}") for i, test in enumerate(tests)],
+    )
+    quantile = []
+    for i, p in enumerate(ps):
+        low, high, position = F.col(f"__t{2 * i}"), F.col(f"__t{2 * i + 1}"), (F.col("__size") - 1) * F.lit(p)
+        between = F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
+        quantile.append(between.alias(f"__q{i}"))
+    seen = Observation()
+    picked = gathered.where(F.col("__size").isNotNull()).select(*ks, "__size", "__missed", *quantile)
+    picked = materialise(picked.observe(seen, F.count_if("__missed").alias("missed")))
+    return picked, seen.get["missed"]
 
 
 def average_rank(

@@ -126,33 +126,61 @@ def test_quantiles_per_group_keep_a_null_group(skewed):
     assert all(got[k] == pytest.approx(plain[k]) for k in got)
 
 
-@pytest.mark.parametrize("keys", [[], ["k"]])
-def test_bracketed_quantiles_are_exact(spark, monkeypatch, keys):
-    monkeypatch.setattr(ordered, "DIRECT_ROWS", 0)
-    ps = {f"q{i}": p for i, p in enumerate((0.0, 0.01, 0.16, 0.5, 0.84, 0.9999, 1.0))}
+@pytest.fixture
+def lumps(spark):
+    """Normal values with a lump of equal ones, so that brackets end inside the lump."""
     key = F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3)
-    # normal values with a lump of equal ones, so that brackets end inside the lump
     x = F.when(F.col("id") % 5 == 0, 0.5).otherwise(F.randn(4))
-    df = spark.range(40_000, numPartitions=5).select(key.alias("k"), x.alias("x")).persist()
-    called = []
-    real = ordered.counted_quantiles
-    monkeypatch.setattr(ordered, "counted_quantiles", lambda *a: called.append(1) or real(*a))
-    got = {tuple(r[k] for k in keys): r for r in ordered.quantiles(df, "x", ps, keys).collect()}
-    plain = df.groupBy(*keys).agg(F.percentile("x", list(ps.values())).alias("q")).collect()
-    assert len(got) == len(plain) and not called
+    return spark.range(40_000, numPartitions=5).select(key.alias("k"), x.alias("x")).persist()
+
+
+LEVELS = {f"q{i}": p for i, p in enumerate((0.0, 0.01, 0.16, 0.5, 0.5, 0.84, 0.9999, 1.0))}
+
+
+def assert_exact(df, keys):
+    got = {tuple(r[k] for k in keys): r for r in ordered.quantiles(df, "x", LEVELS, keys).collect()}
+    plain = df.groupBy(*keys).agg(F.percentile("x", list(LEVELS.values())).alias("q")).collect()
+    assert len(got) == len(plain)
     for r in plain:
         row = got[tuple(r[k] for k in keys)]
-        assert [row[n] for n in ps] == pytest.approx(r.q, abs=1e-12)
+        assert [row[n] for n in LEVELS] == pytest.approx(r.q, abs=1e-12)
 
 
-def test_missed_brackets_fall_back_to_counting(skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "DIRECT_ROWS", 0)
-    real = ordered._bracketed_quantiles
-    monkeypatch.setattr(
-        ordered, "_bracketed_quantiles", lambda *a: real(*a).withColumn("q", F.lit(None).cast("double"))
-    )
-    got = ordered.quantiles(skewed, "v", {"q": 0.5}).first().q
-    assert got == skewed.agg(F.percentile("v", 0.5)).first()[0]
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_bracketed_quantiles_are_exact(lumps, monkeypatch, keys):
+    missed = []
+    real = ordered._stored_picks
+    monkeypatch.setattr(ordered, "_stored_picks", lambda *a: missed.append(real(*a)) or missed[-1])
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 2000)
+    assert_exact(lumps, keys)
+    assert [n for _, n in missed] == [0]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_wide_groups_are_narrowed(lumps, monkeypatch, keys):
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 20)  # wide brackets leave much inside
+    monkeypatch.setattr(ordered, "ENTRIES", 60)
+    monkeypatch.setattr(ordered, "PIECES", 8)
+    rounds = []
+    real = ordered._stored_counts
+    monkeypatch.setattr(ordered, "_stored_counts", lambda f: rounds.append(real(f)) or rounds[-1])
+    assert_exact(lumps, keys)
+    assert len(rounds) > 3 and rounds[-1][1] < rounds[0][1] / 10
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_groups_with_missed_brackets_are_counted_anew(lumps, monkeypatch, keys):
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 1000)
+    monkeypatch.setattr(ordered, "_brackets", lambda ps: [0.3, 0.31] * len(ps))
+    monkeypatch.setattr(ordered, "ENTRIES", 2000)
+    assert_exact(lumps, keys)
+
+
+def test_one_value_one_row_and_no_rows(frame):
+    df = frame("k string, v double", [("a", 1.0), ("b", None), ("c", float("inf")), ("c", 2.0), (None, 3.0)])
+    got = ordered.quantiles(df, "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}, ["k"])
+    assert values(got, "k", "n", "lo", "hi") == [("a", 1, 1.0, 1.0), ("c", 2, 2.0, float("inf")), (None, 1, 3.0, 3.0)]
+    assert ordered.quantiles(df.where("v < 0"), "v", {"q": 0.5}).collect() == []
 
 
 def test_average_rank_shares_ties(frame):
