@@ -217,6 +217,31 @@ def _(t: Inputs):
     return fit.importance
 
 
+# users from the most rows to the fewest: equal shares of every size, the rest to the lightest fold
+FOLDS_SQL = """WITH RECURSIVE u AS (SELECT respondentPk, count(*) AS n FROM v_fact GROUP BY 1),
+    sizes AS (SELECT n, count(*) AS m FROM u GROUP BY 1),
+    rest AS (SELECT row_number() OVER (ORDER BY n DESC, i) AS k, n FROM sizes, range(4) r(i) WHERE i < m % 5),
+    load(k, loads, users) AS (
+      SELECT CAST(0 AS BIGINT), [0, 0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+      SELECT rest.k, list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN n ELSE 0 END),
+        list_transform(users, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN 1 ELSE 0 END)
+      FROM load JOIN rest ON rest.k = load.k + 1),
+    last AS (SELECT * FROM load ORDER BY k DESC LIMIT 1),
+    even AS (SELECT sum(n * (m // 5)) AS rows, sum(m // 5) AS users, max(n) AS most FROM sizes)
+  SELECT CAST(f AS INT) AS fold, CAST(even.rows + loads[f + 1] AS BIGINT) AS rows, CAST(even.users + last.users[f + 1] AS BIGINT) AS users,
+    list_max(loads) - list_min(loads) <= most AS even FROM last, even, range(5) r(f)"""
+
+
+@query("m7_balanced_folds", FOLDS_SQL)
+def _(t: Inputs):
+    """Rows and users of each fold, and whether folds differ by no more than one user's rows."""
+    rows = prepare.with_group_folds(t.view("v_fact").select("respondentPk"), "respondentPk", 5)
+    per_user = rows.groupBy("respondentPk").agg(F.count(F.lit(1)).alias("n"), F.max("fold").alias("fold"))
+    folds = materialise(per_user.groupBy("fold").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("users"), F.max("n").alias("most")))
+    spread = folds.agg((F.max("rows") - F.min("rows") <= F.max("most")).alias("even"))
+    return folds.drop("most").crossJoin(F.broadcast(spread))  # one row
+
+
 @query("m7_group_folds", "SELECT respondentPk, CAST(1 AS BIGINT) AS folds, count(*) AS n FROM v_fact GROUP BY 1")
 def _(t: Inputs):
     rows = t.view("v_fact").withColumn("fold", prepare.group_fold("respondentPk", 5))
@@ -349,7 +374,7 @@ def _(t: Inputs):
 @query("m15_forest_detector")
 def _(t: Inputs):
     _, scored = detection.train_detector(
-        t.view("v_flags"), MODELLED, "wonky_study_count", ["respondentPk"], trees=5, depth=5
+        t.view("v_flags"), MODELLED, "wonky_study_count", ["respondentPk"]
     )
     return detection.evaluate_detector(scored)
 
@@ -357,11 +382,91 @@ def _(t: Inputs):
 @query("m15_boosted_detector")
 def _(t: Inputs):
     _, scored = detection.train_detector(
-        t.view("v_flags"), MODELLED, "wonky_study_count", ["respondentPk"], "gradient_boosting", trees=5, depth=3
+        t.view("v_flags"), MODELLED, "wonky_study_count", ["respondentPk"], "gradient_boosting"
     )
     return detection.evaluate_detector(scored)
 
 
+@query(
+    "m15_cross_validated_detectors",
+    """SELECT k.kind, count(*) AS rows, count(*) FILTER (wonky_study_count > 0) AS positives,
+         count(DISTINCT respondentPk) AS users, CAST(5 AS BIGINT) AS folds, CAST(1 AS BIGINT) AS most_folds_of_a_user,
+         true AS scores_in_range, true AS ranks_flagged_rows_higher, true AS counts_add_up
+       FROM v_flags, (VALUES ('random_forest'), ('gradient_boosting')) k(kind) GROUP BY 1""",
+)
+def _(t: Inputs):
+    """Both detectors at full size in five folds; facts about the scores of all rows."""
+    made = detection.cross_validate_detectors(
+        t.view("v_flags"), MODELLED, "wonky_study_count", "respondentPk", ["event_id", "respondentPk"]
+    )
+    users = made.scores.groupBy("kind", "respondentPk").agg(F.count_distinct("fold").alias("n"))
+    per_user = users.groupBy("kind").agg(F.count(F.lit(1)).alias("users"), F.max("n").alias("most_folds_of_a_user"))
+    facts = made.scores.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_distinct("fold").alias("folds"), F.every(F.col("score").between(0, 1)).alias("scores_in_range"),
+    )
+    folds = made.folds.groupBy("kind").agg(
+        F.every(F.col("auc") > 0.5).alias("ranks_flagged_rows_higher"), F.sum(F.expr("tp + fp + fn + tn")).alias("__n")
+    )
+    joined = facts.join(per_user, "kind").join(folds, "kind")
+    return joined.withColumn("counts_add_up", F.col("__n") == F.col("rows")).drop("__n")
+
+
+CURVE_SQL = """WITH s AS (SELECT 'length' AS kind, n_chars / (SELECT max(n_chars) + 1 FROM v_scored)::DOUBLE AS score, toxic AS label FROM v_scored
+      UNION ALL SELECT 'id', doc_id / (SELECT max(doc_id) + 1 FROM v_scored)::DOUBLE, toxic FROM v_scored),
+    h AS (SELECT kind, floor(score * 10000)::INT AS bin, count(*) AS n, sum(label) AS p FROM s GROUP BY 1, 2),
+    c AS (SELECT kind, bin, sum(n) OVER w AS flagged, sum(p) OVER w AS tp, sum(p) OVER (PARTITION BY kind) AS positives
+      FROM h WINDOW w AS (PARTITION BY kind ORDER BY bin DESC)),
+    r AS (SELECT *, tp / flagged::DOUBLE AS "precision", tp / positives::DOUBLE AS recall,
+      2 * tp / (flagged + positives)::DOUBLE AS f1 FROM c)"""
+
+
+@query(
+    "m16_score_curve",
+    f"""{CURVE_SQL} SELECT kind, bin, CAST(flagged AS BIGINT) AS flagged, CAST(tp AS BIGINT) AS tp, round("precision", 9) AS "precision",
+      round(recall, 9) AS recall, round(f1, 9) AS f1 FROM r""",
+)
+def _(t: Inputs):
+    curve = detection.score_curve(_two_scores(t), ["kind"])
+    return curve.select("kind", "bin", "flagged", "tp", *[F.round(n, 9).alias(n) for n in ("precision", "recall", "f1")])
+
+
+@query(
+    "m16_chosen_cut",
+    f"""{CURVE_SQL}, k AS (SELECT *, "precision" >= 0.05 AND recall >= 0.7 AS meets_targets FROM r),
+      t AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY meets_targets DESC, f1 DESC, bin) AS rn FROM k)
+    SELECT kind, bin, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(f1, 9) AS f1, meets_targets,
+      row_number() OVER (ORDER BY f1 DESC, kind) = 1 AS best FROM t WHERE rn = 1""",
+)
+def _(t: Inputs):
+    chosen = detection.choose_cut(detection.score_curve(_two_scores(t), ["kind"]), 0.05, 0.7)
+    return chosen.select("kind", "bin", *[F.round(n, 9).alias(n) for n in ("precision", "recall", "f1")], "meets_targets", "best")
+
+
+@query(
+    "m16_fold_metrics",
+    f"""{CURVE_SQL}, q AS (SELECT *, rank() OVER (PARTITION BY kind ORDER BY score) +
+          (count(*) OVER (PARTITION BY kind, score) - 1) / 2.0 AS rk FROM s)
+    SELECT kind, count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label = 0 AND score >= 0.5) AS fp,
+      count(*) FILTER (label = 1 AND score < 0.5) AS fn, count(*) FILTER (label = 0 AND score < 0.5) AS tn,
+      round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
+        / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 9) AS auc FROM q GROUP BY 1""",
+)
+def _(t: Inputs):
+    made = detection.fold_metrics(_two_scores(t), ["kind"])
+    return made.select("kind", "tp", "fp", "fn", "tn", F.round("auc", 9).alias("auc"))
+
+
+def _two_scores(t: Inputs):
+    """Two plain scores of the labelled documents, each from 0 to below 1."""
+    rows = t.view("v_scored")
+    top = rows.agg((F.max("n_chars") + 1).alias("n"), (F.max("doc_id") + 1).alias("d"))
+    rows = rows.crossJoin(F.broadcast(top))  # one row
+    scores = (("length", F.col("n_chars") / F.col("n")), ("id", F.col("doc_id") / F.col("d")))
+    parts = [rows.select(F.lit(k).alias("kind"), s.alias("score"), F.col("toxic").alias("label")) for k, s in scores]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "m16_confusion_scores",
     """SELECT tp, fp, fn, tn, round((tp + tn) / n, 9) AS accuracy, round(tp / nullif(tp + fp, 0), 9) AS "precision",

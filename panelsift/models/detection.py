@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
-from panelsift.models.forest import assembled
+from panelsift.models.forest import assembled, folded
 from panelsift.models.logistic import area_under_roc, confusion
 from panelsift.models.prepare import holdout
-from panelsift.operators.ordered import quantiles
+from panelsift.operators.ordered import quantiles, running_total
 from panelsift.session import materialise
 
 
@@ -30,6 +34,19 @@ def _weighted(data: DataFrame) -> DataFrame:
     return data.withColumn("weight", weight)
 
 
+def _learner(
+    kind: str, trees: int = 100, depth: int | None = None, min_leaf: int = 2, rate: float = 0.1, seed: int = 42
+):
+    if kind == "random_forest":
+        return RandomForestClassifier(
+            numTrees=trees, maxDepth=depth or 20, minInstancesPerNode=min_leaf,
+            weightCol="weight", seed=seed,
+        )
+    if kind == "gradient_boosting":
+        return GBTClassifier(maxIter=trees, maxDepth=depth or 5, stepSize=rate, seed=seed)
+    raise ValueError(f"unknown detector {kind!r}")
+
+
 def train_detector(
     df: DataFrame,
     features: Sequence[str],
@@ -51,21 +68,138 @@ def train_detector(
     extra = {"label": label, "held_out": holdout(keys, test_size, seed)}
     data = materialise(assembled(df, features, extra))
     train = data.where("NOT held_out")
-    if kind == "random_forest":
-        learner = RandomForestClassifier(
-            numTrees=trees, maxDepth=depth or 20, minInstancesPerNode=min_leaf,
-            weightCol="weight", seed=seed,
-        )
-        train = _weighted(train)
-    elif kind == "gradient_boosting":
-        learner = GBTClassifier(maxIter=trees, maxDepth=depth or 5, stepSize=rate, seed=seed)
-    else:
-        raise ValueError(f"unknown detector {kind!r}")
-    model = learner.fit(train)
+    learner = _learner(kind, trees, depth, min_leaf, rate, seed)
+    model = learner.fit(_weighted(train) if kind == "random_forest" else train)
     scored = model.transform(data.where("held_out"))
     return model, scored.withColumn("score", vector_to_array("probability")[1])
 
 
+KINDS = ("random_forest", "gradient_boosting")
+# bins of the score curve; a cut is a multiple of its width
+CURVE_BINS = 10_000
+PARALLEL_FITS = 5
+
+
+@dataclass
+class DetectorChoice:
+    """Scores of every row by models that had not seen its user, and what follows from them."""
+
+    scores: DataFrame  # kind, fold, carried columns, label, score
+    folds: DataFrame  # kind, fold, confusion counts and scores at 0.5, auc
+    curve: DataFrame  # kind, bin, cut, flagged, tp, precision, recall, f1
+    chosen: DataFrame  # the chosen point of each kind's curve, meets_targets, best
+
+
+def cross_validate_detectors(
+    df: DataFrame,
+    features: Sequence[str],
+    outcome: str,
+    user: str,
+    carried: Sequence[str] = (),
+    kinds: Sequence[str] = KINDS,
+    folds: int = 5,
+    target_precision: float = 0.8,
+    target_recall: float = 0.7,
+    **settings,
+) -> DetectorChoice:
+    """Fit each kind once per fold of whole users and choose a cut-off and a kind.
+
+    Folds are balanced. ``settings`` are those of :func:`train_detector`. The folds are
+    fitted as parallel jobs; a model is dropped once its fold is scored, and scores are
+    stored.
+    """
+    spark = df.sparkSession
+    label = F.when(F.coalesce(c(outcome) > 0, F.lit(False)), 1.0).otherwise(0.0)
+    data = folded(df, features, label, user, folds, carried)
+    present = sorted(r.fold for r in data.select("fold").distinct().collect())
+    if len(present) < 2:
+        raise ValueError("complete rows of at least two users are needed")
+
+    def fit(job: tuple[str, int]) -> DataFrame:
+        kind, fold = job
+        train = data.where(F.col("fold") != fold)
+        sides = {r.label for r in train.select("label").distinct().collect()}
+        test = data.where(F.col("fold") == fold)
+        if len(sides) < 2:  # nothing to tell apart: all rows score the one label there is
+            scored = test.withColumn("score", F.lit(sides.pop()))
+        else:
+            learner = _learner(kind, **settings)
+            model = learner.fit(_weighted(train) if kind == "random_forest" else train)
+            scored = model.transform(test).withColumn("score", vector_to_array("probability")[1])
+        return materialise(scored.select(F.lit(kind).alias("kind"), "fold", *[c(n) for n in carried], "label", "score"))
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(fit), [(k, f) for k in kinds for f in present])
+    scores = reduce(DataFrame.unionByName, parts)
+    curve = materialise(score_curve(scores, ["kind"]))
+    return DetectorChoice(scores, fold_metrics(scores), curve, choose_cut(curve, target_precision, target_recall))
+
+
+def fold_metrics(scores: DataFrame, by: Sequence[str] = ("kind", "fold"), cut: float = 0.5) -> DataFrame:
+    """Confusion counts and scores at a cut, and the exact area under the ROC curve.
+
+    The area comes from the ranks of the distinct scores, equal ones sharing theirs; a
+    part with one class only has none.
+    """
+    keys = list(by)
+    guessed = scores.withColumn("prediction", F.when(F.col("score") >= cut, 1.0).otherwise(0.0))
+    counts = scores.groupBy(*keys, "score").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p")
+    )
+    along = running_total(counts, {"cum": F.col("n")}, [F.col("score")], keys)
+    rank = F.col("cum") - (F.col("n") - 1) / 2
+    sums = along.groupBy(*keys).agg(
+        F.sum(F.col("p") * rank).alias("ranks"), F.sum("p").cast("double").alias("pos"),
+        F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"),
+    )
+    area = (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))
+    areas = sums.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), area).alias("auc"))
+    return confusion(guessed, keys).join(areas, keys)
+
+
+def score_curve(scores: DataFrame, by: Sequence[str] = (), bins: int = CURVE_BINS) -> DataFrame:
+    """Precision and recall at every cut where rows lie, from one histogram of the scores.
+
+    Scores are in [0, 1]. Histograms of parts of the data add up, so one pass is enough;
+    what is ordered are at most ``bins`` rows of a kind.
+    """
+    keys = list(by)
+    bin_ = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    counted = scores.groupBy(*[c(k) for k in keys], bin_.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("p")
+    )
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    down = own.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counted.select(
+        *keys, "bin", F.sum("n").over(down).alias("flagged"), F.sum("p").over(down).alias("tp"),
+        F.sum("p").over(own).alias("positives"),
+    )
+    tp = F.col("tp").cast("double")
+    return summed.select(
+        *keys, "bin", (F.col("bin") / bins).alias("cut"), "flagged", "tp", "positives",
+        F.try_divide(tp, F.col("flagged")).alias("precision"),
+        F.coalesce(F.try_divide(tp, F.col("positives")), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide(2 * tp, F.col("flagged") + F.col("positives")), F.lit(0.0)).alias("f1"),
+    )
+
+
+def choose_cut(
+    curve: DataFrame, target_precision: float = 0.8, target_recall: float = 0.7, kind: str = "kind"
+) -> DataFrame:
+    """Per kind the cut of the best F1, among cuts that meet both targets if any does.
+
+    Of equal cuts the lower one is taken, as it misses less. ``best`` marks the kind
+    with the greatest F1.
+    """
+    met = (F.col("precision") >= target_precision) & (F.col("recall") >= target_recall)
+    rated = curve.withColumn("meets_targets", met)
+    order = [F.col("meets_targets").desc(), F.col("f1").desc(), F.col("bin").asc()]
+    top = rated.withColumn("__r", F.row_number().over(Window.partitionBy(kind).orderBy(*order)))
+    # one row per kind from here on
+    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("f1").desc(), F.col(kind)))
+    return top.where("__r = 1").drop("__r").withColumn("best", first == 1)
+
+
 def evaluate_detector(
     scored: DataFrame, target_precision: float = 0.8, target_recall: float = 0.7
 ) -> DataFrame:

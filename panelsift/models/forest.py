@@ -9,11 +9,11 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
-from panelsift.models.prepare import group_fold
+from panelsift.models.prepare import with_group_folds
 from panelsift.session import materialise
 
 OVERFIT_GAP = 0.1  # fixed value
@@ -29,6 +29,20 @@ def assembled(
     return VectorAssembler(inputCols=list(plain), outputCol=key).transform(rows).drop(*plain)
 
 
+def folded(
+    df: DataFrame, features: Sequence[str], label: Column, user: str, folds: int, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Vectors of complete rows of known users, label and balanced fold, stored once."""
+    plain = {f"__f{i}": c(n).cast("double") for i, n in enumerate(features)}
+    narrow = df.select(
+        c(user).alias("__user"), label.alias("label"), *[c(n).alias(f"__c{i}") for i, n in enumerate(carried)],
+        *[v.alias(n) for n, v in plain.items()],
+    )
+    rows = with_group_folds(narrow.dropna(subset=["__user", "label", *plain]), "__user", folds)
+    data = VectorAssembler(inputCols=list(plain), outputCol="features").transform(rows)
+    return materialise(data.select("label", "fold", "features", *[F.col(f"__c{i}").alias(n) for i, n in enumerate(carried)]))
+
+
 def regression_metrics(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """R squared, mean squared and mean absolute error, in one aggregate."""
     error = F.col("label") - F.col("prediction")
@@ -69,13 +83,7 @@ def build_random_forest_model(
     """
     names = list(feature_cols)
     spark = df.sparkSession
-    known = df.where(c(user_id_var).isNotNull())
-    data = materialise(
-        assembled(
-            known, names,
-            {"label": c(outcome_var).cast("double"), "fold": group_fold(user_id_var, n_splits)},
-        )
-    )
+    data = folded(df, names, c(outcome_var).cast("double"), user_id_var, n_splits)
     grower = RandomForestRegressor(
         numTrees=n_estimators,
         maxDepth=max_depth,
@@ -84,6 +92,9 @@ def build_random_forest_model(
         seed=seed,
     )
 
+    if data.select("fold").distinct().count() < 2:
+        raise ValueError("complete rows of at least two users are needed")
+
     def fit_fold(fold: int):
         grown = grower.fit(data.where(F.col("fold") != fold))
         predicted = grown.transform(data).withColumn("test", F.col("fold") == fold)
@@ -92,7 +103,7 @@ def build_random_forest_model(
     scores, best, model, top = [], 0, None, None
     with ThreadPool(2) as pool:
         for fold, (made, by_side) in enumerate(pool.imap(inheritable_thread_target(spark)(fit_fold), range(n_splits))):
-            train, test = by_side[False], by_side.get(True)
+            train, test = by_side.get(False), by_side.get(True)
             if test is None:  # a fold without users has nothing to score
                 continue
             scores.append((fold, train.r2, test.r2, test.mse, test.mae))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
-from panelsift.models.forest import assembled
-from panelsift.models.prepare import Scaler, fit_scaler, group_fold
+from panelsift.models.forest import folded
+from panelsift.models.prepare import Scaler, fit_scaler
 from panelsift.session import materialise
 from panelsift.stats.gram import gram_matrix, scaled_inverse
 
@@ -87,15 +87,11 @@ def build_logistic_regression_model(
         f"s{i}": (c(n).cast("double") - F.lit(scaler.shift[n])) / F.lit(scaler.width[n])
         for i, n in enumerate(names)
     }
-    rows = complete.select(
-        label.alias("label"),
-        group_fold(user_id_var, n_splits).alias("fold"),
-        *[v.alias(n) for n, v in scaled.items()],
-    )
-    data = materialise(
-        assembled(rows, list(scaled), {"label": F.col("label"), "fold": F.col("fold")})
-    )
+    rows = complete.select("*", label.alias("__label"), *[v.alias(f"__{n}") for n, v in scaled.items()])
+    data = folded(rows, [f"__{n}" for n in scaled], F.col("__label"), user_id_var, n_splits)
     sizes = {r.fold: r["count"] for r in data.groupBy("fold").count().collect()}
+    if len(sizes) < 2:
+        raise ValueError("complete rows of at least two users are needed")
 
     def learner(n: int) -> LogisticRegression:
         return LogisticRegression(

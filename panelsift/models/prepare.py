@@ -14,6 +14,7 @@ from panelsift.functions.onehot import MISSING, one_hot_flags, vocabularies
 from panelsift.operators.ordered import numbered, quantiles
 from panelsift.operators.profile import long_metrics
 from panelsift.operators.skew import lookup_join
+from panelsift.session import materialise
 
 
 @dataclass
@@ -201,10 +202,46 @@ def filter_rare_features(
 
 
 def group_fold(user: str, folds: int) -> Column:
-    """Fold of a row; all rows of a user share it."""
+    """Fold of a row by hash alone; all rows of a user share it, sizes are left to chance."""
     return F.pmod(F.xxhash64(c(user)), F.lit(folds)).cast("int")
 
 
+def balanced_folds(df: DataFrame, user: str, folds: int) -> DataFrame:
+    """(user, fold) for every known user, with fold sizes as even as whole users allow.
+
+    Users are dealt from the most rows to the fewest. Of those with equally many rows
+    each fold gets the same number, in hash order; the few left over go to the lightest
+    folds one by one, so no two folds differ by more than the largest user has rows. Only
+    the distinct sizes are gathered, of which N rows have at most the root of 2 N.
+    """
+    users = materialise(
+        df.where(c(user).isNotNull())
+        .groupBy(c(user).alias("__user"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__place", F.xxhash64("__user"))
+    )
+    ranked = numbered(users, ["__n"], [F.col("__place"), F.col("__user")], "__rank")
+    load, dealt = [0] * folds, []
+    for r in users.groupBy("__n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("__n").desc()).collect():
+        rest = []
+        for _ in range(r.m % folds):
+            rest.append(load.index(min(load)))
+            load[rest[-1]] += r["__n"]
+        dealt.append((r["__n"], r.m - r.m % folds, rest))
+    # one row per distinct size
+    table = F.broadcast(df.sparkSession.createDataFrame(dealt, "__n bigint, __even bigint, __rest array<int>"))
+    evenly = F.pmod(F.col("__rank") - 1, F.lit(folds)).cast("int")
+    left_over = F.get("__rest", (F.col("__rank") - F.col("__even") - 1).cast("int"))
+    fold = F.when(F.col("__rank") <= F.col("__even"), evenly).otherwise(left_over)
+    return ranked.join(table, "__n").select(F.col("__user").alias(user), fold.alias("fold"))
+
+
+def with_group_folds(df: DataFrame, user: str, folds: int, name: str = "fold") -> DataFrame:
+    """Rows with their user's balanced fold; rows without a user have none."""
+    table = materialise(balanced_folds(df, user, folds)).withColumnRenamed("fold", name)
+    return lookup_join(df, table, [user], "left").select(*[c(n) for n in df.columns], name)
+
+
 def holdout(key: Sequence[str], share: float, seed: int = 42) -> Column:
     """True for a reproducible share of the keys."""
     bucket = F.pmod(F.xxhash64(*[c(k) for k in key], F.lit(seed)), F.lit(1_000_000))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import all_of, any_of, c
@@ -130,12 +130,12 @@ def quantiles(
     rows = known.select(*[c(k).alias(m) for k, m in zip(keys, ks)], c(value).cast("double").alias("__x"))
     ps = sorted(set(map(float, probabilities.values())))
     gaps = _bracketed(rows, ks, ps)
-    picked, missed = _stored_picks(_narrowed(*gaps, ks, ps), ks, ps)
-    if missed:
+    picked = _stored_picks(_narrowed(*gaps, ks, ps), ks, ps)
+    if not picked.where("__missed").isEmpty():
         # the rows of those groups only; all their values are counted
         lost = _meet(rows, materialise(picked.where("__missed").select(*ks)), ks, "left_semi") if ks else rows
         counts = lost.groupBy(*ks, F.col("__x").alias("__v")).agg(F.count(F.lit(1)).alias("n")).withColumn("__slot", F.lit(0).cast("bigint"))
-        redone, _ = _stored_picks(_narrowed(*_stored_counts(counts), ks, ps), ks, ps)
+        redone = _stored_picks(_narrowed(*_stored_counts(counts), ks, ps), ks, ps)
         picked = picked.where("NOT __missed").unionByName(redone)
     at = {p: i for i, p in enumerate(ps)}
     return picked.select(
@@ -154,10 +154,9 @@ def _meet(left: DataFrame, right: DataFrame, ks: Sequence[str], how: str) -> Dat
 
 
 def _stored_counts(counts: DataFrame) -> tuple[DataFrame, int]:
-    """Written counts and their number of rows, without a job of its own."""
-    seen = Observation()
-    table = materialise(counts.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return table, seen.get["rows"]
+    """Written counts and their number of rows."""
+    table = materialise(counts)
+    return table, table.count()
 
 
 def _brackets(ps: Sequence[float]) -> list[float]:
@@ -246,7 +245,7 @@ def _narrowed(counts: DataFrame, rows: int, ks: Sequence[str], ps: Sequence[floa
     return counts if done is None else done.unionByName(counts)
 
 
-def _stored_picks(counts: DataFrame, ks: Sequence[str], ps: Sequence[float]) -> tuple[DataFrame, int]:
+def _stored_picks(counts: DataFrame, ks: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """One row per group: ``__size``, a quantile each, and whether a rank lies in a gap."""
     # at most ENTRIES values and as many gaps as positions in a group
     own = Window.partitionBy(*ks) if ks else Window.partitionBy(F.lit(0))
@@ -263,10 +262,7 @@ def _stored_picks(counts: DataFrame, ks: Sequence[str], ps: Sequence[float]) ->
         low, high, position = F.col(f"__t{2 * i}"), F.col(f"__t{2 * i + 1}"), (F.col("__size") - 1) * F.lit(p)
         between = F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
         quantile.append(between.alias(f"__q{i}"))
-    seen = Observation()
-    picked = gathered.where(F.col("__size").isNotNull()).select(*ks, "__size", "__missed", *quantile)
-    picked = materialise(picked.observe(seen, F.count_if("__missed").alias("missed")))
-    return picked, seen.get["missed"]
+    return materialise(gathered.where(F.col("__size").isNotNull()).select(*ks, "__size", "__missed", *quantile))
 
 
 def average_rank(

@@ -242,6 +242,71 @@ def test_detector(sample_df, kind):
     assert r.tp + r.fp + r.fn + r.tn == scored.count()
 
 
+def test_balanced_folds_differ_by_one_user_at_most(spark):
+    rng = np.random.default_rng(8)
+    for sizes in ([900, 1, 1, 1], [7] * 23, list(rng.integers(1, 40, 300)), [5], []):
+        rows = [(u, i) for u, n in enumerate(sizes) for i in range(int(n))] + [(None, 0)]
+        df = spark.createDataFrame(rows, "u int, i int").repartition(5)
+        made = prepare.with_group_folds(df, "u", 4)
+        assert made.count() == len(rows) and made.where("u IS NULL AND fold IS NULL").count() == 1
+        per_user = made.where("u IS NOT NULL").groupBy("u").agg(F.count_distinct("fold").alias("n"))
+        assert {r.n for r in per_user.collect()} <= {1}
+        found = {r.fold: r["count"] for r in made.where("u IS NOT NULL").groupBy("fold").count().collect()}
+        load = [found.get(f, 0) for f in range(4)]
+        assert set(found) <= set(range(4)) and max(load) - min(load) <= max(sizes, default=0)
+        again = prepare.with_group_folds(df.repartition(2), "u", 4)
+        assert values(again.distinct(), "u", "fold") == values(made.distinct(), "u", "fold")
+
+
+def test_folds_of_one_user_are_refused(sample_df):
+    alone = sample_df.withColumn("respondentPk", F.lit(1))
+    for build in (forest.build_random_forest_model, logistic.build_logistic_regression_model):
+        with pytest.raises(ValueError, match="two users"):
+            build(alone, FEATURES, "wonky_study_count", "respondentPk")
+
+
+def test_cross_validated_detectors_against_their_scores(sample_df):
+    df = sample_df.withColumn("id", F.monotonically_increasing_id()).persist()
+    made = detection.cross_validate_detectors(
+        df, FEATURES, "wonky_study_count", "respondentPk", ["id", "respondentPk"], trees=6, depth=4
+    )
+    rows = made.scores.toPandas()
+    truth = {r.id: float(r.wonky_study_count > 0) for r in df.collect()}
+    for kind in detection.KINDS:
+        own = rows[rows.kind == kind]
+        assert sorted(own.id) == sorted(truth) and all(truth[i] == y for i, y in zip(own.id, own.label))
+        assert own.groupby("respondentPk").fold.nunique().max() == 1 and own.fold.nunique() == 5
+        for r in made.folds.where(F.col("kind") == kind).collect():
+            part = own[own.fold == r.fold]
+            guess, label = part.score >= 0.5, part.label == 1
+            assert (r.tp, r.fp, r.fn) == ((guess & label).sum(), (guess & ~label).sum(), (~guess & label).sum())
+            up, down = part.score[label].to_numpy(), part.score[~label].to_numpy()
+            wins = (up[:, None] > down).mean() + 0.5 * (up[:, None] == down).mean()
+            assert r.auc == pytest.approx(wins) and r.auc > 0.5
+        chosen = made.chosen.where(F.col("kind") == kind).first()
+        best = []
+        for cut in sorted({int(s * 10_000) if s < 1 else 9_999 for s in own.score}):
+            flagged = np.minimum(np.floor(own.score * 10_000), 9_999) >= cut
+            tp = (flagged & (own.label == 1)).sum()
+            p, r = tp / flagged.sum(), tp / (own.label == 1).sum()
+            best.append((p >= 0.8 and r >= 0.7, 2 * tp / (flagged.sum() + (own.label == 1).sum()), -cut))
+        assert (chosen.meets_targets, chosen.bin) == (max(best)[0], -max(best)[2])
+        assert chosen.f1 == pytest.approx(max(best)[1])
+    top = made.chosen.orderBy(F.col("f1").desc(), "kind").first()
+    assert [r.kind for r in made.chosen.where("best").collect()] == [top.kind]
+
+
+def test_targets_come_before_f1_and_one_class_scores_it(frame, sample_df):
+    curve = frame("kind string, bin int, precision double, recall double, f1 double",
+                  [("a", 10, 0.7, 0.99, 0.82), ("a", 20, 0.81, 0.72, 0.76), ("a", 30, 0.85, 0.7, 0.76), ("b", 5, 0.1, 0.1, 0.1)])
+    got = values(detection.choose_cut(curve), "kind", "bin", "meets_targets", "best")
+    assert got == [("a", 20, True, True), ("b", 5, False, False)]
+    never = sample_df.withColumn("wonky_study_count", F.lit(0.0))
+    made = detection.cross_validate_detectors(never, FEATURES, "wonky_study_count", "respondentPk", kinds=["random_forest"])
+    assert made.scores.select("score").distinct().collect() == [(0.0,)]
+    assert made.folds.where("auc IS NOT NULL").count() == 0 and made.chosen.first().recall == 0
+
+
 def test_unknown_detector(sample_df):
     with pytest.raises(ValueError):
         detection.train_detector(sample_df, FEATURES, "wonky_study_count", ["respondentPk"], "other")
