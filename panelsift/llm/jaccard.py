@@ -48,6 +48,8 @@ LARGE = 256
 #: Rows of a bucket that one task compares.
 BLOCK_ROWS = 2048
 FLUSH_ENTRIES = 400_000
+#: Pairs a task remembers having given.
+REMEMBERED_PAIRS = 300_000
 #: Fewest places of the sketches that rule pairs out; a power of two.
 MIN_PLACES = 512
 #: Candidate ids are sent to all tasks up to this many; beyond it they are joined.
@@ -390,24 +392,29 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def across(live: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Plausible pairs of classes in one bucket but different components, all of them.
+def across(live: DataFrame, sketches: DataFrame, forest: bool = False) -> DataFrame:
+    """Plausible pairs of classes in one bucket but different components.
 
-    Rows of the component that most of a bucket belongs to meet only the others. A bucket
+    All of them, or of each block a ``forest``: pairs that join all that its plausible
+    pairs join, fewer than it has rows. Rows of the component that most of a bucket belongs to meet only the others. A bucket
     of more than BLOCK_ROWS rows is dealt into blocks that meet pairwise in tasks of their own.
+    Buckets with the same least class, mostly of one passage, go to the same tasks, which
+    give each pair they remember once.
     """
-    counts = live.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    facts = counts.groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"))
+    counts = live.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("lead"))
+    facts = counts.groupBy("sig").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.min("lead").alias("lead")
+    )
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     rows = (
         live.join(facts, "sig")
-        .select("sig", "cls", "comp", (F.col("comp") == F.col("most")).alias("main"), blocks.alias("blocks"))
+        .select("lead", "sig", "cls", "comp", (F.col("comp") == F.col("most")).alias("main"), blocks.alias("blocks"))
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .join(sketches, "cls")
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "sig", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-            "cls", "comp", "main", F.col("n_shingles").alias("n"), "sketch",
+            "cls", "comp", "main", F.col("n_shingles").alias("n"), "sketch", "lead",
         )
     )
 
@@ -424,14 +431,23 @@ def across(live: DataFrame, sketches: DataFrame) -> DataFrame:
             place[at] = np.arange(len(at))
             matrix[w] = np.frombuffer(b"".join([sketch[k] for k in at]), np.uint64).reshape(len(at), -1)
         found_a, found_b = [], []
+        joined = comp.copy() if forest else comp
         for k in np.nonzero(~main)[0]:
             # a pair of others is looked at from its first row only
-            rest = (comp != comp[k]) & (main | (np.arange(len(cls)) > k))
+            rest = (joined != joined[k]) & (main | (np.arange(len(cls)) > k))
             rest &= (n * 100 >= n[k] * PERCENT) & (n[k] * 100 >= n * PERCENT)
             own = matrix[width[k]][place[k] : place[k] + 1]
             for w in np.unique(width[rest]):
                 at = np.nonzero(rest & (width == w))[0]
-                at = at[possible(unlike(matrix[w][place[at]], own), n[at] + n[k])]
+                differ = unlike(matrix[w][place[at]], own)
+                keep = possible(differ, n[at] + n[k])
+                at = at[keep]
+                if forest and len(at):  # the likeliest pair with each part, which then is joined
+                    at = at[np.argsort(differ[keep], kind="stable")]
+                    at = at[joined[at] != joined[k]]
+                    parts, first = np.unique(joined[at], return_index=True)
+                    at = at[first]
+                    joined[np.isin(joined, parts)] = joined[k]
                 found_a.append(np.minimum(cls[at], cls[k]))
                 found_b.append(np.maximum(cls[at], cls[k]))
         if not found_a:
@@ -441,6 +457,20 @@ def across(live: DataFrame, sketches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
+        seen: set[tuple[int, int]] = set()
+
+        def fresh() -> Iterator[pa.RecordBatch]:
+            out = pairs(pa.Table.from_batches(held)) if held else None
+            if out is None:
+                return
+            keys = list(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+            new = [k not in seen for k in keys]
+            if len(seen) + len(keys) > REMEMBERED_PAIRS:  # forgotten pairs are given again
+                seen.clear()
+            seen.update(keys)
+            if any(new):
+                yield out.filter(pa.array(new))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -449,16 +479,13 @@ def across(live: DataFrame, sketches: DataFrame) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 now = tuple(key[:, a].tolist())
                 if now != last and held:
-                    if (out := pairs(pa.Table.from_batches(held))) is not None:
-                        yield out
+                    yield from fresh()
                     held = []
                 last = now
                 held.append(batch.slice(a, b - a))
-        if held and (out := pairs(pa.Table.from_batches(held))) is not None:
-            yield out
+        yield from fresh()
 
-    order = ["sig", "i", "j"]
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "sig", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def link_classes(
@@ -467,9 +494,10 @@ def link_classes(
     """Verified links that connect whatever any bucket links, and their components.
 
     Every member of a bucket meets the bucket's least; where large buckets still hold
-    several components, members meet a few more pivots; then whatever is left in one
-    bucket but in different components meets in full. ``fetch`` gives the sets of the
-    classes named; only those of plausible pairs are asked for.
+    several components, members meet a few more pivots. What is left in one bucket but in
+    different components first meets along a forest of plausible pairs, whose links join
+    most of it, and then in full. ``fetch`` gives the sets of the classes named; only
+    those of plausible pairs are asked for.
     """
     links = comps = None
 
@@ -482,10 +510,18 @@ def link_classes(
         comps = stored(components(links), "components")
 
     def mixed(live: DataFrame) -> DataFrame:
-        """Rows of buckets with several components, of three classes or more: pairs have met."""
+        """Rows of buckets with several components, of three classes or more: pairs have met.
+
+        A passage that many texts share makes many buckets of the very same classes; one of
+        them is enough. Buckets are the same if two sums over their classes' hashes are.
+        """
         named = live.select("sig", "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = named.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
-        return stored(named.join(several.where("x <> y and size > 2").select("sig", "size"), "sig"), "mixed")
+        several = named.groupBy("sig").agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"),
+            F.bit_xor(F.xxhash64("cls")).alias("f"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("g"),
+        )
+        distinct_ = several.where("x <> y and size > 2").groupBy("size", "f", "g").agg(F.min("sig").alias("sig"))
+        return stored(named.join(distinct_.select("sig", "size"), "sig"), "mixed")
 
     def pivots(live: DataFrame, many: int) -> DataFrame:
         group = F.pmod(F.xxhash64("cls", F.lit(many)), F.lit(many))
@@ -499,6 +535,9 @@ def link_classes(
     if not large.isEmpty():
         add(plausible(pivots(large, PIVOTS), sketches))
         live = mixed(live)
+    if not live.isEmpty():
+        add(across(live, sketches, forest=True))
+        live = mixed(live)
     if not live.isEmpty():
         add(across(live, sketches))
     return links, comps
