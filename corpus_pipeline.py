@@ -16,20 +16,37 @@ from panelsift.llm.common import read_table, stored
 from panelsift.llm.queries import QUERIES, SQL
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drop what the quality rules reject; null and empty texts are rejected."""
-    return quality.judge(docs).where("quality.kept").drop("quality")
+    """Drop what the quality rules reject; null and empty texts are rejected.
+
+    A column of the documents that is called like the verdict stays as it is.
+    """
+    aside = unused(docs, "quality_")
+    judged = quality.judge(docs.withColumnRenamed("quality", aside)).where("quality.kept").drop("quality")
+    return judged.withColumnRenamed(aside, "quality").select(docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each component of near copies the document with the least id stays.
 
-    Documents without shingles stay, each for itself. Repeated rows of one id count as
-    one document. Rows without an id stay: nothing could name them as kept.
+    Documents without shingles stay, each for itself. Rows with the same id and text count
+    as one document, of which any row stays; the same id with another text is another
+    document. Rows without an id stay: nothing could name them as kept.
     """
-    keep = jaccard.groups(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id")
-    named = docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    key, content = unused(docs, "key"), unused(docs, "content")
+    named = docs.where("doc_id IS NOT NULL").withColumn(content, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = named.select(F.struct("doc_id", content).alias(key), "text")
+    kept = jaccard.groups(keyed, key=key).where(F.col(key) == F.col("component_id"))
+    least = kept.select(F.col(f"{key}.doc_id").alias("doc_id"), F.col(f"{key}.{content}").alias(content)).distinct()
+    first = named.join(least, ["doc_id", content], "left_semi").dropDuplicates(["doc_id", content])
+    return first.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
