@@ -48,8 +48,9 @@ LARGE = 256
 #: Rows of a bucket that one task compares.
 BLOCK_ROWS = 2048
 FLUSH_ENTRIES = 400_000
-#: Pairs a task remembers having given.
-REMEMBERED_PAIRS = 300_000
+#: Tasks that the buckets of one least class are dealt to, and pairs a task remembers.
+TASKS_OF_A_LEAD = 16
+REMEMBERED_PAIRS = 100_000
 #: Fewest places of the sketches that rule pairs out; a power of two.
 MIN_PLACES = 512
 #: Candidate ids are sent to all tasks up to this many; beyond it they are joined.
@@ -398,8 +399,8 @@ def across(live: DataFrame, sketches: DataFrame, forest: bool = False) -> DataFr
     All of them, or of each block a ``forest``: pairs that join all that its plausible
     pairs join, fewer than it has rows. Rows of the component that most of a bucket belongs to meet only the others. A bucket
     of more than BLOCK_ROWS rows is dealt into blocks that meet pairwise in tasks of their own.
-    Buckets with the same least class, mostly of one passage, go to the same tasks, which
-    give each pair they remember once.
+    Buckets with the same least class, mostly of one passage, go to the same few tasks,
+    which give each pair they remember once.
     """
     counts = live.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("lead"))
     facts = counts.groupBy("sig").agg(
@@ -408,6 +409,7 @@ def across(live: DataFrame, sketches: DataFrame, forest: bool = False) -> DataFr
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     rows = (
         live.join(facts, "sig")
+        .withColumn("lead", F.xxhash64("lead", F.pmod("sig", F.lit(TASKS_OF_A_LEAD))))
         .select("lead", "sig", "cls", "comp", (F.col("comp") == F.col("most")).alias("main"), blocks.alias("blocks"))
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .join(sketches, "cls")
