@@ -158,9 +158,14 @@ class ToxicityModel:
 
 
 def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Propose voters, fit the label model on their votes, the classifier on its posteriors."""
+    """Propose voters, fit the label model on their votes, the classifier on its posteriors.
+
+    Without labelled texts nothing is learned: every text scores as one that no voter marks.
+    """
     y = np.array(toxic, bool)
     voters = propose(texts, y)
+    if not texts:
+        return ToxicityModel(voters, np.zeros(len(voters.names)), CLEAN_VOTE)
     votes = np.zeros((len(texts), len(voters.names)), np.uint8)
     for i, t in enumerate(texts):
         votes[i, voters.fire(t)] = 1

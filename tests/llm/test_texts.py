@@ -190,3 +190,7 @@ def test_language_and_toxicity_learn_from_few_rows(spark):
     scored = toxicity.score(bad, toxicity.fit(bad, labels)).collect()
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in scored)
     assert toxicity.score(bad, toxicity.fit(bad, labels.limit(0))).where("predicted = 1").count() == 0
+    for some in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):  # none, one class
+        model = toxicity.fit(bad, some)
+        assert all(0 <= r.score <= 1 for r in toxicity.score(bad, model).collect())
+        assert toxicity.score(bad.limit(0), model).collect() == []
