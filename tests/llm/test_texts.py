@@ -194,3 +194,33 @@ def test_language_and_toxicity_learn_from_few_rows(spark):
         model = toxicity.fit(bad, some)
         assert all(0 <= r.score <= 1 for r in toxicity.score(bad, model).collect())
         assert toxicity.score(bad.limit(0), model).collect() == []
+
+
+def test_toxicity_sample_is_the_least_hashes_of_each_label(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 7)
+    rows = [(i, f"text {i % 60} " + "you idiot " * (i % 3 == 0), "x", 3) for i in range(200)] + [(500, None, "x", 1), (None, "y", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string, h int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(500, 1), (None, 1)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda found, given: seen.append((found, given)))
+    toxicity.fit(docs, labels)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    usable = [(t, i % 3 == 0) for i, t, *_ in rows[:200] if zlib.crc32(str(i).encode()) % 3 != 1]
+    expected = []
+    for value, most in ((True, 5), (False, 7)):
+        own = sorted({t for t, y in usable if y is value}, key=hashes.get)[:most]
+        expected += [(toxicity.signs(t), int(value)) for t in own]
+    assert list(zip(*seen[0])) == expected
+
+
+def test_toxicity_voters_of_both_polarities():
+    calm, rude = "the house by the sea", "you are a stupid idiot, idiot"
+    assert toxicity.signs(rude)[1] == {"#two", "#again", "#address"}
+    assert toxicity.signs("WHAT!! a day")[1] == {"#shout"} and toxicity.signs(calm)[1] == set()
+    texts = [toxicity.signs(f"{calm} {i}") for i in range(300)] + [toxicity.signs(rude)] * 40
+    model = toxicity.train(texts, [0] * 300 + [1] * 40)
+    weight = dict(zip(model.voters.names, model.weights))
+    assert weight[toxicity.NONE] < 0 < min(weight["#two"], weight["idiot"])
+    assert model.score(calm) < 0.3 and model.score("") < 0.3 and model.score(rude) > 0.9
+    assert model.score((calm + " ") * 100_000 + rude) > 0.9
