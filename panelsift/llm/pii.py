@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -24,6 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_PIECE = _LOCAL - {"."}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # greedy matches end where a run of digits ends, so none starts inside a run
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -152,26 +154,90 @@ def characters(text: Mapped) -> Mapped:
 
 
 _AT_WORDS, _DOT_WORDS = "at|arobase|arroba", "dot|punkt|point|punto"
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:({_AT_WORDS}|@)|({_DOT_WORDS}|\.))\s*[\])}}>]\s*", re.I)
-_SPOKEN = re.compile(
-    rf"(?<![\w.])[A-Za-z0-9_%+-]+(?:\s+(?:{_DOT_WORDS})\s+[A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+)*"
-    rf"(\s+(?:{_AT_WORDS})\s+)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORDS})\s+|\.)[A-Za-z0-9-]+)*?"
-    rf"\s+(?:{_DOT_WORDS})\s+[A-Za-z0-9-]+(?:\s+(?:{_DOT_WORDS})\s+[A-Za-z0-9-]+)*(?!\w)",
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:({_AT_WORDS}|@)|({_DOT_WORDS}|\.))\s*[\])}}>]\s*", re.I)
+_AT_WORD = re.compile(rf"(?<=\s)(?:{_AT_WORDS})(?=\s)", re.I)
+_DOT_WORD = re.compile(rf"(?<=\s)(?:{_DOT_WORDS})(?=\s)", re.I)
+_SPOKEN_DOMAIN = re.compile(
+    rf"[A-Za-z0-9-]++(?:(?:\s++(?:{_DOT_WORDS})\s++|\.)[A-Za-z0-9-]++)*?"
+    rf"\s++(?:{_DOT_WORDS})\s++[A-Za-z0-9-]+(?:\s++(?:{_DOT_WORDS})\s++[A-Za-z0-9-]+)*(?!\w)",
     re.I,
 )
-_DOT_WORD = re.compile(rf"\s+(?:{_DOT_WORDS})\s+", re.I)
+_DOTS = frozenset(_DOT_WORDS.split("|"))
+_DOT_LENGTHS = sorted({len(w) for w in _DOTS})
+
+
+def _blanks_before(text: str, at: int, low: int) -> int:
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _dot_stretches(text: str, low: int, high: int) -> list[tuple[int, int, str]]:
+    """Dot words between ``low`` and ``high`` with the blanks around them, apart from each other."""
+    out = []
+    for m in _DOT_WORD.finditer(text, low, high):
+        begin, end = _blanks_before(text, m.start(), low), m.end()
+        while end < high and text[end].isspace():
+            end += 1
+        if begin < m.start():  # else the blanks went with the word before
+            out.append((begin, end, "."))
+            low = end
+    return out
+
+
+def _spoken_local(text: str, end: int, low: int) -> int:
+    """Where the local part that ends at ``end`` begins, -1 if there is none.
+
+    Its pieces are joined by '.' or by dot words. It is walked backwards from the word
+    'at', so that no character is looked at for more than one of those.
+    """
+    start = -1
+    while True:
+        begin = end
+        while begin > low and text[begin - 1] in _PIECE:
+            begin -= 1
+        if begin == end:
+            return start
+        joined = begin > 0 and (text[begin - 1] in "._" or text[begin - 1].isalnum())
+        if not joined:
+            start = begin
+        if begin > low and text[begin - 1] == ".":
+            end = begin - 1
+            continue
+        stop = _blanks_before(text, begin, low)
+        if stop == begin:
+            return start
+        for n in _DOT_LENGTHS:
+            if stop - n > low and text[stop - n : stop].lower() in _DOTS:
+                end = _blanks_before(text, stop - n, low)
+                if end < stop - n:
+                    break
+        else:
+            return start
 
 
 def at_and_dot(text: Mapped) -> Mapped:
-    edits = [(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text.text)]
+    edits, low = [], 0
+    for m in _BRACKETED.finditer(text.text):
+        edits.append((_blanks_before(text.text, m.start(), low), m.end(), "@" if m[1] else "."))
+        low = m.end()
     if edits:
         text = text.rewrite(edits)
     if not _DOT_WORD.search(text.text):
         return text
-    edits = []
-    for m in _SPOKEN.finditer(text.text):
-        own = [(*d.span(), ".") for d in _DOT_WORD.finditer(text.text, m.start(), m.end())]
-        edits += sorted([*own, (*m.span(1), "@")])
+    edits, low, source = [], 0, text.text
+    for m in _AT_WORD.finditer(source):
+        stop = _blanks_before(source, m.start(), low)
+        if stop == m.start():
+            continue
+        start = _spoken_local(source, stop, low)
+        begin = m.end()
+        while begin < len(source) and source[begin].isspace():
+            begin += 1
+        domain = _SPOKEN_DOMAIN.match(source, begin) if start >= 0 else None
+        if domain:
+            low = domain.end()
+            edits += [*_dot_stretches(source, start, stop), (stop, begin, "@"), *_dot_stretches(source, begin, low)]
     return text.rewrite(edits) if edits else text
 
 
@@ -188,13 +254,12 @@ DIGIT_WORDS = {
 _ONE = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _RUN = re.compile(rf"(?<!\w)(?:(?:{_ONE})(?!\w)|\+?[0-9]+(?!\w))(?:[\s,.-]{{1,3}}(?:(?:{_ONE})(?!\w)|[0-9]+(?!\w))){{3,}}", re.I)
 _WORD = re.compile(rf"(?<!\w)(?:{_ONE})(?!\w)", re.I)
-_DIGIT_WORD = re.compile(r"(?<!\w)(?:zer|one|two|thr|fou|fiv|six|sev|eig|nin|ein|zwe|dre|vie|fün|sec|sie|ach|neu|deu|tro|qua|cin|hui|cer|uno|dos|tre|cua|sei|och|nue)", re.I)
 
 
 def spelled_digits(text: Mapped) -> Mapped:
     """Runs of at least four digit words or numbers, some of them words, become digits."""
     edits = []
-    if not _DIGIT_WORD.search(text.text):
+    if not _WORD.search(text.text):
         return text
     for run in _RUN.finditer(text.text):
         at = None
@@ -215,15 +280,16 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     every = {k: list(v) for k, v in base.items()}
     if rewritten.text and rewritten.text != text:
         for kind, spans in detect(rewritten.text).items():
+            starts = [a for a, _ in base[kind]]
             for span in map(rewritten.source, spans):
-                if not any(a <= span[0] and span[1] <= b for a, b in base[kind]):
+                i = bisect_right(starts, span[0]) - 1  # base spans are apart: only this one can hold it
+                if i < 0 or base[kind][i][1] < span[1]:
                     every[kind].append(span)
             every[kind].sort()
     return base, every
 
 
 _DISGUISE = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|{_DOT_WORDS}|@|\.)\s*[\])}}>]", re.I)
-_DOTS = frozenset(_DOT_WORDS.split("|"))
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
