@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -112,7 +113,7 @@ def propose(texts: list[Signs], toxic: np.ndarray) -> Voters:
     earlier one does, so that a passage copied into many toxic rows does not propose its
     every word. Words that begin with a chosen stem become voters of their own.
     """
-    own = [[x for w in words for x in terms(w)] for (words, _), y in zip(texts, toxic) if y]
+    own = [[sys.intern(x) for w in words for x in terms(w)] for (words, _), y in zip(texts, toxic) if y]
     inside = Counter(x for row in own for x in set(row))
     few = max(2, len(own) // 500)
     inside = {t: k for t, k in inside.items() if k >= few}
@@ -249,15 +250,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .join(picked, "key")
         .where(F.xxhash64("text") == F.col("h"))
     )
-    rows = {(r.label, r.h): r for r in map_texts(read, _signs, "label int, h long, words array<string>, marks array<string>").collect()}
-    given = [rows[r.label, r.h] for r in chosen if (r.label, r.h) in rows]
-    return train([(frozenset(r.words), frozenset(r.marks)) for r in given], [r.label for r in given])
+    rows = {(r.label, r.h): r for r in map_texts(read, _signs, "label int, h long, words string, marks string").collect()}
+    given = [rows.pop((r.label, r.h)) for r in chosen if (r.label, r.h) in rows]
+    # one string object a word, however many texts have it
+    found = [(frozenset(map(sys.intern, r.words.split())), frozenset(r.marks.split())) for r in given]
+    return train(found, [r.label for r in given])
 
 
 def _signs():
     def work(batch: pa.RecordBatch):
         found = [signs(t) for t in texts_of(batch)]
-        words, marks = (pa.array([sorted(x[i]) for x in found], pa.list_(pa.string())) for i in (0, 1))
+        words, marks = (pa.array([" ".join(sorted(x[i])) for x in found], pa.string()) for i in (0, 1))
         yield pa.RecordBatch.from_arrays(
             [batch.column("label"), batch.column("h"), words, marks], ["label", "h", "words", "marks"]
         )
