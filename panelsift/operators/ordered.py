@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelsift.columns import all_of, any_of, c
 from panelsift.operators.skew import lookup_join
-from panelsift.session import materialise
+from panelsift.session import materialise, materialise_by
 
 SKETCH_ACCURACY = 10_000
 # so many distinct values of one group may be ordered in a task; beyond, they are narrowed
@@ -36,13 +36,15 @@ def running_total(
     successive totals in an arbitrary order.
     """
     weights = {f"__w{i}": weight for i, weight in enumerate(totals.values())}
-    ranged = materialise(
+    ranged = materialise_by(
         df.withColumns(weights)
         .repartitionByRange(*[c(k) for k in keys], *order)
-        .withColumn("__part", F.spark_partition_id())
+        .withColumn("__part", F.spark_partition_id()),
+        "__part",
     )
-    # the part of a row is fixed by the table just written; (key, part) sums: only keys that reach into a later part carry anything,
-    # at most one per part, which bounds the broadcast by the partition count
+    # the part of a row is fixed by the table just written, which has each part in one bucket:
+    # neither the sums per (key, part) nor the window below shuffle its rows again. Only keys that
+    # reach into a later part carry anything, at most one per part, which bounds the broadcast
     along = Window.partitionBy(*[c(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
     before = along.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (

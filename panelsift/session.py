@@ -60,3 +60,21 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_by(df: DataFrame, column: str) -> DataFrame:
+    """Like ``materialise``, with the rows of one value of ``column`` in one bucket.
+
+    Grouping and windows by that column and any others then work on the table as it
+    lies, without another shuffle. The rows should come with few values of the column in
+    a task, since a task writes a file for each bucket it meets.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "bucketed")
+    name = f"panelsift_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    # the frame knows files and buckets by now; dropping an external table keeps its files
+    spark.sql(f"DROP TABLE {name}")
+    return table

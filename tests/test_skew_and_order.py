@@ -193,3 +193,19 @@ def test_result_does_not_depend_on_partitions(skewed):
     a = ordered.quantiles(skewed.repartition(1), "v", {"q": 0.77}, ["k"])
     b = ordered.quantiles(skewed.repartition(13), "v", {"q": 0.77}, ["k"])
     assert values(a, "k", "n", "q") == values(b, "k", "n", "q")
+
+
+def test_running_total_shuffles_its_rows_once(spark):
+    rows = [(i % 3 if i % 2 else None, i, f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, at int, `odd, name` string")
+    out = ordered.running_total(df, {"total": F.lit(1)}, [F.col("at").desc()], ["k"])
+    prepared = out._jdf.queryExecution().executedPlan().toString()
+    # what is left: the carried totals of the parts meet by key, and are broadcast
+    wide = [line for line in prepared.splitlines() if "hashpartitioning" in line]
+    assert all("__part" not in line for line in wide) and len(wide) == 1
+    got = {(r["k"], r["at"]): r["total"] for r in out.collect()}
+    by_key = {}
+    for k, at, _ in sorted(rows, key=lambda r: -r[1]):
+        by_key[k] = by_key.get(k, 0) + 1
+        assert got.pop((k, at)) == by_key[k]
+    assert not got and not [t for t in spark.catalog.listTables() if t.name.startswith("panelsift_")]
