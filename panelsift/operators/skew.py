@@ -1,9 +1,9 @@
 """Joins that stay balanced when one key owns a large part of the rows.
 
-Keys with more rows than one task should take are looked up first, by a count that
-is combined before its shuffle. Mostly there are none and the join is a plain one.
-Otherwise the rows of those keys are dealt over several salts and the matching rows
-of the other side repeated per salt.
+Keys with more rows than one task should take are looked up first, from mergeable
+sketches of the most frequent keys that every task fills over its own rows. Mostly there
+are none and the join is a plain one. Otherwise the rows of those keys are dealt over
+several salts and the matching rows of the other side repeated per salt.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from panelsift.columns import all_of, c
 
 ROWS_PER_TASK = 2_000_000
-# The hottest keys only; any other key has less than 1/50 000 of all rows.
-MAX_HOT_KEYS = 50_000
+# A sketch per part of the keys' hash space, and the keys each of them keeps track of. Of n
+# rows, no key with more than 2 * 3.5 * n / (PARTS * TRACKED) is missed: 1/150 000 of them.
+PARTS = 64
+TRACKED = 16_384
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -40,18 +42,52 @@ class HotKeys:
 def find_hot_keys(
     df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
 ) -> HotKeys:
-    """Look for hot keys, null among them.
+    """Look for hot keys, null among them; see :func:`find_hot_key_sets`."""
+    return find_hot_key_sets(df, [keys], rows_per_task)[0]
 
-    Count on a stored table where possible and pass the result to several joins on
-    the same keys, so that a derived frame is not computed just for this.
+
+def find_hot_key_sets(
+    df: DataFrame, key_sets: Sequence[Sequence[str]], rows_per_task: int | None = None
+) -> list[HotKeys]:
+    """Hot keys of several sets of key columns, all from one pass over narrow hashes.
+
+    A task sends at most PARTS sketches a set, whatever number of keys it met. Only sets
+    in which something is hot are read again, to count those few keys exactly. There are
+    no more of them than rows / ``rows_per_task``, which bounds what the driver gets.
+    Look on a stored table where possible and pass the result to several joins on the same
+    keys, so that a derived frame is not computed just for this.
     """
     limit = rows_per_task or ROWS_PER_TASK
-    counts = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    hottest = (
-        counts.where(F.col("__n") > limit).orderBy(F.col("__n").desc()).limit(MAX_HOT_KEYS).collect()
+    hashes = [F.xxhash64(*[c(k) for k in keys]) for keys in key_sets]
+    hashed = [F.struct(F.lit(i).alias("set"), h.alias("hash")) for i, h in enumerate(hashes)]
+    frequent = (
+        df.select(F.inline(F.array(*hashed)))
+        .groupBy("set", F.pmod("hash", F.lit(PARTS)))
+        .agg(F.expr(f"approx_top_k(hash, {TRACKED}, {TRACKED})").alias("__top"))
+        .select("set", F.inline("__top"))
+        .where(F.col("count") > limit)
+        .select("set", F.col("item").alias("__hash"))
+        .collect()
     )
-    types = [df.schema[k].dataType for k in keys]
-    return HotKeys([(*r[:-1], -(-r[-1] // limit)) for r in hottest], types)
+    found = []
+    for i, keys in enumerate(key_sets):
+        types = [df.schema[k].dataType for k in keys]
+        hot = [(r["__hash"],) for r in frequent if r["set"] == i]
+        rows = []
+        if hot:
+            # at most rows / limit of them
+            listed = F.broadcast(df.sparkSession.createDataFrame(hot, "__hash bigint"))
+            counts = (
+                df.select(*[c(k) for k in keys], hashes[i].alias("__hash"))
+                .join(listed, "__hash", "left_semi")
+                .groupBy(*[c(k) for k in keys])
+                .agg(F.count(F.lit(1)).alias("__n"))
+                .where(F.col("__n") > limit)
+                .orderBy(F.col("__n").desc())
+            )
+            rows = [(*r[:-1], -(-r[-1] // limit)) for r in counts.collect()]
+        found.append(HotKeys(rows, types))
+    return found
 
 
 def salted_join(
@@ -73,7 +109,7 @@ def salted_join(
     if not hot.rows:
         return big.join(small, list(keys), how)
     hot_names = [f"__hot{i}" for i in range(len(keys))]
-    # at most MAX_HOT_KEYS rows
+    # at most rows / rows_per_task of them
     table = F.broadcast(hot.frame(big.sparkSession, hot_names))
     match = all_of([c(k).eqNullSafe(F.col(h)) for k, h in zip(keys, hot_names)])
     salts = F.coalesce(F.col("__salts"), F.lit(1))
@@ -126,9 +162,14 @@ def attach_per_key(
     Null keys form a group of their own, as they do in a window.
     """
     per_key = df.groupBy(*[c(k) for k in keys]).agg(*aggregates)
-    new = [n for n in per_key.columns if n not in keys]
     if hot is None:
         hot = find_hot_keys(df, keys)
+    return attach_facts(df, keys, per_key, hot)
+
+
+def attach_facts(df: DataFrame, keys: Sequence[str], per_key: DataFrame, hot: HotKeys) -> DataFrame:
+    """Add the columns of a table with one row per key, null a key like any other."""
+    new = [n for n in per_key.columns if n not in keys]
     marked = [f"__key{i}" for i in range(len(keys))]
 
     def tagged(frame: DataFrame) -> DataFrame:

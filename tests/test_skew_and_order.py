@@ -209,3 +209,21 @@ def test_running_total_shuffles_its_rows_once(spark):
         by_key[k] = by_key.get(k, 0) + 1
         assert got.pop((k, at)) == by_key[k]
     assert not got and not [t for t in spark.catalog.listTables() if t.name.startswith("panelsift_")]
+
+
+def test_hot_keys_of_several_sets_beyond_any_list_length(spark):
+    # 51,000 keys with three rows each, 9,000 with one; the pairs are hot only with no key
+    rows = spark.range(0, 162_000, numPartitions=6).select(
+        F.when(F.col("id") < 153_000, F.col("id") % 51_000).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") < 153_000, F.col("id").cast("string")).alias("t"),
+    )
+    rows = rows.unionByName(spark.range(4).select(F.lit(None).cast("long").alias("k"), F.lit(None).cast("string").alias("t")))
+    one, pair = skew.find_hot_key_sets(rows, [["k"], ["k", "t"]], rows_per_task=2)
+    assert {r[0] for r in one.rows} == {*range(51_000), None}
+    assert {r[1] for r in one.rows} == {2}
+    assert pair.rows == [(None, None, 2)]
+
+
+def test_hot_keys_of_empty_rows(spark):
+    empty = spark.createDataFrame([], "k int, t string")
+    assert [h.rows for h in skew.find_hot_key_sets(empty, [["k"], ["t", "k"]], 1)] == [[], []]
