@@ -49,7 +49,6 @@ FLAGSHIP_SQL = breakdown_sql(
 def _(t: Inputs):
     """Load, enrich, merge the study flags, derive temporal flags, compare the groups."""
     from panelsift.operators import joins
-    from panelsift.operators.skew import find_hot_keys
     from panelsift.sources.tables import TASK_RENAMES
 
     done = t.view("v_completion").where(
@@ -57,12 +56,7 @@ def _(t: Inputs):
     )
     tasks = t.view("v_task").withColumnsRenamed(TASK_RENAMES)
     study = t.view("v_study").withColumnRenamed("respondent_pk", "balance_respondentPk")
-    hot = find_hot_keys(done, ["respondentPk"])
-    pairs = find_hot_keys(done, ["respondentPk", "taskPk"])
-    enriched = joins.merge_task_metadata(windows.enrich_with_task_counts(done, hot=hot), tasks)
-    merged = joins.merge_study_data_with_user_info(
-        enriched, study, dedupe=True, hot=hot, hot_pairs=pairs
-    )
+    merged = joins.join_panel(done, tasks, study, dedupe=True)
     flags = temporal.create_all_temporal_features(merged)
     rows = profile.breakdown(flags, FLAGSHIP)
     return _rounded(rows, "feature", "all_pct", "group_pct", "other_pct", "delta_pct")

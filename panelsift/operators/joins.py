@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import c, exclude, existing
-from panelsift.operators.skew import HotKeys, lookup_join, salted_join
+from panelsift.operators.skew import (
+    HotKeys, attach_facts, find_hot_key_sets, lookup_join, salted_join,
+)
+from panelsift.operators.windows import task_seconds
 
 # Device columns that get a prefix when joined, and the study
 # columns carried over to completions.
@@ -23,6 +26,22 @@ STUDY_COLUMNS = (
 )
 
 
+USER_JOINS = ("inner", "left", "right", "outer", "left_semi", "left_anti")
+
+
+def _own_columns(user_df: DataFrame, task_complete_df: DataFrame) -> DataFrame:
+    """Completions without the columns the users have as well."""
+    return exclude(task_complete_df, set(user_df.columns) - {"respondentPk"})
+
+
+def _with_device(profile: DataFrame, device_df: DataFrame | None, taken: set[str]) -> DataFrame:
+    if device_df is None:
+        return profile
+    prefixed = device_df.withColumnsRenamed({n: f"ditr_{n}" for n in PREFIXED_DEVICE_COLUMNS})
+    prefixed = exclude(prefixed, {*taken, *profile.columns})
+    return profile.join(prefixed, F.col("respondent_pk") == F.col("ditr_respondent_pk"), "left")
+
+
 def join_user_task_respondent(
     user_df: DataFrame,
     task_complete_df: DataFrame,
@@ -36,37 +55,140 @@ def join_user_task_respondent(
     The three respondent-level sides are joined to each other first, so the
     completions are shuffled once, with hot respondents spread out. Of columns with
     the same name the first in the order user, completion, profile, device is kept.
+
+    The type holds for users with completions and for these with profiles: ``left`` keeps
+    all users; ``right`` all profiles, those without an active user with profile columns
+    only; ``outer`` all users, completions and profiles; ``left_semi`` and ``left_anti``
+    give the users that have both a completion and a profile, or neither of them.
     """
-    if join_type not in ("inner", "left"):
-        raise ValueError("join_type must be 'inner' or 'left'")
-    done = exclude(task_complete_df, set(user_df.columns) - {"respondentPk"})
-    taken = {*user_df.columns, *done.columns} - {"respondent_pk"}
-    profile = user_df.join(exclude(respondent_info_df, taken), "respondent_pk", join_type)
-    if device_df is not None:
-        prefixed = device_df.withColumnsRenamed(
-            {n: f"ditr_{n}" for n in PREFIXED_DEVICE_COLUMNS}
-        )
-        prefixed = exclude(prefixed, {*taken, *profile.columns})
-        profile = profile.join(
-            prefixed, F.col("respondent_pk") == F.col("ditr_respondent_pk"), "left"
+    if join_type not in USER_JOINS:
+        raise ValueError(f"join_type must be one of {', '.join(USER_JOINS)}")
+    active = task_complete_df.select(F.col("respondentPk").alias("respondent_pk")).distinct()
+    if join_type in ("left_semi", "left_anti"):
+        chosen = user_df.join(active, "respondent_pk", join_type).join(
+            respondent_info_df.select("respondent_pk").distinct(), "respondent_pk", join_type
         )
+        return _with_device(chosen, device_df, set())
+    done = _own_columns(user_df, task_complete_df)
+    taken = {*user_df.columns, *done.columns} - {"respondent_pk"}
+    all_users = join_type in ("left", "outer")
+    profile = user_df.join(
+        exclude(respondent_info_df, taken), "respondent_pk", "left" if all_users else "inner"
+    )
+    profile = _with_device(profile, device_df, taken)
     keyed = profile.withColumn("__respondent", F.col("respondent_pk"))
     columns = [*user_df.columns, *done.columns]
     columns += [n for n in profile.columns if n not in user_df.columns]
     done = done.withColumn("__respondent", F.col("respondentPk"))
+    if join_type != "outer":
+        done = done.where(F.col("__respondent").isNotNull())
     joined = salted_join(
-        done.where(F.col("__respondent").isNotNull()), keyed, ["__respondent"], "inner", hot
+        done, keyed, ["__respondent"], "left" if join_type == "outer" else "inner", hot
     ).select(*[c(n) for n in columns])
-    if join_type == "left":
-        idle = profile.join(
-            task_complete_df.select(F.col("respondentPk").alias("respondent_pk")).distinct(),
-            "respondent_pk",
-            "left_anti",
-        )
+    if all_users:
+        idle = profile.join(active, "respondent_pk", "left_anti")
         joined = joined.unionByName(idle, allowMissingColumns=True)
+    if join_type in ("right", "outer"):
+        met = user_df.select("respondent_pk").distinct()
+        if join_type == "right":
+            met = met.join(active, "respondent_pk", "left_semi")
+        alone = respondent_info_df.join(met, "respondent_pk", "left_anti")
+        alone = exclude(alone, {*taken, "respondent_pk"})
+        joined = joined.unionByName(alone, allowMissingColumns=True)
     return joined
 
 
+def respondent_table(
+    user_df: DataFrame,
+    task_complete_df: DataFrame,
+    respondent_info_df: DataFrame,
+    device_df: DataFrame | None,
+    study_df: DataFrame,
+) -> DataFrame:
+    """One row per user with a profile: all that is known per respondent, for one join.
+
+    User, profile and device columns, ``wonky_user_flag``, and for respondents with
+    completions ``__respondent`` and ``task_completed``. Completions and study rows are
+    combined per respondent before they move. Everything is partitioned by respondent.
+    """
+    done = _own_columns(user_df, task_complete_df)
+    taken = {*user_df.columns, *done.columns} - {"respondent_pk"}
+    profile = user_df.join(exclude(respondent_info_df, taken), "respondent_pk", "inner")
+    profile = _with_device(profile, device_df, taken)
+    counts = _completion_counts(task_complete_df)
+    joined = profile.join(counts, F.col("respondent_pk") == F.col("__respondent"), "left")
+    joined = joined.join(_members(study_df), F.col("respondent_pk") == F.col("__member"), "left")
+    # repeated users or profiles repeat the completions, so these count as often
+    copies = F.count(F.lit(1)).over(Window.partitionBy("respondent_pk"))
+    return joined.withColumns(
+        {
+            "task_completed": F.col("task_completed") * copies,
+            "wonky_user_flag": F.coalesce(F.col("wonky_user_flag"), F.lit(0)),
+        }
+    ).drop("__member")
+
+
+def _completion_counts(task_complete_df: DataFrame) -> DataFrame:
+    return task_complete_df.groupBy(F.col("respondentPk").alias("__respondent")).agg(
+        F.count("taskPk").alias("task_completed")
+    )
+
+
+def _members(study_df: DataFrame) -> DataFrame:
+    members = study_df.select(F.col("balance_respondentPk").alias("__member"))
+    return members.where("__member IS NOT NULL").distinct().withColumn("wonky_user_flag", F.lit(1))
+
+
+def join_panel(
+    task_complete_df: DataFrame,
+    tasks_df: DataFrame,
+    study_df: DataFrame,
+    respondents: DataFrame | None = None,
+    user_columns: Sequence[str] = (),
+    dedupe: bool = False,
+    hot: HotKeys | None = None,
+    hot_pairs: HotKeys | None = None,
+) -> DataFrame:
+    """Completions with task, study and respondent columns, shuffled twice at most.
+
+    Gives the rows and columns of the user join (inner), the task counts, the task metadata
+    and the study merge (left) one after the other, but joins the studies while the
+    completions are still narrow, and then all respondent-level columns, counts among them,
+    in one join. ``respondents`` comes from :func:`respondent_table` and ``user_columns``
+    are those of the user table; without it, the completions' own respondents are taken.
+    """
+    if hot is None or hot_pairs is None:
+        found = find_hot_key_sets(task_complete_df, [["respondentPk"], ["respondentPk", "taskPk"]])
+        hot, hot_pairs = hot or found[0], hot_pairs or found[1]
+    given = respondents is not None
+    done = exclude(task_complete_df, set(user_columns) - {"respondentPk"})
+    facts = ["task_completed", "wonky_user_flag"]
+    side = [n for n in respondents.columns if n not in {*facts, "__respondent"}] if given else []
+    first = [n for n in side if n in set(user_columns)]
+    base = [*first, *done.columns, *[n for n in side if n not in set(user_columns)]]
+    tasked = merge_task_metadata(done, tasks_df)
+    listed = [*base, "task_time_taken_s", "task_completed", *tasked.columns[len(done.columns) :]]
+    study, names = _study_columns(study_df, set(listed), dedupe)
+    pair = {"__respondent": F.col("respondentPk"), "__task": F.col("taskPk")}
+    if given:
+        tasked = tasked.where(F.col("respondentPk").isNotNull())
+    rows = salted_join(tasked.withColumns(pair), study, [*pair], "left", hot_pairs)
+    if given:
+        rows = salted_join(rows, respondents, ["__respondent"], "inner", hot)
+    else:
+        counts = _completion_counts(task_complete_df)
+        known = counts.join(_members(study_df), F.col("__respondent") == F.col("__member"), "left")
+        known = known.withColumn("wonky_user_flag", F.coalesce(F.col("wonky_user_flag"), F.lit(0)))
+        rows = attach_facts(rows, ["__respondent"], known.drop("__member"), hot)
+    made = {
+        "task_time_taken_s": task_seconds("date_completed", "date_created"),
+        "user_task_pk": _pair_key(),
+        "_merge": F.when(F.col("__found") == 1, "both").otherwise("left_only"),
+    }
+    order = [*listed, "wonky_user_flag", "user_task_pk", *names, "_merge"]
+    return rows.withColumns(made).select(*[c(n) for n in order])
+
+
 def join_study_balance_with_task(
     balance_df: DataFrame,
     task_df: DataFrame,
@@ -106,6 +228,33 @@ def add_membership_flag(
     return marked.withColumn(name, F.coalesce(c(name), F.lit(0))).drop("__member")
 
 
+def _pair_key():
+    return F.concat_ws("_", F.col("respondentPk").cast("string"), F.col("taskPk").cast("string"))
+
+
+def _study_columns(study_df: DataFrame, clash: set[str], dedupe: bool) -> tuple[DataFrame, list[str]]:
+    """Study rows keyed for the merge, and the names their columns get there."""
+    carried = existing(study_df, STUDY_COLUMNS)
+    study = study_df.select(*[c(n) for n in carried])
+    if dedupe:
+        keys = ["balance_respondentPk", "task_pk"]
+        study = study.groupBy(*keys).agg(
+            *[
+                (F.sum(c(n)) if n == "wonky_study_count" else F.max(c(n))).alias(n)
+                for n in carried
+                if n not in keys
+            ]
+        )
+    names = [f"{n}_wonky" if n in clash else n for n in study.columns]
+    study = study.select(
+        F.col("balance_respondentPk").alias("__respondent"),
+        F.col("task_pk").alias("__task"),
+        *[c(n).alias(m) for n, m in zip(study.columns, names)],
+        F.lit(1).alias("__found"),
+    )
+    return study, names
+
+
 def merge_study_data_with_user_info(
     user_info_df: DataFrame,
     study_df: DataFrame,
@@ -125,32 +274,13 @@ def merge_study_data_with_user_info(
     """
     if how not in ("left", "inner", "right", "outer"):
         raise ValueError("how must be 'left', 'inner', 'right' or 'outer'")
-    carried = existing(study_df, STUDY_COLUMNS)
-    study = study_df.select(*[c(n) for n in carried])
-    if dedupe:
-        keys = ["balance_respondentPk", "task_pk"]
-        study = study.groupBy(*keys).agg(
-            *[
-                (F.sum(c(n)) if n == "wonky_study_count" else F.max(c(n))).alias(n)
-                for n in carried
-                if n not in keys
-            ]
-        )
-    clash = set(user_info_df.columns)
-    study = study.select(
-        F.col("balance_respondentPk").alias("__respondent"),
-        F.col("task_pk").alias("__task"),
-        *[c(n).alias(f"{n}_wonky" if n in clash else n) for n in study.columns],
-        F.lit(1).alias("__found"),
-    )
+    study, _ = _study_columns(study_df, set(user_info_df.columns), dedupe)
     flagged = add_membership_flag(
         user_info_df, "respondentPk", study_df, "balance_respondentPk", "wonky_user_flag", hot
     )
     keyed = flagged.withColumns(
         {
-            "user_task_pk": F.concat_ws(
-                "_", F.col("respondentPk").cast("string"), F.col("taskPk").cast("string")
-            ),
+            "user_task_pk": _pair_key(),
             "__respondent": F.col("respondentPk"),
             "__task": F.col("taskPk"),
         }

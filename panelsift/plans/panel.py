@@ -17,7 +17,7 @@ from panelsift.functions import bins, device, onehot, sparse, speed, temporal
 from panelsift.models.compare import ModelResults, run_all_models
 from panelsift.operators import aggregates, joins, profile, select, windows
 from panelsift.operators.skew import attach_per_key, find_hot_keys
-from panelsift.session import materialise
+from panelsift.session import materialise, materialise_by
 from panelsift.sources import sinks, tables
 from panelsift.stats import cluster
 
@@ -85,13 +85,6 @@ def pull_panel(
     tasks = tables.load_task_table(spark, paths.silver_path, paths.task_origin, paths.fmt)
     devices = tables.load_device_table(spark, paths.silver_path, users, fmt=paths.fmt)
 
-    # one narrow scan of the stored completions serves every join on these keys
-    hot = find_hot_keys(done, ["respondentPk"])
-    hot_pairs = find_hot_keys(done, ["respondentPk", "taskPk"])
-    joined = joins.join_user_task_respondent(users, done, info, devices, hot=hot)
-    enriched = windows.enrich_with_task_counts(joined, hot=hot)
-    enriched = joins.merge_task_metadata(enriched, tasks)
-
     loaded = tables.load_all_studies(
         spark, list(studies.study_labels), paths.project_repository_path,
         studies.cols_to_include_subset, paths.fmt,
@@ -103,16 +96,18 @@ def pull_panel(
     grouped = aggregates.aggregate_studies(study_map, studies.cols_to_group)
     grouped = exclude(grouped, studies.cols_to_drop)
 
-    merged = joins.merge_study_data_with_user_info(
-        enriched, grouped, dedupe=dedupe, hot=hot, hot_pairs=hot_pairs
-    )
+    # one table of all respondent-level facts, stored by respondent: the completions meet it once
+    respondents = joins.respondent_table(users, done, info, devices, grouped)
+    respondents = materialise_by(respondents, "__respondent")
+    merged = joins.join_panel(done, tasks, grouped, respondents, users.columns, dedupe)
     merged = drop_duplicate_columns(merged.drop("_merge"))
     summary = aggregates.create_study_respondent_summary(
         grouped, "balance_respondentPk", ("survey_pk", *config.SUMMARY_CATEGORIES)
     )
     # the totals do not need the merged rows, which repeat the same count per row
-    totals = joins.respondent_task_totals(enriched)
-    summary = joins.summary_with_task_totals(summary, enriched)
+    active = respondents.where(F.col("__respondent").isNotNull())
+    totals = joins.respondent_task_totals(active.withColumn("respondentPk", F.col("__respondent")))
+    summary = joins.summary_with_task_totals(summary, totals)
     counts = aggregates.calculate_task_ratio(
         totals.withColumnsRenamed(
             {"task_completed": "tasks_completed", "respondentPk": "respondentPk_tc"}

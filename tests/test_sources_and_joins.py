@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelsift import config
-from panelsift.operators import aggregates, joins, profile, skew
+from panelsift.operators import aggregates, joins, profile, skew, windows
 from panelsift.plans import panel
 from panelsift.sources import sinks, tables
 from tests.conftest import values
@@ -133,7 +133,54 @@ def test_user_completion_join(spark, silver):
     left = joins.join_user_task_respondent(users, done, info, join_type="left")
     assert values(left, "respondent_pk", "taskPk") == [("r1", "t1"), ("r1", "t2"), ("r2", "t1"), ("r4", None)]
     with pytest.raises(ValueError):
-        joins.join_user_task_respondent(users, done, info, join_type="outer")
+        joins.join_user_task_respondent(users, done, info, join_type="cross")
+
+
+def _sides(frame):
+    users = frame("respondent_pk int, gender string, age int", [(1, "f", 5), (2, "m", 6), (3, "f", 7), (4, "m", 8), (8, "x", 9)])
+    done = frame(
+        "respondentPk int, taskPk int, age int, date_completed timestamp, date_created timestamp",
+        [(r, t, 0, datetime(2025, 1, 2, 0, 0, t or 9), datetime(2025, 1, 2)) for r, t in
+         [(1, 1), (1, 2), (1, 2), (2, 1), (5, 1), (None, 3), (8, None)]],
+    )
+    info = frame("respondent_pk int, gender string, region string", [(1, "no", "N"), (3, "no", "S"), (5, "no", "E"), (6, "no", "W"), (8, "no", "X"), (None, "no", "Z")])
+    devices = frame("respondent_pk int, hardware string, app string", [(1, "h1", "a1"), (3, "h3", "a3"), (5, "h5", "a5")])
+    return users, done, info, devices
+
+
+@pytest.mark.parametrize("how", joins.USER_JOINS)
+def test_user_join_types_are_those_of_the_plain_chain(frame, how):
+    users, done, info, devices = _sides(frame)
+    got = joins.join_user_task_respondent(users, done, info, devices, how, hot=skew.HotKeys([(1, 2)], [users.schema["respondent_pk"].dataType]))
+    u, d, i = users.alias("u"), done.drop("age").alias("d"), info.withColumnsRenamed({"respondent_pk": "ipk"}).drop("gender").alias("i")
+    plain = u.join(d, F.col("u.respondent_pk") == F.col("d.respondentPk"), how)
+    plain = plain.join(i, F.col("respondent_pk") == F.col("ipk"), how).drop("ipk")
+    v = devices.withColumnsRenamed({"respondent_pk": "ditr_respondent_pk", "hardware": "ditr_hardware"})
+    plain = plain.join(v, F.col("respondent_pk") == F.col("ditr_respondent_pk"), "left")
+    assert set(got.columns) == set(plain.columns)
+    assert values(got, *plain.columns) == values(plain, *plain.columns)
+
+
+@pytest.mark.parametrize("given", [True, False])
+@pytest.mark.parametrize("dedupe", [True, False])
+def test_panel_in_two_shuffles_equals_the_steps(frame, given, dedupe):
+    users, done, info, devices = _sides(frame)
+    users = users.unionByName(users.where("respondent_pk = 2"))  # a user listed twice
+    info = info.unionByName(frame("respondent_pk int, gender string, region string", [(2, "no", "Q")]))
+    tasks = frame("task_pk int, task_length_of_task int, points int", [(1, 5, 1), (2, None, 2)])
+    study = frame(
+        "balance_respondentPk int, task_pk int, wonky_study_count int, exposure_band string",
+        [(1, 1, 1, "exposed"), (1, 1, 0, "control"), (2, 9, 1, "exposed"), (None, 3, 1, "exposed"), (5, 1, 1, "control")],
+    )
+    rows = joins.join_user_task_respondent(users, done, info, devices) if given else done
+    steps = joins.merge_task_metadata(windows.enrich_with_task_counts(rows), tasks)
+    steps = joins.merge_study_data_with_user_info(steps, study, dedupe=dedupe)
+    respondents = joins.respondent_table(users, done, info, devices, study) if given else None
+    hot = skew.find_hot_key_sets(done, [["respondentPk"], ["respondentPk", "taskPk"]], 1)
+    for h, hp in ((None, None), hot):
+        got = joins.join_panel(done, tasks, study, respondents, users.columns if given else (), dedupe, h, hp)
+        assert got.columns == steps.columns
+        assert values(got, *steps.columns) == values(steps, *steps.columns)
 
 
 def test_merge_keeps_fan_out_unless_asked(frame):
