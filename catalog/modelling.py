@@ -200,6 +200,24 @@ def _(t: Inputs):
     return table.select("feature", *[F.round(n, d).alias(n) for n, d in digits.items()])
 
 
+# with two features the upper tail of the F distribution has a closed form
+LINEAR_FIT_SQL = LINEAR_SQL[: LINEAR_SQL.index("  SELECT 'x0'")] + """
+  SELECT CAST(n AS BIGINT) AS n, round(r2, 8) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 8) AS r2_adjusted,
+    round(f, 6) AS f_statistic, round(pow(1 + 2 * f / (n - 3), -(n - 3) / 2.0::DOUBLE), 8) AS f_p_value
+  FROM (SELECT n, (b0 * p + b1 * q) / yy AS r2, (b0 * p + b1 * q) / 2 / s2 AS f FROM s)"""
+
+
+@query("m4_linear_fit", LINEAR_FIT_SQL)
+def _(t: Inputs):
+    model, _, _ = linear.build_linear_baseline(_vectors(t), ["x0", "x1"], "label", calculate_vif=False)
+    row = (model.n, model.r2, model.r2_adjusted, model.f_statistic, model.f_p_value)
+    fit = t.spark.createDataFrame(
+        [row], "n bigint, r2 double, r2_adjusted double, f_statistic double, f_p_value double"
+    )
+    digits = {"r2": 8, "r2_adjusted": 8, "f_statistic": 6, "f_p_value": 8}
+    return fit.select("n", *[F.round(n, d).alias(n) for n, d in digits.items()])
+
+
 MODELLED = ("is_weekend", "is_monday", "is_night", "is_error", "is_fast", "risk", "quality")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelsift.columns import c
 from panelsift.stats.gram import gram_matrix, scaled_inverse
-from panelsift.stats.tests import student_t_p_value
+from panelsift.stats.tests import f_p_value, student_t_p_value
 from panelsift.stats.vif import vif_table
 
 
@@ -23,6 +23,8 @@ class LinearModel:
     n: int
     r2: float
     r2_adjusted: float
+    f_statistic: float
+    f_p_value: float
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         fitted = F.lit(self.intercept)
@@ -31,6 +33,13 @@ class LinearModel:
         return df.withColumn(name, fitted)
 
 
+def _f_statistic(r2: float, rank: int, freedom: int) -> float:
+    """Explained against remaining variance, each per degree of freedom."""
+    if math.isnan(r2) or rank < 1 or freedom < 1:
+        return math.nan
+    return float(r2 / rank / ((1 - r2) / freedom)) if r2 < 1 else math.inf
+
+
 def build_linear_baseline(
     df: DataFrame,
     feature_cols: Sequence[str],
@@ -56,6 +65,7 @@ def build_linear_baseline(
     errors = np.sqrt(np.clip(np.diag(inverse), 0, None) * variance)
     r2 = 1 - residual / yy if yy > 0 else math.nan
     adjusted = 1 - (1 - r2) * (n - 1) / freedom if freedom > 0 else math.nan
+    f = _f_statistic(r2, rank, freedom)
     rows = []
     for name, b, se in zip(names, beta, errors):
         t = float(b / se) if se > 0 else math.nan
@@ -73,6 +83,8 @@ def build_linear_baseline(
         int(n),
         float(r2),
         float(adjusted),
+        f,
+        f_p_value(f, rank, freedom),
     )
     if calculate_vif:
         vif = vif_table(df.sparkSession, full.keep(names)).select("feature", "VIF")

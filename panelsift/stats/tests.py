@@ -132,6 +132,13 @@ def student_t_p_value(t: float, df: float) -> float:
     return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def f_p_value(f: float, df1: float, df2: float) -> float:
+    """Upper tail of the F distribution; 0 for an infinite statistic."""
+    if math.isnan(f):
+        return math.nan
+    return 0.0 if math.isinf(f) else _incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+
+
 def _incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by its continued fraction (Lentz)."""
     if x <= 0 or x >= 1:

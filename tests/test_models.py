@@ -50,6 +50,13 @@ def test_linear_against_normal_equations_and_mllib(sample, sample_df):
     rows = forest.assembled(sample_df, FEATURES, {"label": F.col("wonky_study_count")})
     summary = LinearRegression(solver="normal").fit(rows).summary
     assert model.r2 == pytest.approx(summary.r2) and model.r2_adjusted == pytest.approx(summary.r2adj)
+    explained = ((design @ beta - y.mean()) ** 2).sum() / 3
+    assert model.f_statistic == pytest.approx(explained / ((residual @ residual) / (len(y) - 4)))
+    one, table_of_one, _ = linear.build_linear_baseline(sample_df, FEATURES[:1], "wonky_study_count", calculate_vif=False)
+    assert one.f_p_value == pytest.approx(table_of_one.first().p_value, rel=1e-9)  # F is t squared
+    two, _, _ = linear.build_linear_baseline(sample_df, FEATURES[:2], "wonky_study_count", calculate_vif=False)
+    free = len(y) - 3
+    assert two.f_p_value == pytest.approx((1 + 2 * two.f_statistic / free) ** (-free / 2), rel=1e-9)
     for name, p in zip(FEATURES, summary.pValues):
         assert got[name].p_value == pytest.approx(p, rel=1e-6, abs=1e-12)
     assert vifs.count() == 3
