@@ -13,6 +13,7 @@ text's count is the last of a parallel prefix scan over its chunks.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,23 +22,32 @@ from pyspark.sql import DataFrame
 
 from panelsift.llm import pieces
 from panelsift.llm.common import map_texts, texts_of
+from panelsift.llm.viterbi import StreamingViterbi
 
 CHUNK = 1 << 16
-#: Compiled states and remembered words per task; beyond it compilation starts anew.
+#: Compiled states and transitions per task; beyond them compilation starts anew, also
+#: in the middle of a word.
 MAX_STATES = 150_000
+MAX_ARCS = 600_000
+#: Words remembered per task and their bytes, and the longest that is remembered.
 MAX_WORDS = 400_000
+MAX_WORD_BYTES = 96 << 20
+LONGEST_WORD = 64
+WORD_ENTRY = 130
 
 
 class Transducer:
     def __init__(self, model: pieces.PieceModel):
         self.model = model
         self.words: dict[str, int] = {}
+        self.held = 0
         self._reset()
 
     def _reset(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
         self.arcs: list[dict[str, tuple[int, int]]] = []
+        self.compiled = 0
         self.start = self._state(((0, pieces.START, 0),))
 
     def _state(self, state: tuple) -> int:
@@ -67,13 +77,20 @@ class Transducer:
             last, change = found  # every prefix has exactly one last piece
         after = tuple((n, b, f - change) for n, b, f in live) + ((0, last, 0),)
         arc = self.arcs[at][c] = (self._state(after), change)
+        self.compiled += 1
         return arc
 
     def run(self, at: int, text: str) -> tuple[int, int]:
         """State after a text without boundaries, and the tokens it adds."""
         arcs, total = self.arcs, 0
         for c in text:
-            arc = arcs[at].get(c) or self.compile(at, c)
+            arc = arcs[at].get(c)
+            if arc is None:
+                if len(self.states) > MAX_STATES or self.compiled > MAX_ARCS:
+                    state = self.states[at]
+                    self._reset()
+                    at, arcs = self._state(state), self.arcs
+                arc = self.compile(at, c)
             at = arc[0]
             total += arc[1]
         return at, total
@@ -84,11 +101,13 @@ class Transducer:
             return len(self.model.blanks(blanks)) if blanks else 0
         n = self.words.get(word)
         if n is None:
-            if len(self.states) > MAX_STATES:
-                self._reset()
-            if len(self.words) > MAX_WORDS:
-                self.words.clear()
-            n = self.words[word] = self.run(self.start, pieces.BLANK + word)[1]
+            n = self.run(self.start, pieces.BLANK + word)[1]
+            if len(word) <= LONGEST_WORD:
+                if len(self.words) > MAX_WORDS or self.held > MAX_WORD_BYTES:
+                    self.words.clear()
+                    self.held = 0
+                self.words[word] = n
+                self.held += sys.getsizeof(word) + WORD_ENTRY
         if blanks == 1:
             return n
         if self._bare(word):
@@ -97,9 +116,18 @@ class Transducer:
 
     def _bare(self, word: str) -> bool:
         """Whether the blank before a word stays a piece of its own."""
-        # a blank joins at most the following characters of one piece
-        own = self.model.merge(pieces.BLANK + word[: 4 * self.model.longest])
-        return own[0] == pieces.BLANK
+        if len(word) <= LONGEST_WORD:
+            return self.model.merge(pieces.BLANK + word)[0] == pieces.BLANK
+        # of a long word the whole text decides, read until the first piece is settled
+        lattice = StreamingViterbi(self.model)
+        word = pieces.BLANK + word
+        for i in range(0, len(word), LONGEST_WORD):
+            ids = lattice.feed(word[i : i + LONGEST_WORD])
+            if ids:
+                break
+        else:
+            ids = lattice.finish()
+        return ids[0] == self.model.id.get(pieces.BLANK)
 
 
 @dataclass(frozen=True)
