@@ -639,7 +639,7 @@ def _(t: Inputs):
     # a category that does not occur has no column: none of its rows
     flags = {n: c(n) if n in made.columns else F.lit(0) for n in names}
     return made.groupBy("respondentPk").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(n) for n, f in flags.items()]
+        F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("int")).alias(n) for n, f in flags.items()]
     )
 
 
