@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
-from panelsift.models.forest import assembled, folded
+from panelsift.models.forest import NODE_CACHE, assembled, folded, spread
 from panelsift.models.logistic import area_under_roc, confusion
 from panelsift.models.prepare import holdout
 from panelsift.operators.ordered import quantiles, running_total
@@ -40,7 +40,7 @@ def _learner(
     if kind == "random_forest":
         return RandomForestClassifier(
             numTrees=trees, maxDepth=depth or 20, minInstancesPerNode=min_leaf,
-            weightCol="weight", seed=seed,
+            weightCol="weight", seed=seed, **NODE_CACHE,
         )
     if kind == "gradient_boosting":
         return GBTClassifier(maxIter=trees, maxDepth=depth or 5, stepSize=rate, seed=seed)
@@ -66,7 +66,7 @@ def train_detector(
     """
     label = F.when(F.coalesce(c(outcome) > 0, F.lit(False)), 1.0).otherwise(0.0)
     extra = {"label": label, "held_out": holdout(keys, test_size, seed)}
-    data = materialise(assembled(df, features, extra))
+    data = spread(materialise(assembled(df, features, extra)))
     train = data.where("NOT held_out")
     learner = _learner(kind, trees, depth, min_leaf, rate, seed)
     model = learner.fit(_weighted(train) if kind == "random_forest" else train)

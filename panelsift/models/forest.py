@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -17,6 +18,12 @@ from panelsift.models.prepare import with_group_folds
 from panelsift.session import materialise
 
 OVERFIT_GAP = 0.1  # fixed value
+# a task goes through its rows once per level of all trees; more tasks than a few a core add only sums
+ROWS_OF_A_TASK = 10_000
+TASKS_OF_A_CORE = 4
+# rows keep their node of every tree instead of being led down from the root at each level;
+# a lineage as long as a tree is deep needs no checkpoints
+NODE_CACHE = {"cacheNodeIds": True, "checkpointInterval": -1}
 
 
 def assembled(
@@ -29,10 +36,23 @@ def assembled(
     return VectorAssembler(inputCols=list(plain), outputCol=key).transform(rows).drop(*plain)
 
 
+def spread(data: DataFrame) -> DataFrame:
+    """Stored rows dealt evenly to files, so that every core takes part in a fit.
+
+    Vectors are few bytes, and a small table would be read by one task. Up to
+    ROWS_OF_A_TASK rows are one task's work and stay as they are.
+    """
+    tasks = math.ceil(data.count() / ROWS_OF_A_TASK)
+    if tasks <= 1:
+        return data
+    most = TASKS_OF_A_CORE * data.sparkSession.sparkContext.defaultParallelism
+    return materialise(data.repartition(min(tasks, most)))
+
+
 def folded(
     df: DataFrame, features: Sequence[str], label: Column, user: str, folds: int, carried: Sequence[str] = ()
 ) -> DataFrame:
-    """Vectors of complete rows of known users, label and balanced fold, stored once."""
+    """Vectors of complete rows of known users, label and balanced fold, stored for many tasks."""
     plain = {f"__f{i}": c(n).cast("double") for i, n in enumerate(features)}
     narrow = df.select(
         c(user).alias("__user"), label.alias("label"), *[c(n).alias(f"__c{i}") for i, n in enumerate(carried)],
@@ -40,7 +60,8 @@ def folded(
     )
     rows = with_group_folds(narrow.dropna(subset=["__user", "label", *plain]), "__user", folds)
     data = VectorAssembler(inputCols=list(plain), outputCol="features").transform(rows)
-    return materialise(data.select("label", "fold", "features", *[F.col(f"__c{i}").alias(n) for i, n in enumerate(carried)]))
+    kept = [F.col(f"__c{i}").alias(n) for i, n in enumerate(carried)]
+    return spread(materialise(data.select("label", "fold", "features", *kept)))
 
 
 def regression_metrics(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -90,6 +111,7 @@ def build_random_forest_model(
         minInstancesPerNode=min_leaf,
         featureSubsetStrategy="all",
         seed=seed,
+        **NODE_CACHE,
     )
 
     if data.select("fold").distinct().count() < 2:

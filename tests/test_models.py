@@ -347,3 +347,17 @@ def test_sample_is_reproducible(spark):
     assert a == b and len(a) == 100
     copies = spark.range(50).select(F.lit(1).alias("x"))
     assert hash_sample(copies, 10).count() == 10
+
+
+def test_rows_of_a_fit_are_dealt_to_several_tasks(spark):
+    """Few bytes, many rows: one stored file would be one task, whatever the number of cores."""
+    rows = spark.range(0, 4 * forest.ROWS_OF_A_TASK, 1, 1).select(
+        F.col("id"), (F.col("id") % 997).alias("user"), (F.col("id") % 13).cast("double").alias("x"),
+        (F.col("id") % 3).cast("double").alias("y"),
+    )
+    data = forest.folded(rows, ["x"], F.col("y"), "user", 5, ["id"])
+    sizes = [r.n for r in data.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 2 and sum(sizes) == 4 * forest.ROWS_OF_A_TASK and max(sizes) <= sum(sizes) / 2
+    assert data.agg(F.count_distinct("id")).first()[0] == sum(sizes)
+    few = forest.folded(rows.where(F.col("id") < forest.ROWS_OF_A_TASK), ["x"], F.col("y"), "user", 5)
+    assert few.select(F.spark_partition_id()).distinct().count() == 1
