@@ -24,7 +24,7 @@ from panelsift.llm.common import map_texts, texts_of
 
 #: Characters fed at a time; a whole text is never one lattice.
 BLOCK = 1 << 14
-MAX_WORDS = 150_000
+MAX_WORDS = 600_000
 #: Columns kept; beyond it they are worked out anew.
 MAX_COLUMNS = 100_000
 #: Longer words are not remembered.

@@ -224,3 +224,11 @@ def test_toxicity_voters_of_both_polarities():
     assert weight[toxicity.NONE] < 0 < min(weight["#two"], weight["idiot"])
     assert model.score(calm) < 0.3 and model.score("") < 0.3 and model.score(rude) >= toxicity.THRESHOLD
     assert model.score((calm + " ") * 100_000 + rude) >= toxicity.THRESHOLD
+
+
+def test_as_many_words_are_remembered_as_real_text_has():
+    encoder = viterbi.Encoder(pieces.load(MODEL))
+    words = [f"w{i:x}" for i in range(160_000)]
+    first = encoder.encode(" ".join(words))
+    assert all(w in encoder.items for w in (" " + words[1], " " + words[-2]))
+    assert np.array_equal(encoder.encode(" ".join(words[:2])), first[: len(encoder.encode(" ".join(words[:2])))])
