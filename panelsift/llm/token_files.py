@@ -14,6 +14,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -133,6 +134,8 @@ class FileReader:
 
 #: A blank between two white-space characters, where cutting would change the pieces.
 INNER_BLANK = re.compile(r"\s (?:\s|$)")
+#: Words that make no such blank beside each other.
+JOINED = re.compile(r"\S(?:[^ ]*\S)?")
 #: Texts without such blanks are cut before each blank: a piece never spans that place.
 MAX_SEGMENTS = 700_000
 
@@ -145,35 +148,51 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # segments by what follows their blank; texts' beginnings and whole texts are not kept
         self.known: dict[str, bytes] = {}
         self.end = struct.pack("<I", end_id)
+        vocabulary = self.library.get_vocab()
+        #: Whether an id's piece begins with a blank, which the byte alphabet writes as this letter.
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        joined = [w for w in new if JOINED.fullmatch(w)]
+        if joined:  # one text of them all: each one's ids begin with a piece that has its blank
+            (found,) = self._ids(["".join([" " + w for w in joined])])
+            cuts = (4 * np.nonzero(self.opens[np.frombuffer(found, np.uint32)])[0]).tolist()
+            known.update(zip(joined, [found[x:y] for x, y in zip(cuts, [*cuts[1:], len(found)])], strict=True))
+            new = [w for w in new if w not in known]
+        known.update(zip(new, self._ids([" " + w for w in new])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
         known = self.known
         if len(known) > MAX_SEGMENTS:
             known.clear()
-        parts: list[list[str]] = []
+        heads, tails = [], []
         for t in texts:
-            if not t:
-                parts.append([])
-            elif INNER_BLANK.search(t):
-                parts.append([t])
+            if INNER_BLANK.search(t):
+                heads.append(t)
+                tails.append([])
             else:
-                first, *rest = t.split(" ")
-                parts.append(([first] if first else []) + [" " + x for x in rest])
-        new = list({s for p in parts for s in p if s not in known})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            known.update(zip(some, self._ids(some)))
-        out = [b"".join([known[s] for s in p]) + self.end for p in parts]
-        for p in parts:
-            if len(p) == 1 and len(p[0]) > 200:
-                known.pop(p[0], None)  # a whole text is not worth remembering
+                words = t.split(" ")
+                heads.append(words[0])
+                tails.append(words[1:])
+        firsts = self._ids(heads)
+        out, get = [], known.get
+        for first, words in zip(firsts, tails):
+            found = list(map(get, words))
+            if None in found:
+                self._learn([w for w, ids in zip(words, found) if ids is None])
+                found = map(get, words)
+            out.append(b"".join([first, *found, self.end]))
         return out
 
 

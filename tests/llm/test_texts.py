@@ -232,3 +232,18 @@ def test_as_many_words_are_remembered_as_real_text_has():
     first = encoder.encode(" ".join(words))
     assert all(w in encoder.items for w in (" " + words[1], " " + words[-2]))
     assert np.array_equal(encoder.encode(" ".join(words[:2])), first[: len(encoder.encode(" ".join(words[:2])))])
+
+
+def test_new_words_of_a_text_are_encoded_in_one_go():
+    encoder, library = token_files.SegmentEncoder(BYTES, 0), Tokenizer.from_file(BYTES)
+    given, plain = [], encoder._ids
+
+    def counting(some):
+        given.extend(some)
+        return plain(some)
+
+    encoder._ids = counting
+    text = "first " + " ".join(f"wörd{i}, x{i}é" for i in range(500)) + " a\n b <|endoftext|> Ġ Ġx 'll \x1c y"
+    (ids,) = encoder.encode([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+    assert len(given) < 10  # the beginning, the joined words and what may not be joined
