@@ -16,8 +16,8 @@ BLANK = "▁"
 #: Stands for a character that has no piece and is written as its UTF-8 bytes.
 UNKNOWN = -1
 START = -2
-#: Remembered neighbour tests of a process.
-MAX_PAIRS = 250_000
+NEVER = float("inf")
+Edge = list[tuple[str, float]]
 
 
 class PieceModel:
@@ -62,12 +62,17 @@ class PieceModel:
                 at = nxt
             if self.merge(piece) == [piece]:
                 self.ends[at] = i
-        self.pairs: dict[int, bool] = {}
+        self.tails: dict[int, Edge | None] = {}
+        self.heads: dict[int, Edge | None] = {}
         self.blanks = lru_cache(maxsize=4096)(self._blanks)
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a string by the merge rule itself: best score first, then leftmost."""
+    def merge(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """Pieces of a string by the merge rule itself: best score first, then leftmost.
+
+        ``steps`` gets each merge's score and the first and last part behind it.
+        """
         parts: list[str] = list(text)
+        last = len(parts) - 1
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, int, str]] = []
@@ -81,7 +86,7 @@ class PieceModel:
         for i in range(len(parts) - 1):
             offer(i, i + 1)
         while queue:
-            _, i, j, whole = heapq.heappop(queue)
+            cost, i, j, whole = heapq.heappop(queue)
             if not parts[i] or not parts[j] or parts[i] + parts[j] != whole or after[i] != j:
                 continue
             parts[i], parts[j] = whole, ""
@@ -89,22 +94,55 @@ class PieceModel:
             if after[i] < len(parts):
                 before[after[i]] = i
                 offer(i, after[i])
+            else:
+                last = i
             if before[i] >= 0:
                 offer(before[i], i)
+            if steps is not None:
+                steps.append((-cost, parts[0], parts[last]))
         return [p for p in parts if p]
 
+    def _edge(self, piece: int, last: bool) -> Edge | None:
+        """First or last part of a piece while it is merged, each with the score below which it stays.
+
+        None for a piece that does not merge to itself.
+        """
+        text, steps, edge = self.text[piece], [], []
+        if self.merge(text, steps) != [text]:
+            return None
+        part, low = text[-1 if last else 0], NEVER
+        for score, *ends in steps:
+            low = min(low, score)
+            if ends[last] != part:
+                edge.append((part, low))
+                part, low = ends[last], NEVER
+        return [*edge, (part, -NEVER)]
+
     def apart(self, left: int, right: int) -> bool:
-        """Whether two pieces stay two when merged alone."""
+        """Whether two pieces stay two when merged alone.
+
+        Up to a merge over the place where they meet, each is merged as if alone. So only the
+        parts beside that place are followed: such a merge comes if it is due before either changes.
+        """
         if left < 0:
             return True
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > MAX_PAIRS:
-                self.pairs.clear()
-            a, b = self.text[left], self.text[right]
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
-        return known
+        a = self.tails.get(left) or self.tails.setdefault(left, self._edge(left, True))
+        b = self.heads.get(right) or self.heads.setdefault(right, self._edge(right, False))
+        if a is None or b is None:
+            x, y = self.text[left], self.text[right]
+            return self.merge(x + y) == [x, y]
+        score, i, j = self.score.get, 0, 0
+        while True:
+            (x, leave_x), (y, leave_y) = a[i], b[j]
+            over = score(x + y)
+            if over is not None and over > leave_x and over >= leave_y:  # of equals the leftmost is first
+                return False
+            if leave_x >= leave_y:
+                if leave_x == -NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _blanks(self, n: int) -> tuple[int, ...]:
         """Pieces of a run of blanks alone."""

@@ -24,9 +24,9 @@ from panelsift.llm.common import map_texts, texts_of
 
 #: Characters fed at a time; a whole text is never one lattice.
 BLOCK = 1 << 14
-MAX_WORDS = 600_000
-#: Columns kept; beyond it they are worked out anew.
-MAX_COLUMNS = 100_000
+MAX_WORDS = 300_000
+#: Remembered neighbour tests of a process.
+MAX_PAIRS = 250_000
 #: Longer words are not remembered.
 WORD_CHARS = 48
 
@@ -133,46 +133,77 @@ class LongWord:
         return self._lead(self.lattice.finish())
 
 
-class Columns:
-    """Columns of the lattice, numbered and kept with what follows them.
+class Walker:
+    """Lattice of a word that fits the window, by the trie's suffix links.
 
-    A column holds the live edges at a position: trie node, characters since the edge
-    started, piece before it. What a character leads to depends on the column alone, so
-    it is worked out once: the next column, and the surviving piece with its length.
+    At each character the node of the longest piece prefix that ends there is kept; the
+    pieces that end there hang on it and on its suffixes. The longest one that stays apart
+    from the piece before it survives. Its tables are as large as the vocabulary.
     """
 
     def __init__(self, model: pieces.PieceModel):
         self.model = model
-        self.number: dict[tuple, int] = {}
-        self.live: list[tuple] = []
-        self.after: list[dict[str, tuple[int, int, int]]] = []
-        self._column(((0, 0, pieces.START),))
-
-    def _column(self, live: tuple) -> int:
-        n = self.number.get(live)
-        if n is None:
-            n = self.number[live] = len(self.live)
-            self.live.append(live)
-            self.after.append({})
-        return n
-
-    def step(self, at: int, c: str) -> tuple[int, int, int]:
-        model, live, best = self.model, [], None
-        kids, ends = model.kids, model.ends
-        if c in kids[0]:
-            for node, length, before in self.live[at]:
-                nxt = kids[node].get(c)
-                if nxt is None:
-                    continue
-                if kids[nxt]:
-                    live.append((nxt, length + 1, before))
-                if best is None and nxt in ends and model.apart(before, ends[nxt]):
-                    best = length + 1, ends[nxt]
-        else:
-            best = 1, pieces.UNKNOWN
-        length, piece = best
-        found = self.after[at][c] = (self._column((*live, (0, 0, piece))), length, piece)
-        return found
+        ends, root = model.ends, model.kids[0]
+        # a character without a piece breaks the lattice
+        self.kids = kids = [k if k.keys() <= root.keys() else {c: n for c, n in k.items() if c in root} for k in model.kids]
+        self.suffix = suffix = [0] * len(kids)
+        #: Pieces that end at a node, longest first: (length, piece); and the shortest of them.
+        found: list[tuple[tuple[int, int], ...]] = [()] * len(kids)
+        level, depth = [(node, 0) for node in root.values()], 1
+        while level:
+            below = []
+            for node, link in level:
+                suffix[node] = link
+                found[node] = (((depth, ends[node]),) if node in ends else ()) + found[link]
+                for c, kid in kids[node].items():
+                    at = link
+                    while at and c not in kids[at]:
+                        at = suffix[at]
+                    below.append((kid, kids[at].get(c, 0)))
+            level, depth = below, depth + 1
+        self.longer = [x[:-1] for x in found]
+        self.shortest = [x[-1] if x else (0, pieces.START) for x in found]
+        self.pairs: dict[int, bool] = {}
+
+    def ids(self, word: str) -> list[int]:
+        kids, suffix, longer, shortest, pairs = self.kids, self.suffix, self.longer, self.shortest, self.pairs
+        if len(pairs) > MAX_PAIRS:
+            pairs.clear()
+        back = [(0, pieces.START)]  # by position: the last piece and its length
+        at = end = 0
+        for c in word:
+            end += 1
+            step = kids[at].get(c)
+            while step is None and at:
+                at = suffix[at]
+                step = kids[at].get(c)
+            if step is None:
+                back.append((1, pieces.UNKNOWN))
+                continue
+            at = step
+            for best in longer[at]:
+                before = back[end - best[0]][1]
+                if before < 0:
+                    break
+                key = before << 32 | best[1]
+                apart = pairs.get(key)
+                if apart is None:
+                    apart = pairs[key] = self.model.apart(before, best[1])
+                if apart:
+                    break
+            else:  # one survives, so it needs no test
+                best = shortest[at]
+            back.append(best)
+        out = []
+        while end:
+            length, piece = back[end]
+            if piece == pieces.UNKNOWN:
+                out += [self.model.byte_id[b] for b in reversed(word[end - 1].encode())]
+            else:
+                out.append(piece)
+            end -= length
+        out.reverse()
+        return out
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -189,13 +220,14 @@ class Encoder:
     def __init__(self, model: pieces.PieceModel):
         self.model = model
         self.items: dict[str, bytes] = {}
-        self.columns = Columns(model)
+        self.walker = Walker(model)
 
     def _encode(self, item: str) -> bytes:
         if item[-1] == " ":
             ids = packed(self.model.blanks(len(item)))
         elif len(item) <= WORD_CHARS:
-            ids = packed(self._short(item))
+            word = item.lstrip(" ")
+            ids = packed(lead(self.model, len(item) - len(word), self.walker.ids(pieces.BLANK + word)))
         else:
             long = LongWord(self.model, item)
             ids = packed(long.ids + long.finish())
@@ -205,29 +237,6 @@ class Encoder:
             self.items[item] = ids
         return ids
 
-    def _short(self, item: str) -> list[int]:
-        """A word that fits the window: one column per character, then back from the end."""
-        model, word = self.model, item.lstrip(" ")
-        columns = self.columns
-        if len(columns.live) > MAX_COLUMNS:
-            columns = self.columns = Columns(model)
-        after, at = columns.after, 0
-        path = []
-        for c in pieces.BLANK + word:
-            step = after[at].get(c) or columns.step(at, c)
-            at = step[0]
-            path.append(step)
-        ids, end = [], len(path)
-        while end:
-            _, length, piece = path[end - 1]
-            if piece == pieces.UNKNOWN:
-                ids += [model.byte_id[b] for b in reversed((pieces.BLANK + word)[end - 1].encode())]
-            else:
-                ids.append(piece)
-            end -= length
-        ids.reverse()
-        return lead(model, len(item) - len(word), ids)
-
     def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """Ids of the joined blocks, 32 bits each, given out as they become final.
 

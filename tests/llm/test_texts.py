@@ -234,6 +234,26 @@ def test_as_many_words_are_remembered_as_real_text_has():
     assert np.array_equal(encoder.encode(" ".join(words[:2])), first[: len(encoder.encode(" ".join(words[:2])))])
 
 
+def test_neighbours_are_judged_without_merging_each_pair(monkeypatch):
+    model = pieces.PieceModel(MODEL)
+    some = random.Random(4).sample(sorted(model.ends.values()), 150) + [model.id[x] for x in ("e", "t", "th", "he", "▁the")]
+    plain = {(a, b): model.merge(model.text[a] + model.text[b]) == [model.text[a], model.text[b]] for a in some for b in some}
+    merged, merge = [], model.merge
+    monkeypatch.setattr(model, "merge", lambda *a: merged.append(1) or merge(*a))
+    assert {(a, b): model.apart(a, b) for a in some for b in some} == plain
+    assert set(plain.values()) == {True, False} and len(merged) <= 2 * len(some)
+
+
+def test_a_walk_keeps_nothing_of_a_word_but_neighbours():
+    walker = viterbi.Walker(pieces.load(MODEL))
+    whole = (len(walker.kids), len(walker.longer))
+    rnd = random.Random(6)
+    words = ["▁" + "".join(rnd.choice("étsanrio.,\n日😀") for _ in range(12)) for _ in range(500)]
+    lattice = [viterbi.StreamingViterbi(walker.model) for _ in words]
+    assert [walker.ids(w) for w in words] == [x.feed(w) + x.finish() for x, w in zip(lattice, words, strict=True)]
+    assert (len(walker.kids), len(walker.longer)) == whole
+
+
 def test_new_words_of_a_text_are_encoded_in_one_go():
     encoder, library = token_files.SegmentEncoder(BYTES, 0), Tokenizer.from_file(BYTES)
     given, plain = [], encoder._ids
