@@ -394,10 +394,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(live: DataFrame, sketches: DataFrame, forest: bool = False) -> DataFrame:
-    """Plausible pairs of classes in one bucket but different components.
+    """Plausible pairs (a, b) of classes in one bucket (sig) but different components.
 
     All of them, or of each block a ``forest``: pairs that join all that its plausible
-    pairs join, fewer than it has rows. Rows of the component that most of a bucket belongs to meet only the others. A bucket
+    pairs join, fewer than it has rows. A bucket that has any is named at least once. Rows of the component that most of a bucket belongs to meet only the others. A bucket
     of more than BLOCK_ROWS rows is dealt into blocks that meet pairwise in tasks of their own.
     Buckets with the same least class, mostly of one passage, go to the same few tasks,
     which give each pair they remember once.
@@ -463,15 +463,17 @@ def across(live: DataFrame, sketches: DataFrame, forest: bool = False) -> DataFr
 
         def fresh() -> Iterator[pa.RecordBatch]:
             out = pairs(pa.Table.from_batches(held)) if held else None
-            if out is None:
+            if out is None or not out.num_rows:
                 return
             keys = list(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
             new = [k not in seen for k in keys]
+            new[0] = True  # names the bucket
             if len(seen) + len(keys) > REMEMBERED_PAIRS:  # forgotten pairs are given again
                 seen.clear()
             seen.update(keys)
-            if any(new):
-                yield out.filter(pa.array(new))
+            out = out.filter(pa.array(new))
+            sig = pa.array(np.full(out.num_rows, last[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*out.columns, sig], ["a", "b", "sig"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -487,7 +489,7 @@ def across(live: DataFrame, sketches: DataFrame, forest: bool = False) -> DataFr
                 held.append(batch.slice(a, b - a))
         yield from fresh()
 
-    return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "sig", "i", "j").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "sig", "i", "j").mapInArrow(run, "a bigint, b bigint, sig bigint")
 
 
 def link_classes(
@@ -498,7 +500,8 @@ def link_classes(
     Every member of a bucket meets the bucket's least; where large buckets still hold
     several components, members meet a few more pivots. What is left in one bucket but in
     different components first meets along a forest of plausible pairs, whose links join
-    most of it, and then in full. ``fetch`` gives the sets of the classes named; only
+    most of it, and then in full, unless the forest's search found that the bucket has no
+    plausible pair at all. ``fetch`` gives the sets of the classes named; only
     those of plausible pairs are asked for.
     """
     links = comps = None
@@ -511,13 +514,18 @@ def link_classes(
         links = new if links is None else links.unionByName(new)
         comps = stored(components(links), "components")
 
+    def named_now(live: DataFrame) -> DataFrame:
+        """Rows of buckets with the components so far."""
+        known = live.drop("comp").join(comps, "cls", "left")
+        return known.withColumn("comp", F.coalesce("comp", "cls"))
+
     def mixed(live: DataFrame) -> DataFrame:
         """Rows of buckets with several components, of three classes or more: pairs have met.
 
         A passage that many texts share makes many buckets of the very same classes; one of
         them is enough. Buckets are the same if two sums over their classes' hashes are.
         """
-        named = live.select("sig", "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        named = named_now(live.select("sig", "cls"))
         several = named.groupBy("sig").agg(
             F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"),
             F.bit_xor(F.xxhash64("cls")).alias("f"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("g"),
@@ -536,12 +544,14 @@ def link_classes(
     large = live.where(F.col("size") > LARGE)
     if not large.isEmpty():
         add(plausible(pivots(large, PIVOTS), sketches))
-        live = mixed(live)
-    if not live.isEmpty():
-        add(across(live, sketches, forest=True))
-        live = mixed(live)
+        live = mixed(large).unionByName(named_now(live.where(F.col("size") <= LARGE)))
     if not live.isEmpty():
-        add(across(live, sketches))
+        tried = stored(across(live, sketches, forest=True), "forest")
+        if not tried.isEmpty():
+            add(tried.select("a", "b").distinct())
+            live = mixed(live.join(tried.select("sig").distinct(), "sig", "left_semi"))
+            if not live.isEmpty():
+                add(across(live, sketches).select("a", "b").distinct())
     return links, comps
 
 

@@ -89,3 +89,25 @@ def test_links_of_a_group_are_found_from_any_start(spark):
     for r in jaccard.components(links).distinct().collect():
         got[r.comp].add(r.cls)
     assert got == {1: set(range(1, 31)), 100: {100, 101}}
+
+
+def test_buckets_without_a_plausible_pair_are_searched_once(spark, frame, monkeypatch):
+    # texts that share a passage and nothing else, beside a group that links
+    rnd = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [f"{passage} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(25)) for _ in range(30)]
+    base = [f"b{i}" for i in range(200)]
+    rows += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 200, 20)]
+    rows = list(enumerate(rows))
+    searched, plain = [], jaccard.across
+
+    def counting(live, sketches, forest=False):
+        searched.append((forest, live.count()))
+        return plain(live, sketches, forest)
+
+    monkeypatch.setattr(jaccard, "across", counting)
+    monkeypatch.setattr(jaccard, "COMMON_IN", 10**9)
+    found = {tuple(r) for r in jaccard.groups(frame("doc_id bigint, text string", rows)).collect()}
+    assert found == brute_force(rows)
+    assert searched[0][0] and searched[0][1] > 30
+    assert sum(n for forest, n in searched if not forest) < searched[0][1] // 4
