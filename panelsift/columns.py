@@ -37,6 +37,11 @@ def exclude(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[c(n) for n in df.columns if n not in unwanted])
 
 
+def placed_last(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same columns, the named ones behind the others."""
+    return df.select(*[c(n) for n in df.columns if n not in names], *[c(n) for n in names])
+
+
 def drop_duplicate_columns(df: DataFrame, keep: str = "first") -> DataFrame:
     """Keep one column per name when a join left several of the same name."""
     if keep not in ("first", "last"):

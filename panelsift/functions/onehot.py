@@ -20,22 +20,23 @@ def _as_text(column: Column, kind: T.DataType) -> Column:
     return F.initcap(text) if isinstance(kind, T.BooleanType) else text
 
 
-def _categories(df: DataFrame, name: str, as_string: bool) -> Column:
-    """Array with the category texts of one row, repeated values included."""
+def _category(df: DataFrame, name: str, as_string: bool, value: Column | None = None) -> Column:
+    """Category text of a scalar column, or of one value of a list column; null for none."""
     kind = df.schema[name].dataType
-    listed = isinstance(kind, T.ArrayType)
-    element = kind.elementType if listed else kind
+    element = kind.elementType if isinstance(kind, T.ArrayType) else kind
     if not as_string and not isinstance(element, T.StringType):
         raise TypeError(f"{name!r} is not text; encode it with as_string=True")
+    # plain encoding has no category for a missing value
+    trimmed = strip(_as_text(c(name) if value is None else value, element))
+    return F.coalesce(trimmed, F.lit(MISSING)) if as_string else trimmed
 
-    def text(x: Column) -> Column:
-        # plain encoding has no category for a missing value
-        trimmed = strip(_as_text(x, element))
-        return F.coalesce(trimmed, F.lit(MISSING)) if as_string else trimmed
 
-    if not listed:
-        return F.array_compact(F.array(text(c(name))))
-    values = F.array_compact(F.transform(c(name), text))
+def _categories(df: DataFrame, name: str, as_string: bool) -> Column:
+    """Array with the category texts of one row, repeated values included."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.ArrayType):
+        return F.array_compact(F.array(_category(df, name, as_string)))
+    values = F.array_compact(F.transform(c(name), lambda x: _category(df, name, as_string, x)))
     if not as_string:
         return F.coalesce(values, F.array().cast("array<string>"))
     lone = F.array(F.lit(MISSING))
@@ -73,13 +74,19 @@ def one_hot_entries(df: DataFrame, columns: Mapping[str, bool], name: str = "enc
 def vocabulary(df: DataFrame, columns: Mapping[str, bool]) -> DataFrame:
     """(column, category, rows): all categories of several columns, in how many rows."""
 
-    def named(column: str, as_string: bool) -> Column:
-        return F.transform(
-            F.array_distinct(_categories(df, column, as_string)),
-            lambda v: F.struct(F.lit(column).alias("column"), v.alias("category")),
-        )
+    def entry(column: str, category: Column) -> Column:
+        return F.struct(F.lit(column).alias("column"), category.alias("category"))
 
-    return df.select(F.inline(F.concat(*[named(n, s) for n, s in columns.items()]))).groupBy("column", "category").agg(F.count(F.lit(1)).alias("rows"))
+    def named(column: str, as_string: bool) -> Column:
+        return F.transform(F.array_distinct(_categories(df, column, as_string)), lambda v: entry(column, v))
+
+    listed = {n for n in columns if isinstance(df.schema[n].dataType, T.ArrayType)}
+    # one category at most, which takes no function over an array
+    single = [entry(n, _category(df, n, s)) for n, s in columns.items() if n not in listed]
+    entries = [F.array(*single)] if single else []
+    entries += [named(n, s) for n, s in columns.items() if n in listed]
+    met = df.select(F.inline(F.concat(*entries))).where("category IS NOT NULL")
+    return met.groupBy("column", "category").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def vocabularies(df: DataFrame, columns: Mapping[str, bool]) -> dict[str, list[str]]:

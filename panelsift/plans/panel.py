@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelsift import config
-from panelsift.columns import c, drop_duplicate_columns, exclude, existing, starting_with
+from panelsift.columns import c, drop_duplicate_columns, exclude, existing, placed_last, starting_with
 from panelsift.functions import bins, device, onehot, sparse, speed, temporal
 from panelsift.models.compare import ModelResults, run_all_models
 from panelsift.operators import aggregates, joins, profile, select, windows
@@ -132,7 +132,8 @@ def engineer_features(
     made from them. Two small jobs run on the way: the time quantiles and the categories
     of the code lists, which become a column each. Categories of ``open_vocabulary``
     columns become entries of the column ``sparse_features``; see
-    :mod:`panelsift.functions.sparse`.
+    :mod:`panelsift.functions.sparse`. What takes a join or another pass is stored; features
+    of a single row are made when they are read, and only those that are.
     """
     df = exclude(df, drop_from_load)
     original = set(df.columns)
@@ -140,14 +141,20 @@ def engineer_features(
     hot = find_hot_keys(df, ["respondentPk"])
     df = profile.winsorise_upper(df, "task_time_taken_s", 0.95)
     df = speed.create_task_speed_features(df, group_by_col=speed_group)
+    facts = {"first_task_created": F.min("date_created")}
+    if have("request-remote-addr"):
+        facts["ip_address_count"] = F.count_distinct(c("request-remote-addr"))
+    df = attach_per_key(df, ["respondentPk"], *[f.alias(n) for n, f in facts.items()], hot=hot)
+    devices = have("ditr_hardware") and have("ditr_manufacturer")
+    if devices:
+        df = device.add_device_categories(df)
+    # the joins and the long rules are done once; what follows looks at one row, where it is read
+    df = materialise(df)
     df = temporal.create_all_temporal_features(df)
     for score in ("quality", "risk"):
         if have(score):
             df = bins.create_score_features(df, score)
-    facts = [F.min("date_created").alias("first_task_created")]
-    if have("request-remote-addr"):
-        facts.append(F.count_distinct(c("request-remote-addr")).alias("ip_address_count"))
-    df = attach_per_key(df, ["respondentPk"], *facts, hot=hot)
+    df = placed_last(df, [*facts])
     days = windows.whole_days(F.col("date_completed"), F.col("first_task_created"))
     df = df.withColumn("days_active_before_task", days)
     df, _ = bins.create_binned_features(
@@ -159,15 +166,13 @@ def engineer_features(
             df = onehot.map_values(df, code, labels, f"{code}_mapped")
     if have("task_completed"):
         df, _ = bins.create_task_amount_features(df, "task_completed")
-    if have("ditr_hardware") and have("ditr_manufacturer"):
-        df = device.add_device_categories(df)
+    if devices:
+        df = placed_last(df, ["hardware_category", "manufacturer_category"])
     for score in ("risk", "quality"):
         if have(score):
             df = df.withColumn(f"{score}_round10", bins.round_to_tens(score))
     mapped = [f"{code}_mapped" for code in PROFILE_LABELS if have(code)]
     encoded = existing(df, [*ENCODED_COLUMNS, *mapped])
-    # found once for all columns from a written table, not by repeating the joins
-    df = materialise(df)
     text = {*TEXT_COLUMNS, *mapped}
     listed = [n for n in encoded if n in set(open_vocabulary)]
     df = onehot.batch_one_hot_encode(df, [n for n in encoded if n not in listed], sorted(text))

@@ -11,6 +11,7 @@ from panelsift import config
 from panelsift.columns import c, drop_duplicate_columns
 from panelsift.functions import bins, device, income, onehot, speed, temporal
 from panelsift.operators import select, windows
+from panelsift.plans import panel
 from tests.conftest import values
 
 HARDWARE = {
@@ -172,6 +173,37 @@ def test_sparse_entries_are_the_flags_that_are_set(frame):
     assert words == {("g", "x"): 1, ("g", "y"): 1, ("g", onehot.MISSING): 2}
 
 
+def test_categories_of_scalars_take_no_function_over_arrays(frame, capsys):
+    df = frame("a string, n int, g array<string>", [(" x ", 1, ["p", "p"]), (None, None, None), ("x", 1, ["p", "q"])])
+    words = onehot.vocabulary(df, {"a": False, "n": True, "g": False})
+    assert values(words, "column", "category", "rows") == [
+        ("a", "x", 2), ("g", "p", 2), ("g", "q", 1), ("n", "1", 2), ("n", onehot.MISSING, 1)
+    ]
+    onehot.vocabulary(df.drop("g"), {"a": False, "n": True}).explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
+def test_features_of_one_row_are_made_where_they_are_read(frame, monkeypatch):
+    written = []
+    store = panel.materialise
+    monkeypatch.setattr(panel, "materialise", lambda df: written.append(df.columns) or store(df))
+    day = datetime(2025, 6, 2, 23, 30)
+    df = frame(
+        "respondentPk int, date_completed timestamp, date_created timestamp, task_time_taken_s bigint, quality double, "
+        "ditr_hardware string, ditr_manufacturer string, gender string, task_completed bigint, wonky_study_count int",
+        [(i % 2, day, day, 10 + i, 10.0 * i, "qcom", "apple", None if i else "female", i, 1) for i in range(12)],
+    )
+    made = panel.engineer_features(df)
+    assert len(written) == 1 and {"is_fast", "first_task_created", "hardware_category"} <= set(written[0])
+    flags = ["is_night", "is_hour_23", "quality<90", "days_active_0_to_2", "total_tasks_1_10", "quality_round10"]
+    assert not set(flags) & set(written[0])
+    order = ["is_fast", "is_night", "quality<90", "first_task_created", "days_active_before_task", "total_tasks_1_10",
+             "hardware_category", "manufacturer_category", "quality_round10", "hardware_category_qualcomm", "gender_female"]
+    assert [n for n in made.columns if n in order] == order
+    sums = made.agg(*[F.sum(c(n)).alias(n) for n in (*flags[:5], "gender_female")]).first()
+    assert tuple(sums) == (12, 12, 9, 12, 11, 1)
+
+
 def test_one_hot_other_types_need_text(frame):
     df = frame("i int, b boolean, n int", [(1, True, 5), (2, False, None)])
     with pytest.raises(TypeError):
