@@ -132,68 +132,158 @@ class FileReader:
         return [ids for _, ids in self.documents(np.nonzero((self.keys == key) & ~self.null)[0].tolist())]
 
 
-#: A blank between two white-space characters, where cutting would change the pieces.
-INNER_BLANK = re.compile(r"\s (?:\s|$)")
-#: Words that make no such blank beside each other.
-JOINED = re.compile(r"\S(?:[^ ]*\S)?")
-#: Texts without such blanks are cut before each blank: a piece never spans that place.
-MAX_SEGMENTS = 700_000
+#: Segments that make no further blank beside each other, each beginning with its own.
+BLANK_FIRST = re.compile(r" \S(?:[^ ]*\S)?")
+#: Segments that a line end on either side leaves as they are.
+NO_BLANK = re.compile(r"\S+")
+#: Most segments remembered, and most characters of one.
+MAX_SEGMENTS, LONG_SEGMENT = 700_000, 64
+#: New segments that are given to the library as one text.
+JOINED_SEGMENTS = 200
+#: Characters beside which texts are cut; an added token that holds one forbids cuts.
+CUT = re.compile(r"[ \n,.;:!?]")
+
+
+def _table(some: bytes) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(some)] = True
+    return found
+
+
+CUTS = _table(b" \n,.;:!?")
+SPACE = _table(b" \n")
+VISIBLE = _table(bytes(range(0x21, 0x7F)))
+#: First bytes of visible characters; U+00C0 to U+07FF holds no white space.
+VISIBLE_FIRST = _table(bytes([*range(0x21, 0x7F), *range(0xC3, 0xE0)]))
+ALNUM = _table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+def segment_starts(data: np.ndarray, ends: np.ndarray, first: np.ndarray = VISIBLE_FIRST) -> np.ndarray:
+    """Per byte of UTF-8 texts with these ends, whether a segment starts there.
+
+    No piece of the byte-level pattern spans the place before a blank or line end with a visible
+    character on either side, the place behind a line end with one behind it, or that before a
+    mark that follows a letter or digit. What is left of such a place has the same pieces alone,
+    and so has what is right of it. Every text starts a segment, too. ``first``: the bytes that
+    say that white space is followed by a visible character; not those that begin an added token,
+    which ends what the pattern sees.
+    """
+    found = np.nonzero(CUTS[data[1:]])[0] + 1
+    here, z = data[found], data[found - 1]
+    space = SPACE[here]
+    opens = np.where(space, VISIBLE[z], ALNUM[z])
+    many = np.nonzero(z >= 0x80)[0]  # behind a character of several bytes
+    at, z = found[many], z[many]
+    y, x = data[at - 2] * (at > 1), data[at - 3] * (at > 2)
+    blank = (y == 0xC2) & ((z == 0x85) | (z == 0xA0))
+    blank |= (x == 0xE1) & (y == 0x9A) & (z == 0x80)
+    blank |= (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+    blank |= (x == 0xE2) & (y == 0x81) & (z == 0x9F)
+    blank |= (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    letter = (y == 0xC3) & (z != 0x97) & (z != 0xB7)  # all but the signs of times and division
+    opens[many] = np.where(space[many], ~blank, letter)
+    starts = np.zeros(len(data) + 1, bool)
+    starts[ends] = True
+    behind = found[space] + 1
+    behind = behind[~starts[behind]]  # not those that end a text
+    behind = behind[first[data[behind]]]
+    starts[found[opens]] = True
+    starts[behind - 1] = True
+    starts[behind[data[behind - 1] == 0x0A]] = True
+    starts[0] = True
+    return starts[:-1]
 
 
 class SegmentEncoder:
-    """The tokenizers library over distinct segments of many texts, remembered in bounds."""
+    """The tokenizers library over distinct segments of many texts, remembered in bounds.
+
+    Texts are cut where no piece can span (``segment_starts``). That holds for the byte-level
+    pattern; with another tokenizer every text is one segment.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # segments by what follows their blank; texts' beginnings and whole texts are not kept
         self.known: dict[str, bytes] = {}
         self.end = struct.pack("<I", end_id)
-        vocabulary = self.library.get_vocab()
+        largest = max(self.library.get_vocab().values(), default=0)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
         #: Whether an id's piece begins with a blank, which the byte alphabet writes as this letter.
-        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens = np.zeros(largest + 1, bool)
         self.opens[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        self.line_end = vocabulary.get("\u010a")
+        self.cuts = self.line_end is not None and self._byte_level()
+        self.first = VISIBLE_FIRST.copy()
+        self.first[[t.content.encode()[0] for t in self.library.get_added_tokens_decoder().values() if t.content]] = False
+
+    def _byte_level(self) -> bool:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        x = self.library
+        if not isinstance(x.pre_tokenizer, ByteLevel) or not x.pre_tokenizer.use_regex:
+            return False
+        added = x.get_added_tokens_decoder().values()
+        odd = any(t.lstrip or t.rstrip or t.single_word or t.normalized or CUT.search(t.content) for t in added)
+        return x.normalizer is None and not x.pre_tokenizer.add_prefix_space and not odd
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _learn(self, words: list[str]) -> None:
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        joined = [w for w in new if JOINED.fullmatch(w)]
-        if joined:  # one text of them all: each one's ids begin with a piece that has its blank
-            (found,) = self._ids(["".join([" " + w for w in joined])])
-            cuts = (4 * np.nonzero(self.opens[np.frombuffer(found, np.uint32)])[0]).tolist()
-            known.update(zip(joined, [found[x:y] for x, y in zip(cuts, [*cuts[1:], len(found)])], strict=True))
-            new = [w for w in new if w not in known]
-        known.update(zip(new, self._ids([" " + w for w in new])))
+    def _blank_first(self, some: list[str]) -> list[bytes]:
+        """Ids of each: in one text of them all, each one's begin with a piece that has its blank."""
+        (found,) = self._ids(["".join(some)])
+        cuts = (4 * np.nonzero(self.opens[np.frombuffer(found, np.uint32)])[0]).tolist()
+        return [found[x:y] for x, y in zip(cuts, [*cuts[1:], len(found)])]
+
+    def _no_blank(self, some: list[str]) -> list[bytes]:
+        """Ids of each: in one text of them all, a line end's id stands between two."""
+        (found,) = self._ids(["\n".join(some)])
+        cuts = (4 * np.nonzero(np.frombuffer(found, np.uint32) == self.line_end)[0]).tolist()
+        return [found[x:y] for x, y in zip([0, *[c + 4 for c in cuts]], [*cuts, len(found)], strict=True)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of segments that are not known; those that are not long are remembered."""
+        learned: dict[str, bytes] = {}
+        for like, ids_of in ((BLANK_FIRST, self._blank_first), (NO_BLANK, self._no_blank)) if self.cuts else ():
+            some = list(filter(like.fullmatch, new))
+            for k in range(0, len(some), JOINED_SEGMENTS):
+                part = some[k : k + JOINED_SEGMENTS]
+                found = ids_of(part)
+                if len(found) == len(part):  # else blanks or line ends are written otherwise
+                    learned.update(zip(part, found))
+        rest = [w for w in new if w not in learned]
+        learned.update(zip(rest, self._ids(rest), strict=True))
+        self.known.update({w: ids for w, ids in learned.items() if len(w) <= LONG_SEGMENT})
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
-        known = self.known
-        if len(known) > MAX_SEGMENTS:
-            known.clear()
-        heads, tails = [], []
-        for t in texts:
-            if INNER_BLANK.search(t):
-                heads.append(t)
-                tails.append([])
-            else:
-                words = t.split(" ")
-                heads.append(words[0])
-                tails.append(words[1:])
-        firsts = self._ids(heads)
-        out, get = [], known.get
-        for first, words in zip(firsts, tails):
-            found = list(map(get, words))
-            if None in found:
-                self._learn([w for w, ids in zip(words, found) if ids is None])
-                found = map(get, words)
-            out.append(b"".join([first, *found, self.end]))
-        return out
+        if len(self.known) > MAX_SEGMENTS:
+            self.known.clear()
+        coded = [t.encode() for t in texts]
+        data = b"".join(coded)
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        if not data:
+            return [self.end] * len(texts)
+        chars = np.frombuffer(data, np.uint8)
+        cuts = np.nonzero(segment_starts(chars, ends, self.first))[0] if self.cuts else np.unique(np.append(0, ends[:-1]))
+        starts = np.append(cuts[cuts < len(data)], len(data)).astype(np.int64)
+        segments = pa.Array.from_buffers(
+            pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]
+        ).dictionary_encode()
+        words = segments.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        if None in found:
+            learned = self._learn([w for w, ids in zip(words, found) if ids is None])
+            found = [learned[w] if ids is None else ids for w, ids in zip(words, found)]
+        every = pa.array(found, pa.large_binary()).take(segments.indices)
+        places = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1, 8 * every.offset)
+        last = places[np.searchsorted(starts, ends)].tolist()
+        ids = memoryview(every.buffers()[2])
+        return [bytes(ids[x:y]) + self.end for x, y in zip([0, *last], last)]
 
 
 @lru_cache(maxsize=2)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from panelsift.llm import decontaminate, language, pieces, pii, quality, sharding, shingles, token_counts, token_files, toxicity, viterbi
 
@@ -267,3 +268,31 @@ def test_new_words_of_a_text_are_encoded_in_one_go():
     (ids,) = encoder.encode([text])
     assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
     assert len(given) < 10  # the beginning, the joined words and what may not be joined
+
+
+def test_known_words_are_not_encoded_again_beside_marks_and_line_ends(monkeypatch):
+    encoder, library = token_files.SegmentEncoder(BYTES, 0), Tokenizer.from_file(BYTES)
+    words = [f"{a}{b}{c}" for a in ("Été", "the", "x1") for b in "abcdé" for c in "vwxyzß"]
+    encoder.encode(["\n".join(words), " ".join(words), ", ."])
+    given, plain = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda some: given.extend(some) or plain(some))
+    for text in (", ".join(words), ".\n".join(words), "   ".join(words), "\n\n".join(words)):
+        (ids,) = encoder.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [0]
+    assert sum(map(len, given)) < 10  # marks and blanks
+
+
+def test_cuts_beside_every_kind_of_white_space_and_letter():
+    odd = [*"abÉß×÷ªº09²'\n\n  ,.;:!?\t\r\0\x1c\x7f", *"\x85\xa0\u1680\u2000\u200a\u200b\u2028\u202f\u205f\u2060\u3000"]
+    odd += ["あ", "\u0301", "ж", "”", "…", "😀", "<|endoftext|>", "<|", "'ll", "Ġ", "Ċ"]
+    encoder, library = token_files.SegmentEncoder(BYTES, 0), Tokenizer.from_file(BYTES)
+    many = texts(3000, 8, odd) + [x + y + z for x in odd for y in (*" \n,", "  ", "\n\n", " \n") for z in odd]
+    for t, ids in zip(many, encoder.encode(many), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids + [0], t
+
+
+def test_a_tokenizer_whose_pieces_span_blanks_gets_whole_texts(tmp_path):
+    pairs = Tokenizer(BPE({"a": 0, " ": 1, "a ": 2, "a a": 3, ",": 4, "a,": 5, "\n": 6}, [("a", " "), ("a ", "a"), ("a", ",")]))
+    pairs.save(path := str(tmp_path / "pairs.json"))
+    encoder, many = token_files.SegmentEncoder(path, 9), ["a a", "a, a a\na", "", "a a a a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(many)] == [pairs.encode(t).ids + [9] for t in many]
