@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
-from panelsift.models.forest import NODE_CACHE, assembled, folded, spread
+from panelsift.models import cells as grown
+from panelsift.models.forest import NODE_CACHE, assembled, cells_of, fold_rows, spread, vectors
 from panelsift.models.logistic import area_under_roc, confusion
 from panelsift.models.prepare import holdout
 from panelsift.operators.ordered import quantiles, running_total
+from panelsift.operators.skew import lookup_join
 from panelsift.session import materialise
 
 
@@ -104,16 +106,28 @@ def cross_validate_detectors(
 ) -> DetectorChoice:
     """Fit each kind once per fold of whole users and choose a cut-off and a kind.
 
-    Folds are balanced. ``settings`` are those of :func:`train_detector`. The folds are
-    fitted as parallel jobs; a model is dropped once its fold is scored, and scores are
-    stored.
+    Folds are balanced. ``settings`` are those of :func:`train_detector`. Trees are grown on
+    counted cells of the rows and each row takes the score of its bins; where there are too
+    many cells, MLlib fits the rows. Scores are stored.
     """
-    spark = df.sparkSession
     label = F.when(F.coalesce(c(outcome) > 0, F.lit(False)), 1.0).otherwise(0.0)
-    data = folded(df, features, label, user, folds, carried)
-    present = sorted(r.fold for r in data.select("fold").distinct().collect())
-    if len(present) < 2:
+    rows = fold_rows(df, features, label, user, folds, carried)
+    if rows.select("fold").distinct().count() < 2:
         raise ValueError("complete rows of at least two users are needed")
+    learners = {kind: _learner(kind, **settings) for kind in kinds}
+    cells, binned = cells_of(rows, len(features))
+    if cells is None:
+        scores = _scores_by_rows(vectors(rows, len(features), carried), carried, learners)
+    else:
+        scores = _scores_by_cells(binned, cells, carried, learners)
+    curve = materialise(score_curve(scores, ["kind"]))
+    return DetectorChoice(scores, fold_metrics(scores), curve, choose_cut(curve, target_precision, target_recall))
+
+
+def _scores_by_rows(data: DataFrame, carried: Sequence[str], learners: dict[str, object]) -> DataFrame:
+    """Out-of-fold scores by MLlib; folds are fitted as parallel jobs, a scored model is dropped."""
+    spark = data.sparkSession
+    present = sorted(r.fold for r in data.select("fold").distinct().collect())
 
     def fit(job: tuple[str, int]) -> DataFrame:
         kind, fold = job
@@ -123,16 +137,52 @@ def cross_validate_detectors(
         if len(sides) < 2:  # nothing to tell apart: all rows score the one label there is
             scored = test.withColumn("score", F.lit(sides.pop()))
         else:
-            learner = _learner(kind, **settings)
-            model = learner.fit(_weighted(train) if kind == "random_forest" else train)
+            model = learners[kind].fit(_weighted(train) if kind == "random_forest" else train)
             scored = model.transform(test).withColumn("score", vector_to_array("probability")[1])
         return materialise(scored.select(F.lit(kind).alias("kind"), "fold", *[c(n) for n in carried], "label", "score"))
 
     with ThreadPool(PARALLEL_FITS) as pool:
-        parts = pool.map(inheritable_thread_target(spark)(fit), [(k, f) for k in kinds for f in present])
-    scores = reduce(DataFrame.unionByName, parts)
-    curve = materialise(score_curve(scores, ["kind"]))
-    return DetectorChoice(scores, fold_metrics(scores), curve, choose_cut(curve, target_precision, target_recall))
+        parts = pool.map(inheritable_thread_target(spark)(fit), [(k, f) for k in learners for f in present])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scores_by_cells(
+    binned: DataFrame, cells: grown.Cells, carried: Sequence[str], learners: dict[str, object]
+) -> DataFrame:
+    """Out-of-fold scores of bin vectors, joined to the rows."""
+    spark = binned.sparkSession
+    present = np.unique(cells.fold).tolist()
+    counts = [[int(cells.n[(cells.fold != f) & (cells.label == s)].sum()) for s in (0, 1)] for f in present]
+    # a fold whose training rows have one label scores it
+    values = {kind: np.tile([[float(n[1] > 0)] for n in counts], len(cells.bins)) for kind in learners}
+    told = [i for i, n in enumerate(counts) if min(n) > 0]
+    folds = [present[i] for i in told]
+    for kind, learner in learners.items():
+        if not folds:
+            continue
+        if kind == "random_forest":
+            weights = [[sum(counts[i]) / (2 * n) for n in counts[i]] for i in told]
+            forests = grown.classification_forests(
+                spark, cells, folds, weights, learner.getNumTrees(), learner.getMaxDepth(),
+                learner.getMinInstancesPerNode(), learner.getSeed(),
+            )
+            values[kind][told] = grown.forest_values(spark, cells, forests, "gini")
+        else:
+            values[kind][told] = grown.boosted_values(
+                spark, cells, folds, learner.getMaxIter(), learner.getMaxDepth(), learner.getStepSize()
+            )
+    keys = [n for n in binned.columns if n.startswith("__b")][: cells.bins.shape[1]]
+    place = {f: i for i, f in enumerate(present)}
+    met = np.unique(np.column_stack([cells.fold, cells.at]), axis=0)
+    table = pd.DataFrame(cells.bins[met[:, 1]].astype(np.int8), columns=keys).assign(fold=met[:, 0].astype(np.int32))
+    for i, kind in enumerate(learners):
+        table[f"__s{i}"] = values[kind][[place[f] for f in met[:, 0]], met[:, 1]]
+    types = ", ".join([*(f"{k} tinyint" for k in keys), "fold int", *(f"__s{i} double" for i in range(len(learners)))])
+    stored = materialise(spark.createDataFrame(table, types))
+    joined = lookup_join(binned, stored, ["fold", *keys], "left")
+    each = [F.struct(F.lit(k).alias("kind"), F.col(f"__s{i}").alias("score")) for i, k in enumerate(learners)]
+    shown = joined.select("fold", *[c(n) for n in carried], "label", F.inline(F.array(*each)))
+    return materialise(shown.select("kind", "fold", *[c(n) for n in carried], "label", "score"))
 
 
 def fold_metrics(scores: DataFrame, by: Sequence[str] = ("kind", "fold"), cut: float = 0.5) -> DataFrame:

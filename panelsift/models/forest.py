@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
+from panelsift.models import cells as grown
 from panelsift.models.prepare import with_group_folds
 from panelsift.session import materialise
 
@@ -49,19 +51,46 @@ def spread(data: DataFrame) -> DataFrame:
     return materialise(data.repartition(min(tasks, most)))
 
 
-def folded(
+def fold_rows(
     df: DataFrame, features: Sequence[str], label: Column, user: str, folds: int, carried: Sequence[str] = ()
 ) -> DataFrame:
-    """Vectors of complete rows of known users, label and balanced fold, stored for many tasks."""
+    """Label, balanced fold and features ``__f<i>`` of complete rows of known users, stored.
+
+    The rows are stored before their users are dealt, too, as that reads them several times.
+    """
     plain = {f"__f{i}": c(n).cast("double") for i, n in enumerate(features)}
     narrow = df.select(
         c(user).alias("__user"), label.alias("label"), *[c(n).alias(f"__c{i}") for i, n in enumerate(carried)],
         *[v.alias(n) for n, v in plain.items()],
     )
-    rows = with_group_folds(narrow.dropna(subset=["__user", "label", *plain]), "__user", folds)
-    data = VectorAssembler(inputCols=list(plain), outputCol="features").transform(rows)
+    complete = materialise(narrow.dropna(subset=["__user", "label", *plain]))
     kept = [F.col(f"__c{i}").alias(n) for i, n in enumerate(carried)]
-    return spread(materialise(data.select("label", "fold", "features", *kept)))
+    return materialise(with_group_folds(complete, "__user", folds).select("label", "fold", *plain, *kept))
+
+
+def vectors(rows: DataFrame, width: int, carried: Sequence[str] = ()) -> DataFrame:
+    """Stored rows of :func:`fold_rows`, in many tasks, with one vector for their features.
+
+    The vector is made when it is read: plain columns are smaller and read faster.
+    """
+    plain = [f"__f{i}" for i in range(width)]
+    data = VectorAssembler(inputCols=plain, outputCol="features").transform(spread(rows))
+    return data.select("label", "fold", "features", *[c(n) for n in carried])
+
+
+def folded(
+    df: DataFrame, features: Sequence[str], label: Column, user: str, folds: int, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Vectors of complete rows of known users, label and balanced fold, read in many tasks."""
+    return vectors(fold_rows(df, features, label, user, folds, carried), len(features), carried)
+
+
+def cells_of(rows: DataFrame, width: int) -> tuple[grown.Cells | None, DataFrame]:
+    """Cells of the rows of :func:`fold_rows`, None if too many; and the rows with bins ``__b<i>``."""
+    plain, bins = [f"__f{i}" for i in range(width)], [f"__b{i}" for i in range(width)]
+    cuts = grown.candidate_cuts(rows, plain)
+    binned = grown.binned(rows, plain, cuts, bins)
+    return grown.count_cells(binned, bins, cuts), binned
 
 
 def regression_metrics(predicted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -98,13 +127,12 @@ def build_random_forest_model(
 ) -> ForestFit:
     """One forest per fold, scored on the fold left out; the best one is returned.
 
-    A minimum leaf of 10 implies the minimum split of 20. The vectors are computed
-    once and read by every fold. Two folds are fitted at a time and only the best model
-    is kept: the driver holds the trees of each fit.
+    A minimum leaf of 10 implies the minimum split of 20. Trees are grown on counted cells
+    of the rows, all trees of all folds at once; on the rows where there are too many cells.
     """
     names = list(feature_cols)
     spark = df.sparkSession
-    data = folded(df, names, c(outcome_var).cast("double"), user_id_var, n_splits)
+    rows = fold_rows(df, names, c(outcome_var).cast("double"), user_id_var, n_splits)
     grower = RandomForestRegressor(
         numTrees=n_estimators,
         maxDepth=max_depth,
@@ -114,17 +142,41 @@ def build_random_forest_model(
         **NODE_CACHE,
     )
 
-    if data.select("fold").distinct().count() < 2:
+    if rows.select("fold").distinct().count() < 2:
         raise ValueError("complete rows of at least two users are needed")
+    cells, _ = cells_of(rows, len(names))
+    if cells is None:
+        model, scores, best = _grown_on_rows(vectors(rows, len(names)), grower, n_splits)
+    else:
+        model, scores, best = _grown_on_cells(spark, cells, grower)
+    gap = sum(s[1] - s[2] for s in scores if s[2] is not None) / len(scores)
+    schema = "fold int, train_r2 double, test_r2 double, test_mse double, test_mae double"
+    return ForestFit(
+        model,
+        importance_table(spark, names, model),
+        spark.createDataFrame(scores, schema),
+        best,
+        gap,
+        gap > OVERFIT_GAP,
+    )
+
+
+def _grown_on_rows(data: DataFrame, grower: RandomForestRegressor, n_splits: int):
+    """Best model, scores and best fold by MLlib, whose tasks hold rows instead of cells.
+
+    Two folds are fitted at a time and only the best model is kept: the driver holds the
+    trees of each fit.
+    """
 
     def fit_fold(fold: int):
-        grown = grower.fit(data.where(F.col("fold") != fold))
-        predicted = grown.transform(data).withColumn("test", F.col("fold") == fold)
-        return grown, {r.test: r for r in regression_metrics(predicted, ["test"]).collect()}
+        fitted = grower.fit(data.where(F.col("fold") != fold))
+        predicted = fitted.transform(data).withColumn("test", F.col("fold") == fold)
+        return fitted, {r.test: r for r in regression_metrics(predicted, ["test"]).collect()}
 
     scores, best, model, top = [], 0, None, None
     with ThreadPool(2) as pool:
-        for fold, (made, by_side) in enumerate(pool.imap(inheritable_thread_target(spark)(fit_fold), range(n_splits))):
+        fits = pool.imap(inheritable_thread_target(data.sparkSession)(fit_fold), range(n_splits))
+        for fold, (made, by_side) in enumerate(fits):
             train, test = by_side.get(False), by_side.get(True)
             if test is None:  # a fold without users has nothing to score
                 continue
@@ -132,16 +184,33 @@ def build_random_forest_model(
             if model is None or _or_least(test.r2) > _or_least(top):
                 best, model, top = fold, made, test.r2
             del made
-    gap = sum(s[1] - s[2] for s in scores if s[2] is not None) / len(scores)
-    schema = "fold int, train_r2 double, test_r2 double, test_mse double, test_mae double"
-    return ForestFit(
-        model,
-        importance_table(spark, names, model),
-        spark.createDataFrame(scores, schema),
-        best,
-        gap,
-        gap > OVERFIT_GAP,
-    )
+    return model, scores, best
+
+
+def _grown_on_cells(spark, cells: grown.Cells, grower: RandomForestRegressor):
+    """Best model, scores and best fold of forests grown on cells, every fold's at once."""
+    folds = np.unique(cells.fold).tolist()  # a fold without users has nothing to score
+    forests = grown.regression_forests(
+        spark, cells, folds, grower.getNumTrees(), grower.getMaxDepth(), grower.getMinInstancesPerNode(),
+        grower.getSeed(),
+    )
+    scores = []
+    for fold, values in zip(folds, grown.forest_values(spark, cells, forests, "variance")):
+        predicted, held_out = values[cells.at], cells.fold == fold
+        train, test = (
+            counted_metrics(cells.label[side], predicted[side], cells.n[side]) for side in (~held_out, held_out)
+        )
+        scores.append((fold, train[0], *test))
+    best = max(range(len(folds)), key=lambda i: _or_least(scores[i][2]))
+    return grown.as_model(spark, forests[best], cells.cuts, grower), scores, folds[best]
+
+
+def counted_metrics(label: np.ndarray, predicted: np.ndarray, n: np.ndarray) -> tuple[float | None, float, float]:
+    """R squared, mean squared and mean absolute error of cells with n rows each."""
+    rows, error = int(n.sum()), label - predicted
+    squared = float(n @ (error * error))
+    around = float(n @ (label - n @ label / rows) ** 2)
+    return 1 - squared / around if around > 0 else None, squared / rows, float(n @ np.abs(error)) / rows
 
 
 def _or_least(score: float | None) -> float:
