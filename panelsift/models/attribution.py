@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
+from panelsift.models.cells import binned
 from panelsift.operators.aggregates import hash_sample
 from panelsift.session import scratch_path
 
@@ -99,6 +100,16 @@ def attributions(trees: Sequence[Leaves], x: np.ndarray) -> np.ndarray:
     return result
 
 
+def tree_cuts(trees: Sequence[Leaves], width: int) -> list[list[float]]:
+    """The cuts by which any tree splits each feature, in order."""
+    cuts: list[set[float]] = [set() for _ in range(width)]
+    for t in trees:
+        for bound in (t.low, t.high):
+            for leaf, d in zip(*np.nonzero(np.isfinite(bound))):
+                cuts[t.feature[leaf, d]].add(float(bound[leaf, d]))
+    return [sorted(c) for c in cuts]
+
+
 def attribution_rows(
     df: DataFrame, model, feature_cols: Sequence[str], sample_size: int | None = None,
     seed: int = 42, keys: Sequence[str] = (), counted: bool = False,
@@ -106,7 +117,8 @@ def attribution_rows(
     """One column ``a<i>`` per feature and row, the prediction parts; and the base value.
 
     Every complete row is explained unless ``sample_size`` asks for fewer. ``counted``
-    explains rows of equal features once, and adds how many they are as ``n``.
+    explains rows between the same cuts of all trees once, as no tree tells them apart, and
+    adds how many they are as ``n``.
     """
     names = list(feature_cols)
     spark = df.sparkSession
@@ -118,7 +130,13 @@ def attribution_rows(
     if sample_size is not None:
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
     if counted:
-        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+        met = [f"x{i}" for i in range(len(names))]
+        at = [f"b{i}" for i in range(len(names))]
+        cuts = tree_cuts(trees, len(names))
+        # a bin includes its upper cut, which stands for it
+        ends = [F.get(F.lit([*t, float("inf")]), b) for t, b in zip(cuts, at)]
+        rows = binned(rows, met, cuts, at).groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.select(*[e.alias(x) for e, x in zip(ends, met)], "n")
         # few and small rows, but each costs every tree: adaptive execution must not merge them
         rows = rows.repartition(spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(trees)
