@@ -87,8 +87,12 @@ def run_all_models(
     rf_max_depth: int = 10,
     n_splits: int = 5,
 ) -> ModelResults:
-    """Linear, forest and, on request, logistic model and their comparison."""
+    """Linear, forest and, on request, logistic model and their comparison.
+
+    What the models read is stored first: each of them goes through it several times.
+    """
     features = remove_collinear_features(feature_cols)
+    df = materialise(df.select(*[c(n) for n in dict.fromkeys([*features, outcome_var, user_id_var])]))
     linear, importance, vif = build_linear_baseline(
         df, features, outcome_var, user_id_var, include_vif
     )

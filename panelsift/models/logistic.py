@@ -9,12 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsift.columns import c
-from panelsift.models.forest import folded
+from panelsift.models.forest import fold_rows, vectors
 from panelsift.models.prepare import Scaler, fit_scaler
 from panelsift.session import materialise
 from panelsift.stats.gram import gram_matrix, scaled_inverse
@@ -88,7 +87,8 @@ def build_logistic_regression_model(
         for i, n in enumerate(names)
     }
     rows = complete.select("*", label.alias("__label"), *[v.alias(f"__{n}") for n, v in scaled.items()])
-    data = folded(rows, [f"__{n}" for n in scaled], F.col("__label"), user_id_var, n_splits)
+    dealt = fold_rows(rows, [f"__{n}" for n in scaled], F.col("__label"), user_id_var, n_splits)
+    data = vectors(dealt, len(names))
     sizes = {r.fold: r["count"] for r in data.groupBy("fold").count().collect()}
     if len(sizes) < 2:
         raise ValueError("complete rows of at least two users are needed")
@@ -119,24 +119,30 @@ def build_logistic_regression_model(
         "fold int, accuracy double, precision double, recall double, f1 double, "
         "auc double, train_accuracy double",
     )
-    importance = _wald(model, data, scaler, names, significance_level)
+    importance = _wald(model, dealt, scaler, names, significance_level)
     return LogisticFit(model, scaler, importance, cv)
 
 
 def _wald(
     model: LogisticRegressionModel,
-    data: DataFrame,
+    rows: DataFrame,
     scaler: Scaler,
     names: list[str],
     significance_level: float,
 ) -> DataFrame:
-    """Coefficients, odds ratios and two-sided normal p-values."""
-    p = vector_to_array("probability")[1]
-    weighted = model.transform(data).select(
-        vector_to_array("features").alias("x"), F.sqrt(p * (1 - p)).alias("w")
-    )
-    columns = {n: F.col("x")[i] * F.col("w") for i, n in enumerate(names)}
+    """Coefficients, odds ratios and two-sided normal p-values, from the plain rows of the fit.
+
+    The chance is an expression, as a model's own column would be made anew for each product.
+    """
+    plain = [f"__f{i}" for i in range(len(names))]
+    margin = F.lit(float(model.intercept))
+    for n, b in zip(plain, model.coefficients.toArray().tolist()):
+        margin = margin + F.col(n) * F.lit(b)
+    chance = rows.select(*plain, (1 / (1 + F.exp(-margin))).alias("p"))
+    weighted = chance.select(*plain, F.sqrt(F.col("p") * (1 - F.col("p"))).alias("w"))
+    columns = {n: F.col(x) * F.col("w") for n, x in zip(names, plain)}
     inverse, redundant, _ = scaled_inverse(gram_matrix(weighted, columns).products)
+    spark = rows.sparkSession
     widths = np.array([scaler.width[n] for n in names])
     coefs = model.coefficients.toArray() / widths
     errors = np.sqrt(np.clip(np.diag(inverse), 0, None)) / widths
@@ -154,6 +160,6 @@ def _wald(
         "feature string, lr_coefficient double, lr_odds_ratio double, lr_std_error double, "
         "lr_z_stat double, lr_p_value double, lr_significant boolean, lr_importance double"
     )
-    return data.sparkSession.createDataFrame(rows, schema).orderBy(
+    return spark.createDataFrame(rows, schema).orderBy(
         F.col("lr_importance").desc(), "feature"
     )

@@ -6,7 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from panelsift.models import attribution, cells, detection, forest
+from panelsift.models import attribution, cells, compare, detection, forest
 
 NAMES = ["u", "v", "w"]
 
@@ -144,3 +144,17 @@ def test_values_between_the_same_cuts_are_explained_once(spark):
     got = once.agg(F.sum(F.abs("a0") * F.col("n")), F.sum(F.abs("a1") * F.col("n")), F.sum(F.expr("a0 * n"))).first()
     want = each.agg(F.sum(F.abs("a0")), F.sum(F.abs("a1")), F.sum("a0")).first()
     assert list(got) == pytest.approx(list(want))
+
+
+def test_the_models_compared_read_their_input_once(spark, rows):
+    """The input may be a long plan; each model goes through what was stored of it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = rows.mapInArrow(count, rows.schema)
+    made = compare.run_all_models(df, NAMES, "y", "user", rf_n_estimators=2, rf_max_depth=2, n_splits=2)
+    assert made.comparison.count() == 3 and read.value == 3000
